@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -14,7 +15,8 @@ SPACE_CHARS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
-WORD = f"[^{SPACE_CHARS}]+"
+# The same characters, tested by category: a good deal faster than the list of ranges.
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 _EDGE_SPACE = rf"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+\z"
 
 # Lower-case ASCII words of three letters or more that are not part of a longer
@@ -27,6 +29,17 @@ COUNTED_WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"
 UNROLLED_KEYWORDS = 64
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A filter's condition is compiled without sharing of common parts, and Spark moves
+    filters below the projection that computes their input. Both repeat an expensive
+    input, such as a lower-cased text, once for each mention. A lambda variable is
+    computed once, which for several keywords outweighs that lambdas are interpreted.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
     return F.regexp_replace(text, _EDGE_SPACE, "")
@@ -67,14 +80,19 @@ def _balanced(parts: list[Column], combine) -> Column:
 
 def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
     """Null for null text; the caller decides what null means."""
-    lowered = F.lower(text)
     words = sorted({keyword.lower() for keyword in keywords})
     if not words:
         return F.when(text.isNotNull(), F.lit(match_all))
-    if len(words) > UNROLLED_KEYWORDS:
-        quantifier = F.forall if match_all else F.exists
-        return quantifier(F.array(*map(F.lit, words)), lambda word: lowered.contains(word))
-    return _balanced([lowered.contains(word) for word in words], and_ if match_all else or_)
+    if len(words) == 1:
+        return F.lower(text).contains(words[0])
+
+    def test(lowered: Column) -> Column:
+        if len(words) > UNROLLED_KEYWORDS:
+            quantifier = F.forall if match_all else F.exists
+            return quantifier(F.array(*map(F.lit, words)), lambda word: lowered.contains(word))
+        return _balanced([lowered.contains(word) for word in words], and_ if match_all else or_)
+
+    return bind(F.lower(text), test)
 
 
 def include_any(text: Column, keywords) -> Column:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlesieve.functions.text import exclude, include_all, include_any, length_between, parse_keywords
+from titlesieve.functions.text import (
+    bind, exclude, include_all, include_any, length_between, parse_keywords,
+)
 from titlesieve.operators.columns import find_title_column
 
 # Up to this many ids from a caller become literals in the filter itself.
@@ -36,12 +40,17 @@ class FilterSpec:
 
     def predicate(self, text: Column) -> Column:
         """Include and exclude only if given, length always: null text never passes."""
-        passes = length_between(text, self.min_words, self.max_words)
-        if self.exclude:
-            passes = exclude(text, self.exclude) & passes
-        if self.include:
-            passes = (include_all if self.match_all else include_any)(text, self.include) & passes
-        return passes
+
+        def passes(title: Column) -> Column:
+            tests = [length_between(title, self.min_words, self.max_words)]
+            if self.exclude:
+                tests.insert(0, exclude(title, self.exclude))
+            if self.include:
+                tests.insert(0, (include_all if self.match_all else include_any)(title, self.include))
+            return reduce(and_, tests)
+
+        # The null test is for the scan, which can skip row groups by it.
+        return text.isNotNull() & F.coalesce(bind(text, passes), F.lit(False))
 
 
 def apply_filter(df: DataFrame, spec: FilterSpec, title: str | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from titlesieve.sources.storage import materialise
 
 
-def with_positions(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+def with_positions(
+    df: DataFrame, *order: str | Column, name: str = "pos", cache: bool = False
+) -> DataFrame:
     """Add ``name`` = 0, 1, 2, ... in the order given, which must have no ties.
 
     An unpartitioned ``row_number`` would put all rows in one task. Here the rows
@@ -16,7 +18,12 @@ def with_positions(df: DataFrame, *order: str | Column, name: str = "pos") -> Da
     with their partition and place in it. The storage matters: the bounds of a
     range sort come from a sample, so counting partitions in one run and numbering
     rows in another could disagree. What is broadcast has one row per partition.
+
+    A range sort reads its input twice, first for the sample. ``cache`` keeps the input
+    for the second time and is worth it for anything dearer than a scan.
     """
+    if cache:
+        df = df.persist()
     part, at = f"__{name}_part", f"__{name}_at"
     stored = materialise(
         df.orderBy(*order)
@@ -24,6 +31,8 @@ def with_positions(df: DataFrame, *order: str | Column, name: str = "pos") -> Da
         .withColumn(at, F.monotonically_increasing_id()),
         "positions",
     )
+    if cache:
+        df.unpersist()
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         stored.groupBy(part)

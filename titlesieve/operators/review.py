@@ -20,7 +20,7 @@ KEEP, REJECT, RESET = "Y", "N", "RESET"
 
 def review_queue(df: DataFrame, order: str = "row_id") -> DataFrame:
     """``df`` with its place in the queue, ``pos`` = 0, 1, 2, ... in row order."""
-    return with_positions(df, order)
+    return with_positions(df, order, cache=True)
 
 
 def placed_log(log: DataFrame) -> DataFrame:

@@ -22,25 +22,22 @@ def word_counts(
     order: str = "row_id",
     wide_ids: bool = False,
 ) -> DataFrame:
-    """word, count and first occurrence of every counted word that is no stop word.
+    """word, count and first (occurrence) of every counted word that is no stop word.
 
     ``stop_words`` is a list, or a DataFrame with a column ``word`` of any length.
     The explode is the widest point, so words are cut by pattern before it and
     counted in the map stage after it: one word making up a third of a corpus still
-    leaves each task as one row.
+    leaves each task as one row. ``first`` packs row id and place (``PLACE_BITS`` low
+    bits); with ``wide_ids`` it is a struct, which costs a sort.
     """
-    words = counted_words(F.col(f"`{text}`"))
-    source = df.select(F.col(order).cast("bigint").alias("row"), words.alias("words"))
+    text, row = F.col(f"`{text}`"), F.col(order).cast("bigint")
     if not wide_ids:
-        fits = F.col("row").between(0, _MAX_ROW_ID - 1) & (F.size("words") < (1 << PLACE_BITS))
-        # Checked once per text; a row that does not fit fails the query with the remedy.
-        source = source.select(
-            F.when(F.coalesce(fits, F.lit(True)), F.col("words"))
-            .otherwise(F.raise_error(F.lit("row id or text too large: use wide_ids=True")))
-            .alias("words"),
-            "row",
-        )
-    places = source.select("row", F.posexplode("words").alias("place", "word"))
+        # A counted word takes four bytes with its separator, so a text's size bounds its
+        # number of words. A row that does not fit fails the query with the remedy.
+        fits = row.between(0, _MAX_ROW_ID - 1) & (F.octet_length(text) < (4 << PLACE_BITS))
+        too_large = F.raise_error(F.lit("row id or text too large: use wide_ids=True"))
+        row = F.when(F.coalesce(fits, F.lit(True)), row).otherwise(too_large.cast("bigint"))
+    places = df.select(row.alias("row"), F.posexplode(counted_words(text)).alias("place", "word"))
     if not isinstance(stop_words, DataFrame) and stop_words:
         places = places.where(~F.col("word").isin(*stop_words))
     first = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from titlesieve.functions.stopwords import STOP_WORDS
-from titlesieve.operators.words import with_relative, word_counts, word_frequencies
+from titlesieve.operators.words import PLACE_BITS, with_relative, word_counts, word_frequencies
 from titlesieve.plans.flows import top_words
 from workload.registry import query
 from workload.screening import PAPERS, SPEC, SPEC_SQL, documents, papers
@@ -48,8 +48,8 @@ def _(spark, sf_dir):
     " SELECT word, count, first.r AS first_row FROM counted",
 )
 def _(spark, sf_dir):
-    counts = word_counts(documents(spark, sf_dir), "text", order="doc_id", wide_ids=True)
-    return counts.select("word", "count", F.col("first.row").alias("first_row"))
+    counts = word_counts(documents(spark, sf_dir), "text", order="doc_id")
+    return counts.select("word", "count", F.shiftright("first", PLACE_BITS).alias("first_row"))
 
 
 # Stop words may also come as a table of any size; here, the words of the benchmark texts.
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
     stops = word_counts(
         table(spark, sf_dir, "benchmark"), "text", stop_words=(), order="item_id"
     )
-    return word_frequencies(documents(spark, sf_dir), "text", stop_words=stops, order="doc_id")
+    return word_frequencies(documents(spark, sf_dir), "text", stop_words=stops, order="doc_id", wide_ids=True)
 
 
 @query(
