@@ -28,7 +28,7 @@ def _seek(df: DataFrame, order: str, skip: int) -> tuple[int, int] | None:
         width = (high - low) // _STEPS + 1
         counts = (
             df.where(F.col(order).between(low, high))
-            .groupBy(F.floor((F.col(order) - low) / F.lit(width)).alias("step"))
+            .groupBy(F.expr(f"(`{order}` - {low}L) div {width}L").alias("step"))
             .agg(F.count("*").alias("rows"))
         )
         # At most 1,024 rows reach the driver, whatever the size of the table.

@@ -15,7 +15,7 @@ def running_totals(df: DataFrame, key: str, values) -> DataFrame:
     4,096 keys in parallel; the window over everything sees one row per block.
     """
     values = list(values)
-    blocked = df.withColumn("__block", F.floor(F.col(key) / F.lit(BLOCK)))
+    blocked = df.withColumn("__block", F.expr(f"`{key}` div {BLOCK}"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy("__block")

@@ -95,7 +95,7 @@ def batch_number(size: int, key: str = "row_id") -> Column:
     """Checkpoint batch of a row: rows ``[n * size, (n + 1) * size)`` are batch ``n``."""
     if size < 1:
         raise ValueError("batch size must be positive")
-    return F.floor(F.col(key) / F.lit(size)).cast("bigint")
+    return F.expr(f"`{key}` div {size}")
 
 
 def batch_progress(df: DataFrame, size: int, key: str = "row_id") -> DataFrame:

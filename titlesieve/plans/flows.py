@@ -1,7 +1,4 @@
-"""The four end-to-end jobs: de-duplicate, screen, triage, load.
-
-Each is one lazy plan from source to sink; only the sink runs it.
-"""
+"""The four end-to-end jobs: de-duplicate, screen, triage, load."""
 
 from __future__ import annotations
 
@@ -11,25 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlesieve.functions.replies import resolve_attempts
+from titlesieve.functions.rules import integer_range
 from titlesieve.operators.columns import map_columns, require_columns, to_canonical, with_verdict_columns
 from titlesieve.operators.dedup import duplicate_report, remove_duplicates
 from titlesieve.operators.filters import FilterSpec, apply_filter
 from titlesieve.operators.stats import decision_shares, import_report
 from titlesieve.operators.tables import (
-    check_rows, insert_if_absent, load_users, seed_progress, split_checked,
+    check_rows, load_users, seed_progress, split_checked, user_load_report,
 )
 from titlesieve.operators.triage import attach_verdicts, merge_progress, render_prompts
 from titlesieve.operators.words import word_frequencies
-from titlesieve.functions.rules import integer_range
 from titlesieve.sources.readers import read_papers
-from titlesieve.sources.schemas import paper_rules
-from titlesieve.sources.writers import append_papers, write_csv, write_triage
+from titlesieve.sources.schemas import PROGRESS, USERS, paper_rules
+from titlesieve.sources.storage import materialise
+from titlesieve.sources.writers import CSV_OPTIONS, append_papers, write_csv, write_triage
 
 
-def deduplicate_export(spark: SparkSession, source: str, target: str, subset=None, keep="first"):
+def deduplicate_export(
+    spark: SparkSession, source: str, target: str, subset=None, keep="first"
+) -> DataFrame:
     """Read, drop duplicates, write in row order; returns the one-row report."""
     papers = read_papers(spark, source)
-    write_csv(remove_duplicates(papers, subset, keep).drop("row_id"), target)
+    unique = remove_duplicates(papers, subset, keep)
+    write_csv(unique.orderBy("row_id").drop("row_id"), target)
     return duplicate_report(papers, subset, keep)
 
 
@@ -61,11 +62,17 @@ def prepare_triage(papers: DataFrame, progress: DataFrame | None = None, **texts
 def finish_triage(
     triage: Triage, replies: DataFrame, target: str, retry_count: int = 3, format: str = "csv"
 ) -> DataFrame:
-    """Turn (row_id, replies) into verdicts, write all outputs; returns the shares."""
-    verdicts = replies.select("row_id", resolve_attempts(replies["replies"], retry_count).alias("verdict"))
-    judged = merge_progress(triage.papers, attach_verdicts(triage.todo, verdicts))
-    write_triage(judged, target, format)
-    return decision_shares(judged)
+    """Turn (row_id, replies) into verdicts and write all outputs; returns the shares.
+
+    The shares come from the files written, so replies are parsed only once.
+    """
+    verdict = resolve_attempts(F.col("replies"), retry_count).alias("verdict")
+    judged = attach_verdicts(triage.todo, replies.select("row_id", verdict))
+    write_triage(merge_progress(triage.papers, judged), target, format)
+    reader = triage.papers.sparkSession.read.format(format)
+    if format == "csv":
+        reader = reader.options(**CSV_OPTIONS, multiLine=True)
+    return decision_shares(reader.load(target))
 
 
 def load_papers(source: DataFrame, target: str, policy: str = "first", **write_options) -> DataFrame:
@@ -75,3 +82,19 @@ def load_papers(source: DataFrame, target: str, policy: str = "first", **write_o
     good, _ = split_checked(checked)
     append_papers(good.drop("row_id", "year_raw"), target, **write_options)
     return import_report(checked)
+
+
+def load_user_tables(batch: DataFrame, users: str, progress: str) -> DataFrame:
+    """Append new users and their zero progress rows to Parquet tables; returns the report.
+
+    The outcome of each row is stored before the tables change: worked out again
+    afterwards, every user would exist.
+    """
+    spark = batch.sparkSession
+    loaded = materialise(load_users(spark.read.schema(USERS).parquet(users), batch), "users")
+    created = loaded.where("outcome = 'created'")
+    seeded = seed_progress(created, spark.read.schema(PROGRESS).parquet(progress))
+    seeded.withColumn("last_active", F.current_timestamp()).write.mode("append").parquet(progress)
+    stamped = created.withColumn("created_at", F.current_timestamp())
+    stamped.select(*USERS.names).write.mode("append").parquet(users)
+    return user_load_report(loaded)
