@@ -18,7 +18,7 @@ def scattered(frame):
 
 
 @pytest.mark.parametrize("number", [0, 1, 7, 19, 20, 500])
-@pytest.mark.parametrize("bound", [10_000, 20])
+@pytest.mark.parametrize("bound", [1000, 20])
 def test_pages(scattered, monkeypatch, number, bound):
     monkeypatch.setattr(paging, "SHALLOW_ROWS", bound)
     df, ids = scattered
@@ -29,7 +29,7 @@ def test_pages(scattered, monkeypatch, number, bound):
 def test_pages_of_a_search(scattered, monkeypatch):
     df, ids = scattered
     found = [i for i in ids if i % 7 == 3]
-    for bound in (10_000, 20):
+    for bound in (1000, 20):
         monkeypatch.setattr(paging, "SHALLOW_ROWS", bound)
         got = [row.row_id for row in page(df, 3, 20, "TITLE 3").collect()]
         assert got == found[60:80]

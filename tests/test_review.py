@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from titlesieve.operators import review
 from titlesieve.operators.review import (
     accepted_decisions, current_item, kept_rows, replay, review_counts, review_queue,
 )
@@ -37,7 +38,8 @@ def walk(log, queue):
 
 
 @pytest.fixture(params=[0, 1, 5, 90, 2000], ids=lambda n: f"queue{n}")
-def case(request, frame):
+def case(request, frame, monkeypatch):
+    monkeypatch.setattr(review, "STRETCH", 40)
     ids = [i * 3 for i in range(request.param)]
     rows = [(i, f"title {i}", "x" * 5) for i in random.Random(2).sample(ids, len(ids))]
     papers = frame("row_id long, title string, note string", rows)

@@ -47,7 +47,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and all-white-space text."""
-    return ~F.coalesce(text.rlike(WORD), F.lit(False))
+    return text.isNull() | ~text.rlike(WORD)
 
 
 def word_count(text: Column) -> Column:
@@ -79,10 +79,10 @@ def _balanced(parts: list[Column], combine) -> Column:
 
 
 def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
-    """Null for null text; the caller decides what null means."""
+    """Null for null text, unless the list is empty; callers decide what null means."""
     words = sorted({keyword.lower() for keyword in keywords})
     if not words:
-        return F.when(text.isNotNull(), F.lit(match_all))
+        return F.lit(match_all)
     if len(words) == 1:
         return F.lower(text).contains(words[0])
 
@@ -97,24 +97,25 @@ def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
 
 def include_any(text: Column, keywords) -> Column:
     """At least one keyword occurs. Null text and an empty list give false."""
-    return F.coalesce(_keyword_test(text, keywords, match_all=False), F.lit(False))
+    # Null tests stand apart, here and below, so that they reach the scan.
+    return text.isNotNull() & _keyword_test(text, keywords, match_all=False)
 
 
 def include_all(text: Column, keywords) -> Column:
     """Every keyword occurs. Null text gives false, an empty list true."""
-    return F.coalesce(_keyword_test(text, keywords, match_all=True), F.lit(False))
+    return text.isNotNull() & _keyword_test(text, keywords, match_all=True)
 
 
 def exclude(text: Column, keywords) -> Column:
     """No keyword occurs. Null text and an empty list give true."""
-    return F.coalesce(~_keyword_test(text, keywords, match_all=False), F.lit(True))
+    return text.isNull() | ~_keyword_test(text, keywords, match_all=False)
 
 
 def length_between(text: Column, min_words: int = 0, max_words: int = 1000) -> Column:
     """Word count within inclusive bounds. Null text gives false."""
     if min_words is None or max_words is None:
         raise ValueError("word bounds must be numbers")
-    return F.coalesce(word_count(text).between(min_words, max_words), F.lit(False))
+    return text.isNotNull() & bind(word_count(text), lambda n: n.between(min_words, max_words))
 
 
 def parse_year(text: Column) -> Column:

@@ -88,7 +88,7 @@ def to_canonical(df: DataFrame, mapping: dict[str, str], keep=("row_id",)) -> Da
 
 def drop_blank_titles(df: DataFrame, title: str = "title") -> DataFrame:
     """Rows whose title has something other than white space."""
-    return df.where(~is_blank(_quoted(title)))
+    return df.where(_quoted(title).isNotNull() & ~is_blank(_quoted(title)))
 
 
 def with_verdict_columns(df: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ class FilterSpec:
                 tests.insert(0, (include_all if self.match_all else include_any)(title, self.include))
             return reduce(and_, tests)
 
-        # The null test is for the scan, which can skip row groups by it.
-        return text.isNotNull() & F.coalesce(bind(text, passes), F.lit(False))
+        # The null test stands apart so that it reaches the scan.
+        return text.isNotNull() & bind(text, passes)
 
 
 def apply_filter(df: DataFrame, spec: FilterSpec, title: str | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def search_predicate(df: DataFrame, term: str, mode: str = "regex", title: str |
     text = F.col(f"`{title or find_title_column(df)}`")
     if mode == "literal":
         return include_any(text, [term])
-    return F.coalesce(text.rlike(_checked_pattern(df, term)), F.lit(False))
+    return text.isNotNull() & text.rlike(_checked_pattern(df, term))
 
 
 def search(df: DataFrame, term: str, mode: str = "regex", title: str | None = None) -> DataFrame:

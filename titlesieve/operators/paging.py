@@ -7,40 +7,46 @@ from pyspark.sql import functions as F
 
 from titlesieve.operators.filters import search
 
-# A top-k keeps offset + limit rows in every task. Deeper pages first look up where
-# they start.
-SHALLOW_ROWS = 10_000
+# A top-k brings offset + limit whole rows to the driver. Deeper pages first look up
+# where they start.
+SHALLOW_ROWS = 1000
 _STEPS = 1024
 
 
-def _seek(df: DataFrame, order: str, skip: int) -> tuple[int, int] | None:
-    """``(least id, rows still to skip)`` of a page, found by counting id ranges.
+def _seek(df: DataFrame, order: str, skip: int, take: int) -> tuple[int, int, int] | None:
+    """``(least id, greatest id, rows to skip between them)`` for a page.
 
     Each round counts rows in 1,024 equal ranges of the ids left and goes on in the
     range where the page starts, until that range is small. Ids are unique, so it
     ends after a few rounds whatever their distribution, and only the id column
-    (and what a search needs) is read.
+    (and what a search needs) is read. Both bounds reach the scan of the page itself.
     """
     low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return None
-    while True:
+    stop = high
+    while low is not None:
         width = (high - low) // _STEPS + 1
         counts = (
             df.where(F.col(order).between(low, high))
             .groupBy(F.expr(f"(`{order}` - {low}L) div {width}L").alias("step"))
             .agg(F.count("*").alias("rows"))
         )
+        start = None
+        seen = 0
         # At most 1,024 rows reach the driver, whatever the size of the table.
         for step, rows in sorted((row.step, row.rows) for row in counts.collect()):
-            if skip < rows:
+            if start is None and skip < seen + rows:
+                start, rows_there, before = step, rows, seen
+            seen += rows
+            if seen >= skip + take:
+                stop = min(high, low + (step + 1) * width - 1)
                 break
-            skip -= rows
-        else:
+        if start is None:
             return None
-        low, high = low + step * width, min(high, low + (step + 1) * width - 1)
-        if rows <= SHALLOW_ROWS or width == 1:
-            return low, skip
+        low, high = low + start * width, min(high, low + (start + 1) * width - 1)
+        skip -= before
+        if rows_there <= SHALLOW_ROWS or width == 1:
+            return low, stop, skip
+    return None
 
 
 def page(
@@ -56,10 +62,11 @@ def page(
         raise ValueError("page and per_page must not be negative")
     found, skip = search(df, search_for, mode), page * per_page
     if skip + per_page > SHALLOW_ROWS:
-        start = _seek(found, order, skip)
-        if start is None:
+        bounds = _seek(found, order, skip, per_page)
+        if bounds is None:
             return found.limit(0)
-        found, skip = found.where(F.col(order) >= start[0]), start[1]
+        low, high, skip = bounds
+        found = found.where(F.col(order).between(low, high))
     return found.orderBy(order).offset(skip).limit(per_page)
 
 

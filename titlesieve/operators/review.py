@@ -17,6 +17,9 @@ from titlesieve.operators.tables import check_rows, check_unique, flag_orphans
 # Decision codes of the log and the verdicts they stand for.
 KEEP, REJECT, RESET = "Y", "N", "RESET"
 
+# Places that one task of a join by reviewer may have to handle for one reviewer.
+STRETCH = 1 << 20
+
 
 def review_queue(df: DataFrame, order: str = "row_id") -> DataFrame:
     """``df`` with its place in the queue, ``pos`` = 0, 1, 2, ... in row order."""
@@ -52,13 +55,23 @@ def verdict(decision: Column) -> Column:
     return F.when(decision == KEEP, "keep").when(decision == REJECT, "reject")
 
 
-def _replay(queue: DataFrame, placed: DataFrame) -> DataFrame:
-    last = placed.join(sessions(placed).select("user_id", "start"), "user_id").where("place >= start")
+def _from_start(placed: DataFrame) -> DataFrame:
+    """The log with ``pos``, the place within the last session; negative before it.
+
+    Reviewers differ widely in how much they decide, so the log is joined by reviewer
+    and stretch of places: a reviewer with a third of all rows is many join keys.
+    """
+    stretched = placed.withColumn("stretch", F.expr(f"place div {STRETCH}"))
+    starts = (
+        stretched.groupBy("user_id", "stretch")
+        .agg(F.lit(True).alias("any"))
+        .join(sessions(placed).select("user_id", "start"), "user_id")
+        .select("user_id", "stretch", "start")
+    )
     return (
-        last.withColumn("pos", F.col("place") - F.col("start"))
-        .drop("place", "start")
-        .join(queue, "pos")
-        .withColumn("verdict", verdict(F.col("decision")))
+        stretched.join(starts, ["user_id", "stretch"])
+        .withColumn("pos", F.col("place") - F.col("start"))
+        .drop("place", "stretch", "start")
     )
 
 
@@ -68,7 +81,8 @@ def replay(queue: DataFrame, log: DataFrame) -> DataFrame:
     The i-th decision applies to the i-th queue row; decisions after the end of the
     queue fall on nothing and are left out.
     """
-    return _replay(queue, placed_log(log))
+    applied = _from_start(placed_log(log)).where("pos >= 0").join(queue, "pos")
+    return applied.withColumn("verdict", verdict(F.col("decision")))
 
 
 def review_counts(replayed: DataFrame) -> DataFrame:
@@ -84,24 +98,24 @@ def current_item(queue: DataFrame, log: DataFrame, title: str = "title") -> Data
 
     Past the end ``done`` is true and there is no row and no progress percent.
     """
-    placed = placed_log(log)
     total = queue.agg(F.count("*").alias("total")).scalar()
-    cursors = sessions(placed).select(
-        "user_id",
-        F.least(F.col("decisions"), total).alias("index"),
-        total.alias("total"),
+    pos, decision = F.col("pos"), F.col("decision")
+    cards = (
+        _from_start(placed_log(log))
+        .withColumn("counts", (pos >= 0) & (pos < total))
+        .groupBy("user_id")
+        .agg(
+            F.count_if("counts").alias("index"),
+            F.count_if(F.col("counts") & (decision == KEEP)).alias("kept"),
+            F.count_if(F.col("counts") & (decision == REJECT)).alias("rejected"),
+        )
+        .withColumn("total", total)
     )
-    counts = review_counts(_replay(queue.select("pos"), placed))
     at = queue.select(F.col("pos").alias("index"), "row_id", F.col(f"`{title}`").alias("title"))
-    done = F.col("index") >= F.col("total")
-    return (
-        cursors.join(counts, "user_id", "left")
-        .na.fill(0, ["kept", "rejected"])
-        .join(at, "index", "left")
-        .select(
-            "user_id", "index", "total", done.alias("done"), "row_id", "title", "kept", "rejected",
-            progress_percent(F.col("index"), F.col("total")).alias("progress_percent"),
-        )
+    index, total = F.col("index"), F.col("total")
+    return cards.join(at, "index", "left").select(
+        "user_id", "index", "total", (index >= total).alias("done"), "row_id", "title",
+        "kept", "rejected", progress_percent(index, total).alias("progress_percent"),
     )
 
 
@@ -122,9 +136,12 @@ def accepted_decisions(decisions: DataFrame, users: DataFrame, papers: DataFrame
     A row is accepted (no errors) if it says keep or reject, its user and paper exist
     and it is the first such decision of that user on that paper.
     """
-    checked = check_rows(decisions, [not_null("decision"), one_of("decision", ("keep", "reject"))])
-    checked = flag_orphans(checked, users.select(F.col("id").alias("user_id")), "user_id", "unknown user")
+    coded = check_rows(decisions, [not_null("decision"), one_of("decision", ("keep", "reject"))])
+    checked = flag_orphans(coded, users.select(F.col("id").alias("user_id")), "user_id", "unknown user")
     checked = flag_orphans(
         checked, papers.select(F.col("id").alias("paper_id")), "paper_id", "unknown paper"
     )
-    return check_unique(checked, ["user_id", "paper_id"], F.struct("decided_at", "id"), row="id")
+    # Whether user and paper exist depends on the key alone.
+    return check_unique(
+        checked, ["user_id", "paper_id"], F.struct("decided_at", "id"), row="id", candidates=coded
+    )

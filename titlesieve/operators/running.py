@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from titlesieve.sources.storage import materialise
+
 BLOCK = 4096
 
 
@@ -12,10 +14,12 @@ def running_totals(df: DataFrame, key: str, values) -> DataFrame:
     """Replace each of ``values`` by its running total in the order of integer ``key``.
 
     One window over the whole series would be one task. Totals run within blocks of
-    4,096 keys in parallel; the window over everything sees one row per block.
+    4,096 keys in parallel; the window over everything sees one row per block. The
+    series is used twice and therefore stored, so that what it is made from, such as a
+    count over a large table, runs once.
     """
     values = list(values)
-    blocked = df.withColumn("__block", F.expr(f"`{key}` div {BLOCK}"))
+    blocked = materialise(df, "series").withColumn("__block", F.expr(f"`{key}` div {BLOCK}"))
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy("__block")

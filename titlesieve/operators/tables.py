@@ -23,21 +23,28 @@ def _add_error(df: DataFrame, broken: Column, reason: str) -> DataFrame:
 
 
 def check_unique(
-    checked: DataFrame, key, order: str | Column = "row_id", row: str = "row_id"
+    checked: DataFrame,
+    key,
+    order: str | Column = "row_id",
+    row: str = "row_id",
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows without other errors whose key an earlier such row has.
 
     Null keys may repeat. ``row`` is the unique id of a row. The first row of each
     key comes out of a map-side combined aggregation and is matched by its own id,
     so a key that a third of all rows share is never brought together in one task.
-    Rows refused by one check do not count as earlier rows in the next.
+    Rows refused by one check do not count as earlier rows in the next. If the checks
+    since some earlier state of the table looked at the key alone, that state may be
+    given as ``candidates`` and spares working them out twice.
     """
     key = [key] if isinstance(key, str) else list(key)
     complete = (F.size("errors") == 0) & F.forall(
         F.array(*[F.col(name).isNotNull() for name in key]), lambda known: known
     )
     first = (
-        checked.where(complete)
+        (checked if candidates is None else candidates)
+        .where(complete)
         .groupBy(*key)
         .agg(F.min_by(row, order).alias(row))
         .select(row, F.lit(True).alias("__first"))
@@ -82,8 +89,10 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, fk: str, key: str = "id
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, order: str = "row_id") -> DataFrame:
     """Rows of ``batch`` to append: the first per key, if ``target`` lacks the key."""
-    fresh = batch.join(target.select(key), key, "left_anti").select(*batch.columns)
-    return remove_duplicates(fresh, key, "first", order)
+    # Duplicates go first: that cuts a hot key before the shuffle, and the anti join
+    # then finds the rows already partitioned by key.
+    first = remove_duplicates(batch, key, "first", order)
+    return first.join(target.select(key), key, "left_anti").select(*batch.columns)
 
 
 def load_users(target: DataFrame, batch: DataFrame) -> DataFrame:

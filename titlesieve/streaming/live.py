@@ -46,9 +46,9 @@ def write_progress(progress: DataFrame, table: str, checkpoint: str, **trigger)
 
 def read_progress(spark: SparkSession, table: str) -> DataFrame:
     """The latest stored row of each reviewer."""
-    latest = F.max_by(F.struct("current_index", "kept", "rejected", "last_active"), "batch_id")
     changes = spark.read.schema(PROGRESS_SCHEMA).parquet(table)
-    return changes.groupBy("user_id").agg(latest.alias("now")).select("user_id", "now.*")
+    counters = ("current_index", "kept", "rejected", "last_active")
+    return changes.groupBy("user_id").agg(*[F.max_by(c, "batch_id").alias(c) for c in counters])
 
 
 def dedup_decisions(decisions: DataFrame, delay: str) -> DataFrame:
