@@ -130,7 +130,7 @@ def test_exports(spark, tmp_path):
         export_nonempty(df.where("row_id > 99"), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
     export_nonempty(df, str(tmp_path / "deep" / "er" / "all"), order_by="row_id")
-    assert read_papers(spark, str(tmp_path / "deep" / "er" / "all")).count() == 5
+    assert read_papers(spark, str(tmp_path / "deep" / "er" / "all"), row_id=False).count() == 5
 
 
 def test_triage_folders(spark, tmp_path):
@@ -149,3 +149,15 @@ def test_deduplicate_job(spark, tmp_path):
     assert tuple(report.first()) == (5, 1, 4)
     titles = [c[0] for c in cells(read_papers(spark, str(tmp_path / "out")), ["Title"])]
     assert titles == ["Plain title", 'Quoted "title", with comma', None, "  outer blanks "]
+
+
+def test_awkward_headers(spark, tmp_path):
+    header = ["Title", "title", "a.b", "c`d", "e f;{}()=", ""]
+    path = write_text(tmp_path / "a.csv", header, [["1", "2", "3", "4", "5", "6"]])
+    df = read_papers(spark, path)
+    assert df.columns == ["row_id", "Title", "title.1", "a.b", "c`d", "e f;{}()=", "Unnamed: 5"]
+    assert tuple(df.first()) == (0, "1", "2", "3", "4", "5", "6")
+    taken = write_text(tmp_path / "b.csv", ["Row_ID", "Title"], [["7", "x"]])
+    with pytest.raises(ValueError):
+        read_papers(spark, taken)
+    assert tuple(read_papers(spark, taken, row_id=False).first()) == ("7", "x")

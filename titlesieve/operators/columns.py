@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
 from titlesieve.functions.text import is_blank, parse_year
 
 # Each role and the name fragments that mark it, in order of priority.
@@ -20,10 +21,6 @@ CONFIDENCE = "nlp_confidence"
 CANONICAL = (*ROLE_MARKS, CONFIDENCE)
 
 
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def find_title_column(df: DataFrame) -> str:
     """First column whose name contains ``title`` in any case, else the first column."""
     names = [name for name in df.columns if name != "row_id"]
@@ -74,7 +71,7 @@ def to_canonical(df: DataFrame, mapping: dict[str, str], keep=("row_id",)) -> Da
     out of range from one that is missing.
     """
     text = {
-        role: _quoted(mapping[role]).cast("string") if role in mapping else F.lit(None).cast("string")
+        role: column(mapping[role]).cast("string") if role in mapping else F.lit(None).cast("string")
         for role in CANONICAL
     }
     columns = [
@@ -88,7 +85,7 @@ def to_canonical(df: DataFrame, mapping: dict[str, str], keep=("row_id",)) -> Da
 
 def drop_blank_titles(df: DataFrame, title: str = "title") -> DataFrame:
     """Rows whose title has something other than white space."""
-    return df.where(_quoted(title).isNotNull() & ~is_blank(_quoted(title)))
+    return df.where(column(title).isNotNull() & ~is_blank(column(title)))
 
 
 def with_verdict_columns(df: DataFrame) -> DataFrame:

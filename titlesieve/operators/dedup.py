@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
 from titlesieve.operators.columns import find_title_column
 
 
@@ -23,14 +24,14 @@ def remove_duplicates(df: DataFrame, subset=None, keep="first", order: str = "ro
     the map stage for the same reason.
     """
     keys = _keys(df, subset)
-    quoted = [F.col(f"`{key}`") for key in keys]
+    quoted = [column(key) for key in keys]
     if keep in ("first", "last"):
         by = F.col(order) if keep == "first" else F.col(order).desc()
         window = Window.partitionBy(*quoted).orderBy(by)
         return df.withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
     if keep is not False:
         raise ValueError("keep must be 'first', 'last' or False")
-    row = F.struct(*[F.col(f"`{name}`") for name in df.columns])
+    row = F.struct(*[column(name) for name in df.columns])
     return (
         df.groupBy(*quoted)
         .agg(F.count("*").alias("__copies"), F.min_by(row, order).alias("__row"))
@@ -41,7 +42,7 @@ def remove_duplicates(df: DataFrame, subset=None, keep="first", order: str = "ro
 
 def duplicate_report(df: DataFrame, subset=None, keep="first") -> DataFrame:
     """One row: original, removed, remaining. Reads the key columns only."""
-    per_key = df.groupBy(*[F.col(f"`{key}`") for key in _keys(df, subset)]).agg(
+    per_key = df.groupBy(*[column(key) for key in _keys(df, subset)]).agg(
         F.count("*").alias("copies")
     )
     kept = F.count_if(F.col("copies") == 1) if keep is False else F.count("*")

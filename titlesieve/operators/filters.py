@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
 from titlesieve.functions.text import (
     bind, exclude, include_all, include_any, length_between, parse_keywords,
 )
@@ -55,7 +56,7 @@ class FilterSpec:
 
 def apply_filter(df: DataFrame, spec: FilterSpec, title: str | None = None) -> DataFrame:
     """Rows of the base table ``df`` that pass ``spec``."""
-    return df.where(spec.predicate(F.col(f"`{title or find_title_column(df)}`")))
+    return df.where(spec.predicate(column(title or find_title_column(df))))
 
 
 def _checked_pattern(df: DataFrame, term: str) -> str:
@@ -73,7 +74,7 @@ def search_predicate(df: DataFrame, term: str, mode: str = "regex", title: str |
         raise ValueError("mode must be 'regex' or 'literal'")
     if not term:
         return F.lit(True)
-    text = F.col(f"`{title or find_title_column(df)}`")
+    text = column(title or find_title_column(df))
     if mode == "literal":
         return include_any(text, [term])
     return text.isNotNull() & text.rlike(_checked_pattern(df, term))

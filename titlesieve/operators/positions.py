@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titlesieve.sources.storage import materialise
+from titlesieve.functions.names import column
+from titlesieve.sources.storage import materialise, spread
 
 
 def with_positions(
@@ -49,7 +50,7 @@ def with_positions(
     )
 
 
-def number_scanned_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
+def number_scanned_rows(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Add dense ids in file order to rows just read from files.
 
     Spark packs small files into scan tasks by size, so the task number does not
@@ -57,8 +58,8 @@ def number_scanned_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
     task, and the splits are then put in order of path and offset. ``df`` must hold
     the scan's ``_metadata`` and no filter may have run on it.
     """
-    columns = [F.col(f"`{column}`") for column in df.columns if column != "_metadata"]
-    stored = materialise(
+    columns = [column(name) for name in df.columns if name != "_metadata"]
+    scanned = materialise(
         df.select(
             *columns,
             F.col("_metadata.file_path").alias("__file"),
@@ -67,6 +68,7 @@ def number_scanned_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
         ),
         "scan",
     )
+    stored = spread(scanned)
     splits = stored.groupBy("__file", "__block").agg(
         F.count("*").alias("rows"), F.min("__at").alias("first")
     )
@@ -78,5 +80,5 @@ def number_scanned_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
         (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"),
     )
     return stored.join(starts, ["__file", "__block"]).select(
-        (F.col("__at") + F.col("shift")).alias(name), *columns
+        (F.col("__at") + F.col("shift")).alias(row_id), *columns
     )

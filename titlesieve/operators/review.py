@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
 from titlesieve.functions.rules import one_of, not_null
 from titlesieve.operators.positions import with_positions
 from titlesieve.operators.tables import check_rows, check_unique, flag_orphans
@@ -111,7 +112,7 @@ def current_item(queue: DataFrame, log: DataFrame, title: str = "title") -> Data
         )
         .withColumn("total", total)
     )
-    at = queue.select(F.col("pos").alias("index"), "row_id", F.col(f"`{title}`").alias("title"))
+    at = queue.select(F.col("pos").alias("index"), "row_id", column(title).alias("title"))
     index, total = F.col("index"), F.col("total")
     return cards.join(at, "index", "left").select(
         "user_id", "index", "total", (index >= total).alias("done"), "row_id", "title",

@@ -7,6 +7,8 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
+
 VERDICT_COLUMNS = ("nlp_decision", "nlp_confidence")
 
 DEFAULT_TEMPLATE = """You screen papers for a literature review.
@@ -54,8 +56,8 @@ def render_prompts(
     return df.select(
         "row_id",
         prompt(
-            F.coalesce(F.col(f"`{title}`"), F.lit(null_title)),
-            F.coalesce(F.col(f"`{abstract}`"), F.lit(null_abstract)),
+            F.coalesce(column(title), F.lit(null_title)),
+            F.coalesce(column(abstract), F.lit(null_abstract)),
             template,
             **texts,
         ).alias("prompt"),
@@ -81,11 +83,11 @@ def remaining(papers: DataFrame, progress: DataFrame, key: str = "row_id") -> Da
 def merge_progress(df: DataFrame, saved: DataFrame, key: str = "row_id") -> DataFrame:
     """Saved cells that are not null replace those of ``df``; columns of ``df`` only."""
     shared = [name for name in df.columns if name in saved.columns and name != key]
-    old = saved.select(key, *[F.col(f"`{name}`").alias(f"__saved_{name}") for name in shared])
+    old = saved.select(key, *[column(name).alias(f"__saved_{name}") for name in shared])
     cells = [
-        F.coalesce(F.col(f"`__saved_{name}`"), F.col(f"`{name}`")).alias(name)
+        F.coalesce(column(f"__saved_{name}"), column(name)).alias(name)
         if name in shared
-        else F.col(f"`{name}`")
+        else column(name)
         for name in df.columns
     ]
     return df.join(old, key, "left").select(*cells)
@@ -123,18 +125,13 @@ def run_batches(papers: DataFrame, judge, store: str, size: int, key: str = "row
         "cast(null as string) nlp_decision",
         "cast(null as string) nlp_confidence",
     ).write.mode("append").parquet(store)
-    low, high = remaining(papers, spark.read.schema(schema).parquet(store), key).agg(
-        F.min(key), F.max(key)
-    ).first()
-    judged = 0
-    if low is None:
-        return judged
-    for batch in range(low // size, high // size + 1):
+    open_rows = remaining(papers, spark.read.schema(schema).parquet(store), key)
+    batches = open_rows.select(batch_number(size, key).alias("batch")).distinct()
+    # One number per batch comes to the driver, which starts one job for each.
+    numbers = sorted(row.batch for row in batches.collect())
+    for batch in numbers:
         inside = F.col(key).between(batch * size, (batch + 1) * size - 1)
         done = spark.read.schema(schema).parquet(store).where(inside)
         todo = remaining(papers.where(inside), done, key)
-        if todo.isEmpty():
-            continue
         judge(todo).select(key, *VERDICT_COLUMNS).write.mode("append").parquet(store)
-        judged += 1
-    return judged
+    return len(numbers)

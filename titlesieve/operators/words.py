@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from titlesieve.functions.names import column
 from titlesieve.functions.stopwords import STOP_WORDS
 from titlesieve.functions.text import counted_words
 
@@ -30,7 +31,7 @@ def word_counts(
     leaves each task as one row. ``first`` packs row id and place (``PLACE_BITS`` low
     bits); with ``wide_ids`` it is a struct, which costs a sort.
     """
-    text, row = F.col(f"`{text}`"), F.col(order).cast("bigint")
+    text, row = column(text), F.col(order).cast("bigint")
     if not wide_ids:
         # A counted word takes four bytes with its separator, so a text's size bounds its
         # number of words. A row that does not fit fails the query with the remedy.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from titlesieve.functions.names import column
 from titlesieve.operators.columns import find_title_column
 from titlesieve.operators.positions import number_scanned_rows
 
@@ -34,10 +35,10 @@ def _header(spark: SparkSession, path, multi_line: bool) -> list[str]:
     for index, cell in enumerate(first):
         base = cell or f"Unnamed: {index}"
         name, repeat = base, 0
-        while name in taken:
+        while name.lower() in taken:
             repeat += 1
             name = f"{base}.{repeat}"
-        taken.add(name)
+        taken.add(name.lower())
         names.append(name)
     return names
 
@@ -57,9 +58,11 @@ def read_papers(
     best kept as many files, or as Parquet with a ``row_id`` column.
     """
     names = _header(spark, path, multi_line)
+    if row_id and "row_id" in map(str.lower, names):
+        raise ValueError("the file has a row_id column: pass row_id=False to use it")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     rows = _csv(spark, multi_line).options(header=True, emptyValue="").schema(schema).csv(path)
-    cells = [F.col(f"`{name}`") for name in names]
+    cells = [column(name) for name in names]
     cleaned = [
         F.when(~cell.isin(*null_tokens), cell).alias(name) for cell, name in zip(cells, names)
     ]

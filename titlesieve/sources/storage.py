@@ -22,7 +22,7 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     Only a local session without that setting gets a folder of its own; a cluster
     must name one that all executors share.
     """
-    base = spark.conf.get(_SETTING, None)
+    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
@@ -35,3 +35,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan of few files over all cores, for work that outweighs moving them.
+
+    A file without splits, such as a CSV with line breaks in cells or a Parquet file of
+    one row group, is one task however many cores there are. A scan that has a task for
+    every core already, as any large one has, is returned as it is. ``scan`` must be a
+    plain read: to count the tasks of anything else, Spark would have to run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

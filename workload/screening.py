@@ -14,7 +14,7 @@ from titlesieve.operators.filters import (
 from titlesieve.operators.paging import page, page_info
 from titlesieve.operators.stats import dataset_stats, filter_stats
 from workload.registry import WORD, query
-from workload.views import table, view, with_views
+from workload.views import spread_table, table, view, with_views
 
 KEYWORDS = ("The", "tion", "ung")
 WORDY = ("eaux", "heit", "c++")
@@ -40,6 +40,10 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark, sf_dir):
+    return spread_table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 @query("include_any_title", f"{PAPERS} SELECT row_id, title FROM papers WHERE coalesce({ANY_TITLE}, false)")
 def _(spark, sf_dir):
     return papers(spark, sf_dir).where(include_any(F.col("title"), KEYWORDS)).select("row_id", "title")
@@ -97,7 +101,7 @@ def _(spark, sf_dir):
     f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS words FROM documents",
 )
 def _(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", word_count(F.col("text")).alias("words"))
+    return texts(spark, sf_dir).select("doc_id", word_count(F.col("text")).alias("words"))
 
 
 @query("screen_papers", f"{PAPERS}, {SCREENED} SELECT row_id, title, source FROM screened")
@@ -142,7 +146,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     keywords = F.size(keyword_array(F.col("text"))).cast("bigint")
-    return documents(spark, sf_dir).select("doc_id", keywords.alias("keywords"))
+    return texts(spark, sf_dir).select("doc_id", keywords.alias("keywords"))
 
 
 @query(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from titlesieve.sources.storage import spread
+
 PAPERS = """
 SELECT doc_id AS row_id,
   CASE WHEN doc_id % 37 = 0 THEN NULL WHEN doc_id % 41 = 1 THEN '  '
@@ -92,6 +94,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row and no filter."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
     source = _TABLES[name]

@@ -8,7 +8,7 @@ from titlesieve.functions.stopwords import STOP_WORDS
 from titlesieve.operators.words import PLACE_BITS, with_relative, word_counts, word_frequencies
 from titlesieve.plans.flows import top_words
 from workload.registry import query
-from workload.screening import PAPERS, SPEC, SPEC_SQL, documents, papers
+from workload.screening import PAPERS, SPEC, SPEC_SQL, papers, texts
 from workload.views import table
 
 STOPS = ", ".join(f"'{word}'" for word in STOP_WORDS)
@@ -39,7 +39,7 @@ def _(spark, sf_dir):
     " SELECT word, count FROM counted ORDER BY count DESC, first LIMIT 50",
 )
 def _(spark, sf_dir):
-    return word_frequencies(documents(spark, sf_dir), "text", top_n=50, order="doc_id")
+    return word_frequencies(texts(spark, sf_dir), "text", top_n=50, order="doc_id")
 
 
 @query(
@@ -48,7 +48,7 @@ def _(spark, sf_dir):
     " SELECT word, count, first.r AS first_row FROM counted",
 )
 def _(spark, sf_dir):
-    counts = word_counts(documents(spark, sf_dir), "text", order="doc_id")
+    counts = word_counts(texts(spark, sf_dir), "text", order="doc_id")
     return counts.select("word", "count", F.shiftright("first", PLACE_BITS).alias("first_row"))
 
 
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
     stops = word_counts(
         table(spark, sf_dir, "benchmark"), "text", stop_words=(), order="item_id"
     )
-    return word_frequencies(documents(spark, sf_dir), "text", stop_words=stops, order="doc_id", wide_ids=True)
+    return word_frequencies(texts(spark, sf_dir), "text", stop_words=stops, order="doc_id", wide_ids=True)
 
 
 @query(
