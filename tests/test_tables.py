@@ -9,6 +9,7 @@ from titlesieve.operators.tables import (
 )
 from titlesieve.plans.flows import load_papers, load_user_tables
 from titlesieve.sources.schemas import PROGRESS, USERS
+from titlesieve.sources.writers import append_to_table
 
 USER = "id long, username string, password_hash string, display_name string, role string, invite_code string"
 
@@ -107,3 +108,11 @@ def test_load_papers(spark, frame, tmp_path):
     assert sorted((row.title, row.year) for row in stored.collect()) == [("A title", 2020), ("Plain", None)]
     with pytest.raises(ValueError):
         load_papers(source.drop("Title"), str(tmp_path / "other"))
+
+
+def test_append_to_a_catalog_table(spark, frame):
+    rows = frame("title string, year int", [("a", 2020), ("b", None)])
+    for times in (1, 2):
+        append_to_table(rows, "stored_papers")
+        assert spark.table("stored_papers").count() == 2 * times
+    spark.sql("DROP TABLE stored_papers")

@@ -28,7 +28,11 @@ def write_csv(df: DataFrame, path: str, order_by=None, mode: str = "errorifexist
 
 
 def export_nonempty(df: DataFrame, path: str, order_by=None, mode: str = "errorifexists") -> None:
-    """``write_csv``, refusing an empty result."""
+    """``write_csv``, refusing an empty result.
+
+    The check runs ``df`` as far as its first row. Behind joins or sorts that is most of
+    the work, so ``materialise`` such a result first.
+    """
     if df.isEmpty():
         raise ValueError("no data to export")
     write_csv(df, path, order_by, mode)

@@ -11,7 +11,7 @@ from titlesieve.operators.review import (
 )
 from titlesieve.operators.stats import reviewer_progress
 from titlesieve.sources.readers import read_papers
-from titlesieve.sources.storage import scratch_folder
+from titlesieve.sources.storage import materialise, scratch_folder
 from titlesieve.sources.writers import export_nonempty
 from titlesieve.streaming.live import dedup_decisions, live_progress, read_progress, write_progress
 from workload.registry import query
@@ -107,7 +107,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Through the CSV export and back."""
     target = scratch_folder(spark, "kept")
-    export_nonempty(_kept(spark, sf_dir), target)
+    kept = materialise(_kept(spark, sf_dir), "kept-rows")
+    export_nonempty(kept, target, order_by=["user_id", "pos"])
     numbers = {c: F.col(c).cast("bigint") for c in ("user_id", "pos", "row_id")}
     return read_papers(spark, target, row_id=False).withColumns(numbers)
 
