@@ -64,8 +64,10 @@ class Words(NamedTuple):
     hash: np.ndarray  # uint64 of each word
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after, bytes, offsets of rows) of pieces of about SLICE_BYTES."""
+def text_slices(
+    column: pa.Array, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after, bytes, offsets of rows) of pieces of about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -76,7 +78,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        after = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+        after = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
         after = min(max(after, row + 1), len(column))
         first = offsets[row]
         yield row, after, data[first : offsets[after]], offsets[row : after + 1] - first
