@@ -1,4 +1,9 @@
 """All registered queries of this package."""
 
-from titlesieve.llm import model_queries, native_queries, token_queries  # noqa: F401
+from titlesieve.llm import (  # noqa: F401
+    dedup_queries,
+    model_queries,
+    native_queries,
+    token_queries,
+)
 from titlesieve.llm.registry import ORACLES, QUERIES  # noqa: F401
