@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from titlesieve.llm.minhash import near_duplicates
 from titlesieve.llm.registry import query, table
+from titlesieve.llm.substring_dedup import removal_digests
 
 _OP10_SQL = r"""
 WITH RECURSIVE w AS (
@@ -32,3 +33,28 @@ FROM documents JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 @query("op10_minhash", _OP10_SQL)
 def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM g)
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w) AS e
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = e.doc_id AND gone.p = e.p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", _OP4_SQL)
+def op4_substring_dedup(spark, sf_dir):
+    return removal_digests(table(spark, sf_dir, "documents"))
