@@ -13,12 +13,13 @@ from titlesieve.llm.textscan import mix, prefix_hash, ragged, span_hash
 
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BUCKET_BITS = 18
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) that depend on seed and counter only."""
     counter = np.asarray(counter).astype(np.uint64)
-    bits = mix(mix(seed + counter * _STEP) + _STEP) >> np.uint64(11)
+    bits = mix(seed + counter * _STEP) >> np.uint64(11)
     return (bits.astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -54,8 +55,22 @@ class Vocabulary:
         table.update(zip(names, ids))
         hashes = word_hashes(list(table))
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.ids = np.fromiter(table.values(), np.int64, len(table))[order]
+        self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
+        self.ids = np.append(np.fromiter(table.values(), np.int64, len(table))[order], -1)
+        buckets = np.arange(1 << _BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - _BUCKET_BITS)
+        self.bucket = np.searchsorted(self.hashes, buckets).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash in ``hashes``, or -1: from its first bits, then step by step."""
+        at = self.bucket[hashes >> np.uint64(64 - _BUCKET_BITS)]
+        seen = self.hashes[at]
+        low = np.flatnonzero(seen < hashes)
+        while len(low):
+            at[low] += 1
+            seen[low] = self.hashes[at[low]]
+            low = low[seen[low] < hashes[low]]
+        at[seen != hashes] = -1
+        return at
 
 
 def _points(text: str) -> np.ndarray:
@@ -84,24 +99,24 @@ class Lattice:
         length = np.fromiter(map(len, words), np.int64, len(words))
         points = _points("".join(words))
         sums = _sums(points)
-        self.width = width = vocabulary.longest
         stop = np.cumsum(length)
         word = np.repeat(np.arange(len(words)), length)
         left = stop[word] - np.arange(len(points))
         node = np.arange(len(points)) + word
         self.first_node = stop - length + np.arange(len(words))
         nodes = len(points) + len(words)
-        self.token = np.full((nodes, width), -1, np.int32)
-        alive = np.arange(len(points))
-        for size in range(1, width + 1):
+        alive, found = np.arange(len(points)), []
+        for size in range(1, vocabulary.longest + 1):
             alive = alive[left[alive] >= size]
-            if not len(alive):
+            at = vocabulary.find(span_hash(sums, alive, alive + size))
+            alive, at = alive[at >= 0], at[at >= 0]
+            if not len(alive) and size > 1:
                 break
-            hashes = span_hash(sums, alive, alive + size)
-            at = np.minimum(np.searchsorted(vocabulary.hashes, hashes), len(vocabulary.hashes) - 1)
-            known = vocabulary.hashes[at] == hashes
-            alive = alive[known]
-            self.token[node[alive], size - 1] = vocabulary.ids[at[known]]
+            found.append((node[alive], vocabulary.ids[at]))
+        self.width = width = len(found)
+        self.token = np.full((nodes, width), -1, np.int32)
+        for column, (at, token) in enumerate(found):
+            self.token[at, column] = token
         spelt = np.flatnonzero(self.token[node, 0] < 0)
         letters, letter = np.unique(points[spelt], return_inverse=True)
         self.token[node[spelt], 0] = vocabulary.size + letter
@@ -114,6 +129,7 @@ class Lattice:
         self.ids_at = np.cumsum(self.n_ids) - self.n_ids
         spelt_weight = [vocabulary.byte_weight * len(s) for s in spelling]
         self.weight = np.concatenate([vocabulary.log_weight, spelt_weight, [-np.inf]])
+        narrow = self.weight.astype(np.float32)
         # Log of the total weight from each node to the end of its word, from the ends.
         self.total = np.zeros(nodes)
         self.upto = np.full((nodes, width), 2.0, np.float32)
@@ -125,7 +141,7 @@ class Lattice:
             at = node[order[a:b]]
             reach = np.arange(1, min(int(left[order[a]]), width) + 1)
             token = self.token[at[:, None], reach - 1] if len(reach) < width else self.token[at]
-            values = self.weight[token] + self.total[at[:, None] + reach]
+            values = narrow[token] + self.total[at[:, None] + reach].astype(np.float32)
             most = values.max(axis=1, keepdims=True)
             share = np.exp(values - most)
             summed = share.sum(axis=1, keepdims=True)
@@ -136,7 +152,6 @@ class Lattice:
             self.upto[at[:, None], reach - 1] = upto
         self.is_end = np.zeros(nodes, bool)
         self.is_end[self.first_node + length] = True
-        self.degree = (self.token >= 0).sum(axis=1)
 
     def node_of(self, edges: np.ndarray) -> np.ndarray:
         return edges // self.width

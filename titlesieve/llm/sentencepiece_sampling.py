@@ -20,14 +20,16 @@ from pyspark.sql import types as T
 
 from titlesieve.llm import textscan
 from titlesieve.llm.batches import add_columns
+from titlesieve.llm.idstore import IdStore
 from titlesieve.llm.lattice import MARK, Lattice, Vocabulary, truncated_gumbel, uniform
 from titlesieve.llm.textscan import mix, ragged, span_hash, text_slices
 
 SAMPLES = 2
 ALPHA = 1.0
-#: Bytes of text laid out at a time, and words whose ids a task remembers.
-LAYOUT_BYTES = 1 << 21
-MEMORY_WORDS = 300_000
+#: See Segmenter.sample.
+REACH = 90.0
+#: Bytes of text laid out at a time.
+LAYOUT_BYTES = 3 << 20
 
 
 class Sample(NamedTuple):
@@ -37,6 +39,15 @@ class Sample(NamedTuple):
     log_inclusion: float
 
 
+class Layout(NamedTuple):
+    """Words of a slice of texts; ``bounds`` has the occurrences of each row."""
+
+    words: list[str]  # distinct, without the space before them
+    hashes: np.ndarray  # of the words, ascending
+    word: np.ndarray  # the word at each occurrence
+    bounds: np.ndarray
+
+
 class Segmenter:
     """Encodes, samples and decodes slices of texts, for one model."""
 
@@ -45,14 +56,16 @@ class Segmenter:
 
         self.processor = SentencePieceProcessor(model_proto=model)
         self.vocabulary = Vocabulary(self.processor, alpha)
-        self.known: dict[bytes, bytes] = {
-            b"": np.array([self.processor.piece_to_id(MARK)], np.uint32).tobytes()
-        }
+        self.store = IdStore(self._encode)
         pieces = [self._spelling(i) for i in range(self.vocabulary.size)]
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        mark = [self.processor.piece_to_id(MARK)]
+        return [ids or mark for ids in self.processor.encode(words, num_threads=1)]
+
     def _spelling(self, i: int) -> bytes:
         if self.processor.is_byte(i):
             return bytes([int(self.processor.id_to_piece(i)[3:5], 16)])
@@ -60,7 +73,7 @@ class Segmenter:
             return b""
         return self.processor.id_to_piece(i).replace(MARK, " ").encode()
 
-    def layout(self, data: np.ndarray, offsets: np.ndarray):
+    def layout(self, data: np.ndarray, offsets: np.ndarray) -> Layout:
         """Distinct words of the slice, the word at each occurrence, and rows' bounds.
 
         A word is what follows a space up to the next word's space; further spaces belong
@@ -78,25 +91,19 @@ class Segmenter:
         inner[begins] = False
         key = start + inner[start]
         hashes = span_hash(textscan.prefix_hash(textscan._BYTES[data]), key, stop)
-        _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes, first, word = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(key[first].tolist(), stop[first].tolist())]
-        return words, word, np.searchsorted(start, offsets)
+        words = [
+            raw[a:b].decode("utf-8", "replace")
+            for a, b in zip(key[first].tolist(), stop[first].tolist())
+        ]
+        return Layout(words, hashes, word, np.searchsorted(start, offsets))
 
-    def encode(self, words: list[bytes], word: np.ndarray, bounds: np.ndarray):
+    def encode(self, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows by the model's own rule, and the number of ids of each row."""
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {b"": self.known[b""]}
-        new = [w for w in words if w not in self.known]
-        texts = [w.decode("utf-8", "replace") for w in new]
-        for w, ids in zip(new, self.processor.encode(texts, num_threads=1)):
-            self.known[w] = np.array(ids, np.uint32).tobytes()
-        coded = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        at = (np.cumsum(sizes) - sizes)[word]
-        total = np.concatenate([[0], np.cumsum(sizes[word])])
-        return flat[ragged(at, sizes[word])], np.diff(total[bounds])
+        places = self.store.find(layout.hashes, layout.words.__getitem__)
+        ids, sizes = self.store.ids(places[layout.word])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[layout.bounds])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """UTF-8 of each row of ids: the pieces one after the other without the first space."""
@@ -105,12 +112,16 @@ class Segmenter:
         return [flat[a:b][1:] if flat[a : a + 1] == b" " else flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def sample(
-        self, words: list[bytes], word: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int
+        self, layout: Layout, keys: np.ndarray, k: int, reach: float = REACH
     ) -> list[list[Sample]]:
-        """Up to ``k`` different segmentations of each row, largest perturbed number first."""
-        lattice = Lattice(
-            [MARK + w.decode("utf-8", "replace").replace(" ", MARK) for w in words], self.vocabulary
-        )
+        """Up to ``k`` different segmentations of each row, largest perturbed number first.
+
+        Places less likely to be reached than exp(-reach) get no bound at first: it is at
+        most 38 above its location, so while all chosen bounds are larger it is not needed.
+        Where one is not, the slice is done again with all bounds.
+        """
+        word, bounds = layout.word, layout.bounds
+        lattice = Lattice([MARK + w.replace(" ", MARK) for w in layout.words], self.vocabulary)
         row_seed = mix(keys.astype(np.int64).view(np.uint64))
         row = np.repeat(np.arange(len(keys)), np.diff(bounds))
         place = np.arange(len(word)) - bounds[row]
@@ -120,10 +131,10 @@ class Segmenter:
         searches = [_Search(lattice, k) for _ in keys]
         ends = np.concatenate([[0], np.cumsum(counts)])
         token_bounds = ends[bounds]
-        rests = _rests(lattice, edges, token_bounds, top, row_seed)
+        rests, log_probs = _rests(lattice, edges, token_bounds, top, row_seed, reach)
         for r, search in enumerate(searches):
             a, b = token_bounds[r], token_bounds[r + 1]
-            search.add(edges[a:b], rests[a:b], top[r])
+            search.add(edges[a:b], rests[a:b], top[r], log_probs[r])
         first_token = ends[:-1]
         for n in range(1, k + 1):
             splits = [
@@ -151,10 +162,14 @@ class Segmenter:
             ]
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
             rows, most = np.array([s[0] for s in splits]), np.array([s[4] for s in splits])
-            rests = _rests(lattice, np.concatenate(paths), cuts, most, mix(row_seed[rows] + np.uint64(n)))
-            for (r, _, t, _, bound), path, a, b in zip(splits, paths, cuts, cuts[1:]):
+            rests, log_probs = _rests(
+                lattice, np.concatenate(paths), cuts, most, mix(row_seed[rows] + np.uint64(n)), reach
+            )
+            for (r, _, t, _, bound), path, a, b, log_prob in zip(splits, paths, cuts, cuts[1:], log_probs):
                 rests[a : a + t + 1] = -np.inf
-                searches[r].add(path, rests[a:b], bound)
+                searches[r].add(path, rests[a:b], bound, log_prob)
+        if any(search.needs(reach) for search in searches):
+            return self.sample(layout, keys, k, np.inf)
         return _samples(lattice, searches)
 
 
@@ -162,16 +177,14 @@ def _samples(lattice: Lattice, searches: list[_Search]) -> list[list[Sample]]:
     paths = [path for search in searches for path in search.paths]
     cuts = np.concatenate([[0], np.cumsum([len(path) for path in paths])]).astype(np.int64)
     edges = np.concatenate([*paths, np.zeros(0, np.int64)])
-    log_p = np.concatenate([[0], np.cumsum(lattice.log_p(edges))])
     ids, sizes = lattice.ids(edges)
     ends = np.concatenate([[0], np.cumsum(sizes)])[cuts]
-    log_prob = (log_p[cuts[1:]] - log_p[cuts[:-1]]).tolist()
     out, k = [], 0
     for search in searches:
         row = []
-        for perturbed in search.perturbed:
-            inside = log_inclusion(log_prob[k], search.left)
-            row.append(Sample(ids[ends[k] : ends[k + 1]], log_prob[k], perturbed, inside))
+        for perturbed, log_prob in zip(search.perturbed, search.log_probs):
+            inside = log_inclusion(log_prob, search.left)
+            row.append(Sample(ids[ends[k] : ends[k + 1]], log_prob, perturbed, inside))
             k += 1
         out.append(row)
     return out
@@ -186,8 +199,8 @@ def marks_as_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
 
 
-def _rests(lattice, edges, bounds, most, seeds) -> np.ndarray:
-    """The bound of all paths that leave a found path at each of its places.
+def _rests(lattice, edges, bounds, most, seeds, reach) -> tuple[np.ndarray, np.ndarray]:
+    """The bound of all paths that leave a found path at each place; the paths' log-probabilities.
 
     They share what is before the place and take another edge there; their largest
     Gumbel number is one at the log of their joint probability, at most the path's own.
@@ -195,15 +208,21 @@ def _rests(lattice, edges, bounds, most, seeds) -> np.ndarray:
     counts = np.diff(bounds)
     row = np.repeat(np.arange(len(counts)), counts)
     log_p = lattice.log_p(edges)
-    running = np.cumsum(log_p) - log_p
+    running = np.cumsum(log_p) - log_p  # before each place
     filled = counts > 0
     base = np.zeros(len(counts))
     base[filled] = running[bounds[:-1][filled]]
+    location = running - base[row]
+    near = np.flatnonzero(location >= -reach)
+    rests = np.full(len(edges), -np.inf)
     with np.errstate(divide="ignore", invalid="ignore"):
-        other = np.log(-np.expm1(np.minimum(log_p, 0.0)))
-        other[lattice.degree[lattice.node_of(edges)] == 1] = -np.inf
-        u = uniform(seeds[row] ^ np.uint64(0x5DEECE66D), np.arange(len(edges)) - bounds[row])
-        return truncated_gumbel(running - base[row] + other, most[row], u)
+        other = np.log(-np.expm1(log_p[near]))
+        u = uniform(seeds[row[near]] ^ np.uint64(0x5DEECE66D), near - bounds[row[near]])
+        rests[near] = truncated_gumbel(location[near] + other, most[row[near]], u)
+    ends = np.cumsum(log_p)[bounds[1:][filled] - 1]
+    log_probs = np.zeros(len(counts))
+    log_probs[filled] = ends - base[filled]
+    return rests, log_probs
 
 
 class _Search:
@@ -214,13 +233,20 @@ class _Search:
         self.paths: list[np.ndarray] = []
         self.rests: list[np.ndarray] = []
         self.perturbed: list[float] = []
+        self.log_probs: list[float] = []
         self.taken: dict[tuple[int, int], list[int]] = {}
         self.left = -np.inf
 
-    def add(self, path: np.ndarray, rest: np.ndarray, perturbed: float) -> None:
+    def add(self, path: np.ndarray, rest: np.ndarray, perturbed: float, log_prob: float) -> None:
         self.paths.append(path)
         self.rests.append(rest)
         self.perturbed.append(float(perturbed))
+        self.log_probs.append(float(log_prob))
+
+    def needs(self, reach: float) -> bool:
+        """Whether a bound that was not computed could have been chosen."""
+        chosen = min([self.left, *self.perturbed[1:]])
+        return chosen < 38 - reach and min(self.log_probs, default=0.0) < -reach
 
     def words_before(self, path: int, t: int) -> int:
         """Words of the text that end before token t of a path."""
@@ -297,7 +323,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         parts, sizes = [], []
         for _, _, data, offsets in text_slices(batch.column(at)):
-            ids, counts = get().encode(*get().layout(*marks_as_spaces(data, offsets)))
+            ids, counts = get().encode(get().layout(*marks_as_spaces(data, offsets)))
             parts.append(ids)
             sizes.append(counts)
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
@@ -344,7 +370,7 @@ def sample(
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         keys, found = batch.column(key).to_numpy(), []
         for first, after, data, offsets in text_slices(batch.column(at), LAYOUT_BYTES):
-            found += get().sample(*get().layout(*marks_as_spaces(data, offsets)), keys[first:after], k)
+            found += get().sample(get().layout(*marks_as_spaces(data, offsets)), keys[first:after], k)
         rows = [
             [s._replace(ids=s.ids.astype(np.int32))._asdict() for s in row] for row in found
         ]
@@ -385,9 +411,9 @@ def digests(
         for first, after, data, offsets in text_slices(batch.column(1), LAYOUT_BYTES):
             segmenter = get()
             data, offsets = marks_as_spaces(data, offsets)
-            words, word, bounds = segmenter.layout(data, offsets)
-            ids, counts = segmenter.encode(words, word, bounds)
-            samples = segmenter.sample(words, word, bounds, keys[first:after], k)
+            layout = segmenter.layout(data, offsets)
+            ids, counts = segmenter.encode(layout)
+            samples = segmenter.sample(layout, keys[first:after], k)
             ends = np.concatenate([[0], np.cumsum(counts)])
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text scanned at a time; a longer text is scanned alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: Fixed by the contract of word separators: space and 0x09-0x0D.
 BLANKS = np.zeros(256, bool)

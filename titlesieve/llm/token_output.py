@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titlesieve.llm import textscan
-from titlesieve.llm.textscan import ragged, text_slices
+from titlesieve.llm.idstore import IdStore
+from titlesieve.llm.textscan import text_slices
 from titlesieve.llm.wavelet import WaveletFile, pack
 
 END_ID = 2
 #: Tokens after which a task closes a shard at the next end of a document.
 SHARD_TOKENS = 4_000_000
-#: Encoded pieces that a task remembers before it starts anew.
-MEMORY_PIECES = 300_000
 
 _SPACE = np.arange(256) == 0x20
 _BLANK = np.arange(256) <= 0x20
@@ -38,8 +38,12 @@ class PieceEncoder:
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        self.store = IdStore(self._encode)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cuts(self, data: np.ndarray) -> np.ndarray:
         cut = _SPACE[data]
@@ -60,25 +64,15 @@ class PieceEncoder:
         stop = np.append(start[1:], len(data))
         sums = textscan.prefix_hash(textscan._BYTES[data])
         hashes = textscan.span_hash(sums, start, stop)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        if len(self.known) > MEMORY_PIECES:
-            self.known.clear()
-        new = [key for key in keys if key not in self.known]
-        texts = [key.decode("utf-8", "replace") for key in new]
-        for key, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[key] = np.array(found.ids, np.uint32).tobytes()
-        coded = [self.known[key] for key in keys] + [np.uint32(END_ID).tobytes()]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        begins = np.cumsum(sizes) - sizes
+        hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        raw, begin, end = data.tobytes(), start[first], stop[first]
+        places = self.store.find(
+            hashes, lambda i: raw[begin[i] : end[i]].decode("utf-8", "replace")
+        )
+        ids, sizes = self.store.ids(places[inverse])
         bounds = np.searchsorted(start, offsets)
-        order = np.insert(inverse, bounds[1:], len(keys))
-        ids = flat[ragged(begins[order], sizes[order])]
-        bounds = bounds + np.arange(len(bounds))
-        total = np.concatenate([[0], np.cumsum(sizes[order])])
-        return ids, np.diff(total[bounds])
+        total = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        return np.insert(ids, total[1:], END_ID), np.diff(total) + 1
 
 
 def write_shards(
