@@ -129,7 +129,6 @@ class Lattice:
         self.ids_at = np.cumsum(self.n_ids) - self.n_ids
         spelt_weight = [vocabulary.byte_weight * len(s) for s in spelling]
         self.weight = np.concatenate([vocabulary.log_weight, spelt_weight, [-np.inf]])
-        narrow = self.weight.astype(np.float32)
         # Log of the total weight from each node to the end of its word, from the ends.
         self.total = np.zeros(nodes)
         self.upto = np.full((nodes, width), 2.0, np.float32)
@@ -141,7 +140,8 @@ class Lattice:
             at = node[order[a:b]]
             reach = np.arange(1, min(int(left[order[a]]), width) + 1)
             token = self.token[at[:, None], reach - 1] if len(reach) < width else self.token[at]
-            values = narrow[token] + self.total[at[:, None] + reach].astype(np.float32)
+            # In double precision: the only edge of a node must have probability 1 exactly.
+            values = self.weight[token] + self.total[at[:, None] + reach]
             most = values.max(axis=1, keepdims=True)
             share = np.exp(values - most)
             summed = share.sum(axis=1, keepdims=True)
