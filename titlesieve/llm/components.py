@@ -16,27 +16,27 @@ MOST_ROUNDS = 60
 _FOREST = "a long, b long"
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each batch reduced to (node, smallest node it is linked with there)."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links a - b that have a smaller one, and the smallest they lead to."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, ends = np.unique(
-            np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]),
-            return_inverse=True,
-        )
-        a, b = ends[: batch.num_rows], ends[batch.num_rows :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            root = root[root]
-            if np.array_equal(before, root):
-                break
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"]
-        )
+        found = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
     stored under the checkpoint folder. Nothing but one count per round is collected.
     """
     pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    current = materialise(pairs.mapInArrow(_forest, _FOREST), "links")
+    current = materialise(pairs.mapInArrow(_forests, _FOREST), "links")
     for _ in range(MOST_ROUNDS):
         large = _star(current, larger=True)
         # Small star: each node and its smaller neighbours all point at the smallest.

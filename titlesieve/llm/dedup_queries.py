@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from titlesieve.llm import embedding_dedup
 from titlesieve.llm.minhash import near_duplicates
 from titlesieve.llm.registry import query, table
 from titlesieve.llm.substring_dedup import removal_digests
@@ -58,3 +59,27 @@ FROM w LEFT JOIN kept USING (doc_id)
 @query("op4_substring_dedup", _OP4_SQL)
 def op4_substring_dedup(spark, sf_dir):
     return removal_digests(table(spark, sf_dir, "documents"))
+
+
+_OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+  FROM embeddings WHERE label IS NOT NULL),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op1_embedding_dedup", _OP1_SQL)
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
