@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titlesieve.llm.lookup import BROADCAST_IDS
+from titlesieve.sources.storage import materialise
+
 WINDOW = 10
 #: The most windows that one broadcast holds: below 100 MB at 10 words of 16 bytes each.
 BLOCK_WINDOWS = 200_000
@@ -126,13 +129,16 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which a window of ``benchmark`` occurs; all its columns.
 
-    Same rules as :func:`contamination`. The contaminated ids and text hashes, far fewer
-    than the documents, are what the join looks up.
+    Same rules as :func:`contamination`. The contaminated ids and text hashes are stored;
+    they are broadcast while they are few, and joined by a shuffle beyond that.
     """
-    bad = (
+    bad = materialise(
         contamination(docs, benchmark, window)
         .where("n_hit > 0")
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        .distinct(),
+        "contaminated",
     )
+    small = bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, same, "left_anti")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 
-def rows_of(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def rows_of(table: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """The rows of ``table`` whose ``key`` is in ``ids``, a stored table of that column.
 
+    With ``how`` "left_anti" those whose key is not; a null key is in no table.
+
     Up to BROADCAST_IDS ids are sent to the tasks that scan the table; more are joined by
     a shuffle of both sides.
     """
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return table.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return table.join(F.broadcast(ids) if small else ids, key, how)

@@ -296,3 +296,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_duplicates`.
+
+    The smallest id of each stays, with all its columns. Of rows that share an id and have
+    equal texts one stays; rows with a null id all stay.
+    """
+    found = materialise(near_duplicates(docs), "near-duplicates")
+    gone = materialise(found.where("not kept").select("doc_id").distinct(), "gone")
+    left = rows_of(docs, gone, "doc_id", "left_anti")
+    often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = materialise(often.select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return left
+    one = rows_of(left, repeated, "doc_id").dropDuplicates(["doc_id", "text"])
+    return rows_of(left, repeated, "doc_id", "left_anti").unionByName(one)

@@ -17,8 +17,7 @@ def query(name: str, sql: str | None = None):
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Python workers import this package by name.
-            spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+            ship(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
@@ -29,5 +28,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package by name."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -326,12 +326,16 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             ids, counts = get().encode(get().layout(*marks_as_spaces(data, offsets)))
             parts.append(ids)
             sizes.append(counts)
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))]
+        return [_lists(np.concatenate(sizes), pa.array(np.concatenate(parts).astype(np.int32)))]
 
     return add_columns(docs, [("ids", T.ArrayType(T.IntegerType()))], compute)
 
 
+def _lists(sizes, values: pa.Array) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
     """``rows`` with ``decoded`` (STRING): the text of their ``ids``; empty for null ids.
 
@@ -371,14 +375,14 @@ def sample(
         keys, found = batch.column(key).to_numpy(), []
         for first, after, data, offsets in text_slices(batch.column(at), LAYOUT_BYTES):
             found += get().sample(get().layout(*marks_as_spaces(data, offsets)), keys[first:after], k)
-        rows = [
-            [s._replace(ids=s.ids.astype(np.int32))._asdict() for s in row] for row in found
-        ]
-        kind = pa.list_(pa.struct([
-            ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()),
-            ("perturbed", pa.float64()), ("log_inclusion", pa.float64()),
-        ]))
-        return [pa.array(rows, kind)]
+        flat = [s for row in found for s in row]
+        ids = np.concatenate([np.zeros(0, np.int64), *(s.ids for s in flat)]).astype(np.int32)
+        numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
+        each = pa.StructArray.from_arrays(
+            [_lists([len(s.ids) for s in flat], pa.array(ids)), *numbers],
+            names=["ids", "log_prob", "perturbed", "log_inclusion"],
+        )
+        return [_lists([len(row) for row in found], each)]
 
     return add_columns(keyed, [("samples", T.ArrayType(_SAMPLE))], compute, ("__seed",))
 

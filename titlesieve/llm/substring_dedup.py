@@ -17,7 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from titlesieve.functions.names import column
+from titlesieve.llm.batches import add_columns
 from titlesieve.llm.lookup import BROADCAST_IDS
 from titlesieve.llm.textscan import (
     Words,
@@ -153,54 +156,52 @@ def _find_edges(window: int):
     return run
 
 
-def _remove(window: int, keep_text: bool):
-    """Per document of (doc_id, text, spans): words, removed words, and what is kept."""
+def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple]:
+    """(first row, words of each row, removed words, kept words as UTF-8) of slices."""
+    flat = spans.flatten()
+    starts, sizes = (flat.field(i).to_numpy() for i in (0, 1))
+    ends = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in spans])])
+    for first, after, data, offsets in text_slices(texts):
+        words = scan_words(data, offsets, hashed=False)
+        lo, hi = ends[first], ends[after]
+        row = np.repeat(np.arange(after - first), np.diff(ends[first : after + 1]))
+        change = np.zeros(len(words.start) + 1, np.int64)
+        begin = words.bounds[row] + starts[lo:hi]
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + sizes[lo:hi] + window - 1, -1)
+        kept = np.cumsum(change)[:-1] == 0
+        count = np.concatenate([[0], np.cumsum(kept)])[words.bounds]
+        where = np.flatnonzero(kept)
+        left = Words(data, words.start[where], words.stop[where], count, words.hash)
+        raw = data.tobytes()
+        joined = [_joined(left, a, b, raw) for a, b in zip(count.tolist(), count[1:].tolist())]
+        total = np.diff(words.bounds)
+        yield first, total, total - np.diff(count), joined
+
+
+def _digest_kept(window: int):
+    """Per document of (doc_id, text, spans): words, removed words, checksum of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
-            flat = spans.flatten()
-            starts, sizes = (flat.field(i).to_numpy() for i in (0, 1))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in spans])])
-            for first, after, data, offsets in text_slices(batch.column(1)):
-                words = scan_words(data, offsets, hashed=False)
-                lo, hi = ends[first], ends[after]
-                row = np.repeat(np.arange(after - first), np.diff(ends[first : after + 1]))
-                change = np.zeros(len(words.start) + 1, np.int64)
-                begin = words.bounds[row] + starts[lo:hi]
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + sizes[lo:hi] + window - 1, -1)
-                kept = np.cumsum(change)[:-1] == 0
-                count = np.concatenate([[0], np.cumsum(kept)])[words.bounds]
-                where = np.flatnonzero(kept)
-                left = Words(data, words.start[where], words.stop[where], count, words.hash)
-                raw = data.tobytes()
-                texts = [
-                    _joined(left, a, b, raw) for a, b in zip(count.tolist(), count[1:].tolist())
-                ]
-                total = np.diff(words.bounds)
-                last = (
-                    pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
-                    if keep_text
-                    else pa.array([hashlib.sha256(t).hexdigest() for t in texts])
-                )
+            for first, total, removed, kept in _keep(batch.column(1), batch.column(2), window):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, after - first), pa.array(total),
-                     pa.array(total - np.diff(count)), last],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
+                    [batch.column(0).slice(first, len(total)), pa.array(total), pa.array(removed),
+                     pa.array([hashlib.sha256(t).hexdigest() for t in kept])],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
     return run
 
 
-def _with(docs: DataFrame, side: DataFrame, cells: str) -> DataFrame:
+def _with(docs: DataFrame, side: DataFrame, cells: str, how: str = "inner") -> DataFrame:
     """``docs`` joined with a stored table that has one row per id and an array ``cells``.
 
     The table is broadcast up to 4 array cells per allowed id; a larger one is joined by
     a shuffle of both sides.
     """
     size = side.agg(F.sum(F.size(cells) + 4)).head()[0] or 0
-    return docs.join(F.broadcast(side) if size <= 4 * BROADCAST_IDS else side, "doc_id")
+    return docs.join(F.broadcast(side) if size <= 4 * BROADCAST_IDS else side, "doc_id", how)
 
 
 class Repeats:
@@ -292,17 +293,53 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     return Repeats(ids, summary, copies, spans)
 
 
-def _split(repeats: Repeats, window: int, keep_text: bool) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of the rows that have spans."""
-    per_doc = materialise(
-        repeats.spans.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("spans")),
+def _spans_by_document(repeats: Repeats, copies: bool, window: int) -> DataFrame:
+    spans = repeats.spans.select("doc_id", "at", "size")
+    if copies:
+        whole = (F.col("n_words") - (window - 1)).cast("int")
+        rows = repeats.summary.join(repeats.copies, ["doc_id", "d1", "d2"], "left_semi")
+        spans = spans.unionByName(rows.select("doc_id", F.lit(0).alias("at"), whole.alias("size")))
+    return materialise(
+        spans.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("spans")),
         "document-spans",
     )
-    return (
-        _with(repeats.docs, per_doc, "spans")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_remove(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words that repeat earlier ones, and without texts left empty.
+
+    Rules as for :func:`find_repeats`. A text that loses words becomes its kept words
+    joined by one space; others stay as they are. Rows that lose all words go. All columns
+    stay; ``n_chars``, if there, is the length of the new text. Rows with a null id keep
+    their text.
+    """
+    spans = _spans_by_document(find_repeats(docs, window), True, window).withColumnRenamed(
+        "spans", "__spans"
+    )
+    joined = _with(docs, spans, "__spans", "left")
+    texts, at = joined.columns.index("text"), joined.columns.index("__spans")
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        changed = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(changed)
+        part = batch.take(pa.array(where))
+        new = [t for _, _, _, kept in _keep(part.column(texts), part.column(at), window) for t in kept]
+        old = batch.column(texts).to_pylist()
+        for i, text in zip(where.tolist(), new):
+            old[i] = text.decode("utf-8", "replace") or None
+        return [pa.array(old, pa.string()), pa.array(changed)]
+
+    fields = [("__text", T.StringType()), ("__changed", T.BooleanType())]
+    edited = add_columns(joined, fields, compute, ("text", "__spans")).where(
+        "not (__changed and __text is null)"
     )
+    columns = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("__changed"), F.length("__text").cast(kind)).otherwise(
+            F.col("n_chars")
+        )
+    return edited.select(*(columns.get(c, column(c)).alias(c) for c in docs.columns))
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -313,7 +350,14 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     is found again by its id, so rows that share an id get the spans of all of them.
     """
     repeats = find_repeats(docs, window)
-    changed = _split(repeats, window, keep_text=False)
+    per_doc = _spans_by_document(repeats, False, window)
+    changed = (
+        _with(repeats.docs, per_doc, "spans")
+        .select("doc_id", "text", "spans")
+        .mapInArrow(
+            _digest_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        )
+    )
     rest = repeats.summary.join(repeats.spans.select("doc_id").distinct(), "doc_id", "left_anti")
     copy = repeats.copies.select("doc_id", "d1", "d2", F.lit(True).alias("copy")).distinct()
     whole = rest.join(copy, ["doc_id", "d1", "d2"], "left").select(
@@ -322,5 +366,5 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"),
         F.when(F.col("copy"), F.lit(_NONE)).otherwise(F.col("whole_sha256")).alias("kept_sha256"),
     )
-    result = whole.unionByName(changed.withColumnRenamed("kept", "kept_sha256"))
+    result = whole.unionByName(changed)
     return result.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
