@@ -34,3 +34,17 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*map(column, df.columns)).mapInArrow(run, schema)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` gave for ``key``, kept by this Python worker for its later tasks.
+
+    One thing at a time is kept, so a worker's memory is bounded by the largest of them.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlesieve.llm import textscan
-from titlesieve.llm.batches import add_columns
+from titlesieve.llm.batches import add_columns, kept
 from titlesieve.llm.idstore import IdStore
 from titlesieve.llm.lattice import MARK, Lattice, Vocabulary, truncated_gumbel, uniform
 from titlesieve.llm.textscan import mix, ragged, span_hash, text_slices
@@ -301,12 +301,10 @@ _SAMPLE = T.StructType([
 def _segmenter(docs: DataFrame, model: bytes, alpha: float):
     """A function that gives each Python worker its own segmenter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Segmenter] = []
+    key = ("segmenter", zlib.crc32(model), alpha)
 
     def get() -> Segmenter:
-        if not made:
-            made.append(Segmenter(shared.value, alpha))
-        return made[0]
+        return kept(key, lambda: Segmenter(shared.value, alpha))
 
     return get
 

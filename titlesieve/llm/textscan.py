@@ -70,7 +70,7 @@ def text_slices(
     """(first row, row after, bytes, offsets of rows) of pieces of about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
         column.offset : column.offset + len(column) + 1
     ]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titlesieve.llm import textscan
+from titlesieve.llm.batches import kept
 from titlesieve.llm.idstore import IdStore
 from titlesieve.llm.textscan import text_slices
 from titlesieve.llm.wavelet import WaveletFile, pack
@@ -93,7 +94,8 @@ def write_shards(
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        text = shared.value
+        encoder = kept(("pieces", zlib.crc32(text.encode())), lambda: PieceEncoder(text))
         part = TaskContext.get().partitionId()
         held: list[list[np.ndarray]] = [[], [], [], []]
         number = 0
