@@ -91,7 +91,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     stops = np.flatnonzero(line_end) + 1
     line_bounds = np.searchsorted(stops, offsets, "right")
     word_of = np.searchsorted(words.start, np.concatenate([[0], stops]))
-    running = np.concatenate([[0], np.cumsum(words.hash)]).astype(np.uint64)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash)])
     line_key = running[word_of[1:]] - running[word_of[:-1]]
     columns = [
         np.log1p(size), np.log1p(count), mean, np.sqrt(np.maximum(square - mean * mean, 0)),
