@@ -287,9 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # One row per class on the right; a digest with many copies can be split on the left.
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_digest, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(
-        F.col("doc_id")
-    )
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",

@@ -207,7 +207,9 @@ def _rests(lattice, edges, bounds, most, seeds, reach) -> tuple[np.ndarray, np.n
     """
     counts = np.diff(bounds)
     row = np.repeat(np.arange(len(counts)), counts)
-    log_p = lattice.log_p(edges)
+    exact = lattice.log_p(edges)
+    # In steps of 2**-32, sums are exact and do not depend on the texts before.
+    log_p = np.rint(exact * 2.0**32) / 2.0**32
     running = np.cumsum(log_p) - log_p  # before each place
     filled = counts > 0
     base = np.zeros(len(counts))
@@ -216,7 +218,7 @@ def _rests(lattice, edges, bounds, most, seeds, reach) -> tuple[np.ndarray, np.n
     near = np.flatnonzero(location >= -reach)
     rests = np.full(len(edges), -np.inf)
     with np.errstate(divide="ignore", invalid="ignore"):
-        other = np.log(-np.expm1(log_p[near]))
+        other = np.log(-np.expm1(exact[near]))
         u = uniform(seeds[row[near]] ^ np.uint64(0x5DEECE66D), near - bounds[row[near]])
         rests[near] = truncated_gumbel(location[near] + other, most[row[near]], u)
     ends = np.cumsum(log_p)[bounds[1:][filled] - 1]

@@ -116,12 +116,22 @@ def write_shards(
             all_nulls = pc.is_null(batch.column(0)).to_numpy(zero_copy_only=False)
             for first, after, data, offsets in text_slices(batch.column(1)):
                 tokens, counts = encoder.encode(data, offsets)
-                for x, new in zip(held, (tokens, all_ids[first:after], all_nulls[first:after], counts)):
-                    x.append(new)
-                size += len(tokens)
-                if size >= shard_tokens:
-                    yield image()
-                    number, size = number + 1, 0
+                ends, row, token = np.cumsum(counts), 0, 0
+                while row < len(counts):
+                    # Rows up to the one that fills the shard.
+                    stop = int(np.searchsorted(ends, token + shard_tokens - size)) + 1
+                    stop = min(stop, len(counts))
+                    part = slice(first + row, first + stop)
+                    for x, new in zip(
+                        held,
+                        (tokens[token : ends[stop - 1]], all_ids[part], all_nulls[part], counts[row:stop]),
+                    ):
+                        x.append(new)
+                    size += int(ends[stop - 1]) - token
+                    row, token = stop, int(ends[stop - 1])
+                    if size >= shard_tokens:
+                        yield image()
+                        number, size = number + 1, 0
         if held[1]:
             yield image()
 
