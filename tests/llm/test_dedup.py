@@ -88,10 +88,12 @@ def test_near_duplicates_are_those_of_brute_force(frame):
         assert r.n_shingles == len(shingles(dict(rows)[r.doc_id]))
 
 
-def test_large_buckets_that_are_not_one_component(frame, monkeypatch):
+@pytest.mark.parametrize("small", [0, 8, 1_000])
+def test_large_buckets_that_are_not_one_component(frame, monkeypatch, small):
     """Documents around one long passage: a bucket of many, only some of them similar."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "LEAST_EQUAL_SLOTS", 0)
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(60)]
     rows = []

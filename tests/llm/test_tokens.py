@@ -197,4 +197,5 @@ def test_samples_depend_on_the_key_only(frame):
     docs = [(i, "some words of a text", "x", "x") for i in range(30)]
     one = {r.doc_id: r.samples for r in sps.sample(frame(DOCS, docs), MODEL).collect()}
     other = {r.doc_id: r.samples for r in sps.sample(frame(DOCS, docs[::-1]).repartition(7), MODEL).collect()}
-    assert one == other and len({tuple(s[0].ids) for s in one.values()}) > 5
+    assert one == other
+    assert len({tuple(s[0].ids) for s in one.values()}) >= 5

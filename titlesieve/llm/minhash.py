@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlesieve.llm.components import components
@@ -32,8 +32,10 @@ SLOTS = BANDS * BAND_SLOTS
 #: Slots that must agree for a pair to be verified. A pair at the threshold agrees in 54
 #: of 72 on average and in fewer than 34 with a probability below 1e-7.
 LEAST_EQUAL_SLOTS = 34
-#: Buckets up to this size are compared pair by pair; larger ones in blocks of this size.
-BLOCK = 256
+#: Open buckets up to this size are compared by a join; larger ones in blocks.
+SMALL, BLOCK = 32, 256
+#: Members of an open bucket that a round compares with the others.
+PIVOTS = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,20 +153,21 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, stored."""
-    named = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    wanted = materialise(
-        classes.join(named.distinct(), "rep", "left_semi").select("rep", "d1", "d2"), "wanted"
-    )
-    texts = rows_of(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted.select("rep"), "rep")
+def _sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes in ``reps``, computed from their texts and stored."""
+    wanted = materialise(classes.join(reps, "rep", "left_semi").select("rep", "d1", "d2"), "wanted")
+    texts = rows_of(docs.select(F.col("doc_id").alias("rep"), "text"), wanted.select("rep"), "rep")
     sets = (
         texts.mapInArrow(_shingles, "rep long, d1 long, d2 long, shingles binary")
         .join(wanted, ["rep", "d1", "d2"], "left_semi")
         .dropDuplicates(["rep"])
         .select("rep", "shingles")
     )
-    sets = materialise(sets, "shingles")
+    return materialise(sets, "shingles")
+
+
+def _verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, stored."""
     first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y")
@@ -180,20 +183,41 @@ def _equal_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 1)], names=["a", "b"])
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair that lie in different components and agree in enough slots."""
-    rep, found = table["rep"].to_numpy(), table["component"].to_numpy()
-    side = table["block"].to_numpy()
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links of one pair of blocks of a bucket between different components.
+
+    A pair that shares several buckets is looked at in that of its first common band only.
+    """
+    rep, found, side = (table[c].to_numpy() for c in ("rep", "component", "block"))
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    earlier = np.arange(BANDS) < np.flatnonzero(bands[0] == table["bucket"][0].as_py())[0]
     slots = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
     low, high = table["low"][0].as_py(), table["high"][0].as_py()
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    # Members of the right block by the shingles they hold.
+    row = np.repeat(np.arange(len(sets)), size)
+    in_right = np.isin(row, right)
+    order = np.argsort(number[in_right], kind="stable")
+    holders = row[in_right][order]
+    first = np.searchsorted(number[in_right][order], np.arange(len(known) + 1))
     a, b = [], []
     for i in left:
-        js = right[(rep[right] > rep[i]) if low == high else slice(None)]
+        js = right[rep[right] > rep[i]] if low == high else right
         js = js[found[js] != found[i]]
+        js = js[100 * np.minimum(size[js], size[i]) >= THRESHOLD * np.maximum(size[js], size[i])]
+        js = js[~(bands[js][:, earlier] == bands[i][earlier]).any(axis=1)]
         js = js[(slots[js] == slots[i]).sum(axis=1) >= LEAST_EQUAL_SLOTS]
-        a.append(np.minimum(rep[i], rep[js]))
-        b.append(np.maximum(rep[i], rep[js]))
+        if len(js):
+            own = number[ends[i] : ends[i + 1]]
+            at = ragged(first[own], first[own + 1] - first[own])
+            both = np.bincount(holders[at], minlength=len(sets))[js]
+            js = js[100 * both >= THRESHOLD * (size[js] + size[i] - both)]
+            a.append(np.minimum(rep[i], rep[js]))
+            b.append(np.maximum(rep[i], rep[js]))
     empty = np.zeros(0, np.int64)
     return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
@@ -212,10 +236,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents of equal sets become one class, so copies cost one row each. The bands of
     each class's SuperMinHash signature are its buckets. Every member of a bucket is
     verified against the bucket's smallest class: one pair per row, however large the
-    bucket. Only where a bucket is then not yet one component are its other pairs looked
-    at, without those inside a component: small buckets by a join, larger ones in blocks
-    of bounded size inside tasks, emitting only pairs whose signatures agree. All pairs
-    that pass are verified on the full sets of 64-bit shingle hashes.
+    bucket. Buckets that then are not one component get more rounds of PIVOTS members
+    each, compared with the members of other components only. Rounds go on while the
+    pairs left between components outnumber the classes and each round halves them. What
+    is then left is compared in full: small buckets by a join, larger ones in blocks of
+    bounded size inside tasks, which give links only. All links are verified on the full
+    sets of 64-bit shingle hashes.
 
     The stages run when this function is called; each is stored under the checkpoint
     folder.
@@ -245,41 +271,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         near = with_slots.select("a", "b", "x", "y").mapInArrow(_equal_slots, "a long, b long")
         return materialise(near, label)
 
+    sets = _sets_of(ids, classes, members.select("rep").distinct())
+    n_classes = classes.count()
     stars = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    links = _verify(ids, classes, checked(stars.distinct(), "stars"))
-    found = materialise(components(links), "components")
-
-    # Buckets that are not one component yet.
-    placed = members.join(found.toDF("rep", "component"), "rep", "left").select(
-        "bucket", "rep", "head", "members", F.coalesce("component", "rep").alias("component")
-    )
-    split = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    rest = materialise(
-        placed.join(split.where("low <> high").select("bucket"), "bucket", "left_semi")
-        .where("rep <> head"),
-        "open-buckets",
-    )
-    if not rest.isEmpty():
+    links = _verify(sets, checked(stars.distinct(), "stars"))
+    left, turn = float("inf"), 0
+    while True:
+        turn += 1
+        found = materialise(components(links), "components")
+        placed = members.join(found.toDF("rep", "component"), "rep", "left").select(
+            "bucket", "rep", "members", F.coalesce("component", "rep").alias("component")
+        )
+        # Buckets of several components, with the pairs between these.
+        inside = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        between = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+        open_ = inside.groupBy("bucket").agg(between.alias("pairs")).where("pairs > 0")
+        open_ = materialise(open_, "open-buckets")
+        before, left = left, open_.agg(F.sum("pairs")).head()[0] or 0
+        if left <= n_classes or 2 * left > before:
+            break
+        rest = placed.join(open_.select("bucket"), "bucket", "left_semi")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+        pivots = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+        pivots = pivots.select("bucket", F.col("rep").alias("pivot"), F.col("component").alias("own"))
+        pairs = rest.join(pivots, "bucket").where("component <> own").select(
+            F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
+        )
+        links = links.unionByName(_verify(sets, checked(pairs.distinct(), "pivot-pairs")))
+    if left:
+        rest = materialise(placed.join(open_.select("bucket"), "bucket", "left_semi"), "open-members")
         one, other = (
-            rest.where(F.col("members") <= BLOCK).select("bucket", F.col("rep").alias(r), F.col("component").alias(c))
+            rest.where(F.col("members") <= SMALL).select("bucket", F.col("rep").alias(r), F.col("component").alias(c))
             for r, c in (("a", "ca"), ("b", "cb"))
         )
         small = one.join(other, "bucket").where("a < b and ca <> cb").select("a", "b")
+        more = _verify(sets, checked(small.distinct(), "open-pairs"))
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        large = rest.where(F.col("members") > BLOCK).join(slots, "rep").select(
+        large = rest.where(F.col("members") > SMALL).select(
             "*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block")
         )
-        dealt = large.select(
-            "bucket", "rep", "component", "slots", "block",
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+        with_sets = large.join(classes.select("rep", "slots", "bands"), "rep").join(sets, "rep")
+        dealt = with_sets.withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         ).select(
-            "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+            "bucket", "rep", "component", "slots", "bands", "shingles", "block",
+            F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         )
-        in_blocks = dealt.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a long, b long")
-        more = checked(small.unionByName(in_blocks).distinct(), "open-pairs")
-        links = links.unionByName(_verify(ids, classes, more))
+        in_blocks = dealt.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a long, b long")
+        links = links.unionByName(more).unionByName(materialise(in_blocks, "block-links"))
         found = materialise(components(links), "components")
 
     by_digest = classes.join(found.toDF("rep", "component"), "rep", "left").select(

@@ -121,10 +121,10 @@ def write_shards(
                     # Rows up to the one that fills the shard.
                     stop = int(np.searchsorted(ends, token + shard_tokens - size)) + 1
                     stop = min(stop, len(counts))
-                    part = slice(first + row, first + stop)
+                    rows = slice(first + row, first + stop)
                     for x, new in zip(
                         held,
-                        (tokens[token : ends[stop - 1]], all_ids[part], all_nulls[part], counts[row:stop]),
+                        (tokens[token : ends[stop - 1]], all_ids[rows], all_nulls[rows], counts[row:stop]),
                     ):
                         x.append(new)
                     size += int(ends[stop - 1]) - token
