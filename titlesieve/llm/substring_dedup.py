@@ -74,20 +74,33 @@ def _joined(words: Words, start: int, stop: int, raw: bytes) -> bytes:
 
 
 def _summarise(window: int):
-    """Per document: words, digests of the word sequence, checksum of all words, minimizers."""
+    """Per document: words, digests of the word sequence, checksum of all words, minimizers.
+
+    ``grams`` are the distinct minimizers, ``own_grams`` those with several places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, after, data, offsets in text_slices(batch.column(1)):
                 words = scan_words(data, offsets)
-                # A gram is taken once for each place it is the minimizer at, so a window
-                # that repeats in its own document has a gram that occurs twice.
+                # A gram counts once for each place it is the minimizer at: a window that
+                # repeats in its own document has a gram with two places there.
                 at, _, _, low, where = _edges(words, window)
                 row = _row_of(at, words.bounds)
                 new = np.ones(len(at), bool)
                 new[1:] = where[1:] != where[:-1]
                 low, row = low[new], row[new]
-                ends = np.searchsorted(row, np.arange(after - first + 1))
+                order = np.lexsort((low, row))
+                low, row = low[order], row[order]
+                again = np.zeros(len(low), bool)
+                again[1:] = (low[1:] == low[:-1]) & (row[1:] == row[:-1])
+                lists = [
+                    pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(row[k], np.arange(after - first + 1)).astype(np.int32)),
+                        long_column(low[k]),
+                    )
+                    for k in (~again, again)
+                ]
                 begin, end = words.bounds[:-1], words.bounds[1:]
                 raw = data.tobytes()
                 digests = [
@@ -100,9 +113,8 @@ def _summarise(window: int):
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, after - first), pa.array(end - begin), *digests,
-                     pa.array(whole),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), long_column(low))],
-                    names=["doc_id", "n_words", "d1", "d2", "whole_sha256", "grams"],
+                     pa.array(whole), *lists],
+                    names=["doc_id", "n_words", "d1", "d2", "whole_sha256", "grams", "own_grams"],
                 )
 
     return run
@@ -230,7 +242,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     summary = materialise(
         ids.mapInArrow(
             _summarise(window),
-            "doc_id long, n_words long, d1 long, d2 long, whole_sha256 string, grams array<long>",
+            "doc_id long, n_words long, d1 long, d2 long, whole_sha256 string,"
+            " grams array<long>, own_grams array<long>",
         ),
         "summaries",
     )
@@ -245,24 +258,30 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     )
     originals = summary.join(copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
 
-    # Minimizers in more than one place; they are counted before the shuffle.
+    # Minimizers in more than one place. The ones of several documents are stored before
+    # they are looked up, so that a hot one can be split in the join.
     grams = originals.select("doc_id", F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = materialise(
+        grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams"
+    )
+    repeated = grams.join(often, "gram", "left_semi").unionByName(
+        originals.select("doc_id", F.explode("own_grams").alias("gram"))
+    )
     wanted = materialise(
-        grams.join(often, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("grams")),
-        "repeated-grams",
+        repeated.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "repeated-grams"
     )
-    found = materialise(
+    # Not stored: the edges of the second pass are larger than computing them again is dear.
+    found = (
         _with(ids, wanted, "grams")
         .select("doc_id", "text", "grams")
-        .mapInArrow(_find_edges(window), "edge long, check int, doc_id long, at int, size int"),
-        "edges",
+        .mapInArrow(_find_edges(window), "edge long, check int, doc_id long, at int, size int")
     )
     edges = found.where("edge is not null").select("edge", "check", "doc_id", "at")
     first = edges.groupBy("edge", "check").agg(
         F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id")
     )
-    placed = edges.join(first.where("source_id < last_id"), ["edge", "check"])
+    first = materialise(first.where("source_id < last_id").drop("last_id"), "repeated-edges")
+    placed = edges.join(first, ["edge", "check"])
     source = placed.where("doc_id = source_id").select("edge", "check", F.col("at").alias("source_at"))
     # Rows that share the first id may both hold an edge: one of them is the source.
     source = source.groupBy("edge", "check").agg(F.min("source_at").alias("source_at"))
