@@ -91,8 +91,8 @@ def test_ids_follow_file_order(spark, tmp_path):
 def test_source_choice(spark, tmp_path):
     assert resolve_source(spark, str(tmp_path / "nowhere")) is None
     assert resolve_source(spark, str(tmp_path)) is None
-    write_text(tmp_path / "my_export_2.csv", HEADER, ROWS)
-    first = write_text(tmp_path / "my_export_1.csv", HEADER, ROWS)
+    write_text(tmp_path / "scopus_export_2.csv", HEADER, ROWS)
+    first = write_text(tmp_path / "scopus_export_1.csv", HEADER, ROWS)
     write_text(tmp_path / "other.csv", HEADER, ROWS)
     assert resolve_source(spark, str(tmp_path)) == f"file:{first}"
     best = write_text(tmp_path / "processed_papers.csv", HEADER, ROWS)
@@ -110,6 +110,7 @@ def test_column_roles(spark, tmp_path):
     assert find_title_column(df) == "Title"
     assert map_columns(df) == {
         "title": "Title", "authors": "Authors", "year": "Year", "abstract": "Abstract", "doi": "DOI",
+        "source": "Source title",
     }
     assert map_columns(df, "last")["title"] == "Source title"
     assert find_title_column(df.select("Authors", "Year")) == "Authors"
@@ -121,7 +122,7 @@ def test_column_roles(spark, tmp_path):
     assert (title, abstract, bare.first().Abstract) == ("Source title", "Abstract", None)
     canonical = to_canonical(df, map_columns(df)).orderBy("row_id").collect()
     assert [row.year for row in canonical] == [2020, 2020, None, 2019, 2021]
-    assert {row.source for row in canonical} == {None}
+    assert {row.source for row in canonical} == {row["Source title"] for row in df.collect()}
 
 
 def test_exports(spark, tmp_path):
@@ -138,7 +139,7 @@ def test_triage_folders(spark, tmp_path):
         [(0, "keep"), (1, "reject"), (2, None), (3, "keep")], "row_id long, nlp_decision string"
     )
     write_triage(df, str(tmp_path / "t"))
-    kept = read_papers(spark, str(tmp_path / "t" / "nlp_decision=keep"), row_id=False)
+    kept = read_papers(spark, str(tmp_path / "t" / "decision=keep"), row_id=False)
     assert sorted(row.row_id for row in kept.collect()) == ["0", "3"]
     assert read_papers(spark, str(tmp_path / "t"), row_id=False).count() == 4
 
@@ -161,3 +162,33 @@ def test_awkward_headers(spark, tmp_path):
     with pytest.raises(ValueError):
         read_papers(spark, taken)
     assert tuple(read_papers(spark, taken, row_id=False).first()) == ("7", "x")
+
+
+def test_triage_files_keep_the_verdict(spark, frame, tmp_path):
+    rows = [(0, "keep", "a"), (1, "reject", "b"), (2, None, "c")]
+    write_triage(frame("row_id long, nlp_decision string, title string", rows), str(tmp_path / "t"))
+    back = read_papers(spark, str(tmp_path / "t"), row_id=False)
+    assert back.columns == ["row_id", "nlp_decision", "title"]
+    assert sorted((int(r.row_id), r.nlp_decision, r.title) for r in back.collect()) == rows
+
+
+def test_nulls_in_one_column(spark, frame, tmp_path):
+    write_csv(frame("title string", [("a",), (None,), ("b",)]), str(tmp_path / "one"))
+    got = [row.title for row in read_papers(spark, str(tmp_path / "one"), row_id=False).collect()]
+    assert sorted(got, key=str) == [None, "a", "b"]
+
+
+def test_headers_in_other_order_and_surplus_cells_fail(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Title,Year\nx,1\n")
+    (folder / "b.csv").write_text("Year,Title\n2,y\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_papers(spark, str(folder)).collect()
+    ragged = tmp_path / "ragged.csv"
+    ragged.write_text("Title,Year\na,1\nb,2,extra,more\n")
+    with pytest.raises(Exception, match="more cells than headers"):
+        read_papers(spark, str(ragged)).collect()
+    short = tmp_path / "short.csv"
+    short.write_text("Title,Year\na\nb,2\n")
+    assert sorted((r.Title, r.Year) for r in read_papers(spark, str(short)).collect()) == [("a", None), ("b", "2")]

@@ -60,6 +60,10 @@ def test_search(papers):
 def test_remove_rows(papers, frame):
     assert ids(remove_rows(papers, [0, 5])) == [1, 2, 3, 4, 6, 7]
     assert ids(remove_rows(papers, [])) == list(range(8))
+    odd = frame("row_id long, title string", [(1, "a"), (None, "b"), (3, "c")])
+    for many in ([], list(range(10, 2_000))):
+        left = remove_rows(odd, [1, None, *many], strict=False).collect()
+        assert {row.title for row in left} == {"b", "c"}
     with pytest.raises(KeyError):
         remove_rows(papers, [0, 99])
     assert ids(remove_rows(papers, [0, 99], strict=False)) == [1, 2, 3, 4, 5, 6, 7]

@@ -35,6 +35,18 @@ def test_pages_of_a_search(scattered, monkeypatch):
         assert got == found[60:80]
 
 
+@pytest.mark.parametrize("bound", [1000, 20])
+def test_pages_by_text_and_with_null_ids(frame, monkeypatch, bound):
+    monkeypatch.setattr(paging, "SHALLOW_ROWS", bound)
+    names = frame("row_id string, title string", [(f"id {i:04}", "t") for i in range(300)])
+    assert [row.row_id for row in page(names, 7, 20).collect()] == [f"id {i:04}" for i in range(140, 160)]
+    nulls = frame("row_id long, title string", [(i or None, "t") for i in range(300)])
+    assert [row.row_id for row in page(nulls, 0, 3).collect()] == [None, 1, 2]
+    assert [row.row_id for row in page(nulls, 7, 20).collect()] == list(range(140, 160))
+    far = frame("row_id long, title string", [(i - (1 << 63) if i < 50 else (1 << 62) + i, "t") for i in range(100)])
+    assert [row.row_id for row in page(far, 3, 20).collect()] == [(1 << 62) + i for i in range(60, 80)]
+
+
 def test_odd_pages(scattered, spark):
     df, _ = scattered
     with pytest.raises(ValueError):

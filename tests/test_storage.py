@@ -10,20 +10,19 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert all(folder.startswith(f"{shared}/titlesieve/x-") for folder in folders)
 
 
-def test_a_cluster_must_name_a_shared_folder():
+def test_without_the_setting_it_lies_in_the_warehouse():
     class Session:
         class conf:
             @staticmethod
             def get(key, default=None):
-                return {"spark.master": "yarn"}.get(key, default)
+                return {"spark.sql.warehouse.dir": "hdfs://shared/warehouse/"}.get(key, default)
 
         class sparkContext:
             @staticmethod
             def getCheckpointDir():
                 return None
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_folder(Session, "x")
+    assert scratch_folder(Session, "x").startswith("hdfs://shared/warehouse/titlesieve/x-")
 
 
 def test_stored_rows_do_not_change(spark):

@@ -69,11 +69,11 @@ def test_nothing_to_judge(spark, tmp_path):
 def test_whole_triage(frame, spark, tmp_path, format):
     papers = frame("row_id long, Title string", [(0, "a"), (1, "b"), (2, None), (3, "d")])
     progress = frame("row_id long, nlp_decision string, nlp_confidence string", [(3, "reject", "low")])
-    triage = prepare_triage(papers, progress, context="", inclusion="", exclusion="")
+    triage = prepare_triage(papers, progress, template="{topic}: {title} {abstract}", topic="t")
     assert sorted(row.row_id for row in triage.prompts.collect()) == [0, 1, 2]
     replies = frame("row_id long, replies array<string>", [(0, ["sorry", KEEP]), (1, ["sorry"])])
     shares = finish_triage(triage, replies, str(tmp_path / "out"), format=format).first()
     assert (shares.total, shares.keep, shares.reject, shares.keep_percent) == (4, 1, 2, 25.0)
     if format == "csv":
-        kept = read_papers(spark, str(tmp_path / "out" / "nlp_decision=keep"), row_id=False).collect()
+        kept = read_papers(spark, str(tmp_path / "out" / "decision=keep"), row_id=False).collect()
         assert [(row.row_id, row.Title, row.nlp_confidence) for row in kept] == [("0", "a", "high")]

@@ -46,17 +46,19 @@ def map_columns(df: DataFrame, policy: str = "first") -> dict[str, str]:
     """Role -> column name. Several columns may fit a role; ``policy`` picks one.
 
     ``last`` is what a plain scan that overwrites earlier finds would give, so that
-    ``Source title`` takes the title role from ``Title``; ``first`` avoids that.
+    ``Source title`` takes the title role from ``Title``. With ``first`` a column whose
+    role is taken gets the next role that it fits, so that one becomes the source.
     """
     if policy not in ("first", "last"):
         raise ValueError("policy must be 'first' or 'last'")
     found: dict[str, str] = {}
     for name in df.columns:
         lowered = name.lower()
-        roles = (role for role, marks in ROLE_MARKS.items() if any(m in lowered for m in marks))
-        role = next(roles, None)
-        if role and (policy == "last" or role not in found):
-            found[role] = name
+        roles = [role for role, marks in ROLE_MARKS.items() if any(m in lowered for m in marks)]
+        if policy == "first":
+            roles = [role for role in roles if role not in found]
+        if roles:
+            found[roles[0]] = name
     if CONFIDENCE in df.columns:
         found[CONFIDENCE] = CONFIDENCE
     if "title" not in found:

@@ -16,9 +16,6 @@ from titlesieve.functions.text import (
 )
 from titlesieve.operators.columns import find_title_column
 
-# Up to this many ids from a caller become literals in the filter itself.
-LITERAL_IDS = 1000
-
 
 @dataclass(frozen=True)
 class FilterSpec:
@@ -88,14 +85,14 @@ def search(df: DataFrame, term: str, mode: str = "regex", title: str | None = No
 def _id_frame(df: DataFrame, ids, key: str) -> DataFrame:
     if isinstance(ids, DataFrame):
         return ids.select(key)
-    return df.sparkSession.createDataFrame([(i,) for i in ids], f"{key} bigint")
+    return df.sparkSession.createDataFrame([(i,) for i in ids], f"{key} {df.schema[key].dataType.simpleString()}")
 
 
 def remove_rows(df: DataFrame, ids, strict: bool = True, key: str = "row_id") -> DataFrame:
     """``df`` without the rows named. With ``strict`` an unknown id is an error.
 
-    A short list is a literal filter. A DataFrame of ids is an anti join whose
-    strategy is left to the sizes that Spark sees.
+    An anti join at every length of the list, whose strategy is left to the sizes that
+    Spark sees. A null id names no row, and a row with a null id stays.
     """
     if not isinstance(ids, DataFrame):
         ids = list(ids)
@@ -105,8 +102,6 @@ def remove_rows(df: DataFrame, ids, strict: bool = True, key: str = "row_id") ->
         unknown = _id_frame(df, ids, key).join(df.select(key), key, "left_anti").first()
         if unknown is not None:
             raise KeyError(f"no row with {key} {unknown[0]}")
-    if not isinstance(ids, DataFrame) and len(ids) <= LITERAL_IDS:
-        return df.where(~F.col(key).isin(*ids))
     return df.join(_id_frame(df, ids, key), key, "left_anti")
 
 

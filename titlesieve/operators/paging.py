@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titlesieve.operators.filters import search
+from titlesieve.operators.positions import with_positions
 
 # A top-k brings offset + limit whole rows to the driver. Deeper pages first look up
 # where they start.
@@ -27,7 +29,8 @@ def _seek(df: DataFrame, order: str, skip: int, take: int) -> tuple[int, int, in
         width = (high - low) // _STEPS + 1
         counts = (
             df.where(F.col(order).between(low, high))
-            .groupBy(F.expr(f"(`{order}` - {low}L) div {width}L").alias("step"))
+            # As decimals: ids may lie more than a BIGINT apart.
+            .groupBy(F.expr(f"(cast(`{order}` as decimal(20, 0)) - {low}BD) div {width}BD").alias("step"))
             .agg(F.count("*").alias("rows"))
         )
         start = None
@@ -57,11 +60,21 @@ def page(
     mode: str = "regex",
     order: str = "row_id",
 ) -> DataFrame:
-    """Rows ``[page * per_page, (page + 1) * per_page)`` by ``order``, after a search."""
+    """Rows ``[page * per_page, (page + 1) * per_page)`` by ``order``, after a search.
+
+    Null order values come first, as in any sort. Deep pages by an integer column without
+    nulls seek their ids; by any other column the rows are sorted and numbered once. Both
+    run jobs when this function is called.
+    """
     if page < 0 or per_page < 0:
         raise ValueError("page and per_page must not be negative")
     found, skip = search(df, search_for, mode), page * per_page
     if skip + per_page > SHALLOW_ROWS:
+        whole = isinstance(df.schema[order].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        if not whole or not found.where(F.col(order).isNull()).isEmpty():
+            numbered = with_positions(found, order, name="__place")
+            inside = (F.col("__place") >= skip) & (F.col("__place") < skip + per_page)
+            return numbered.where(inside).orderBy("__place").drop("__place")
         bounds = _seek(found, order, skip, per_page)
         if bounds is None:
             return found.limit(0)

@@ -58,8 +58,12 @@ def check_unique(
 
 
 def flag_orphans(checked: DataFrame, parents: DataFrame, fk: str, reason: str) -> DataFrame:
-    """Flag rows whose ``fk`` is no key of ``parents``. As in SQL, null passes."""
-    known = parents.select(fk, F.lit(True).alias("__known")).where(F.col(fk).isNotNull())
+    """Flag rows whose ``fk`` is no key of ``parents``. As in SQL, null passes.
+
+    A parent listed twice counts once.
+    """
+    keys = parents.select(fk).where(F.col(fk).isNotNull()).distinct()
+    known = keys.withColumn("__known", F.lit(True))
     flagged = _add_error(
         checked.join(known, fk, "left"), F.col(fk).isNotNull() & F.col("__known").isNull(), reason
     )

@@ -11,27 +11,7 @@ from titlesieve.functions.names import column
 
 VERDICT_COLUMNS = ("nlp_decision", "nlp_confidence")
 
-DEFAULT_TEMPLATE = """You screen papers for a literature review.
-
-About the project:
-{context}
-
-Keep a paper if:
-{inclusion}
-
-Reject a paper if:
-{exclusion}
-
-Title: {title}
-Abstract: {abstract}
-
-Answer with one JSON object and nothing else:
-{{"decision": "keep" or "reject", "confidence": "high" or "medium" or "low"}}
-Reject when in doubt.
-"""
-
-
-def prompt(title: Column, abstract: Column, template: str = DEFAULT_TEMPLATE, **texts: str) -> Column:
+def prompt(title: Column, abstract: Column, template: str, **texts: str) -> Column:
     """Prompt text from a template with ``{title}``, ``{abstract}`` and fixed ``texts``."""
     columns = {"title": title, "abstract": abstract}
     pieces: list[Column] = []
@@ -47,7 +27,7 @@ def render_prompts(
     df: DataFrame,
     title: str,
     abstract: str,
-    template: str = DEFAULT_TEMPLATE,
+    template: str,
     null_title: str = "nan",
     null_abstract: str = "",
     **texts: str,
@@ -65,8 +45,15 @@ def render_prompts(
 
 
 def attach_verdicts(papers: DataFrame, verdicts: DataFrame, key: str = "row_id") -> DataFrame:
-    """Papers with ``nlp_decision`` and ``nlp_confidence`` from (key, verdict struct) rows."""
-    named = verdicts.select(
+    """Papers with ``nlp_decision`` and ``nlp_confidence`` from (key, verdict struct) rows.
+
+    Of several verdicts of one key the greatest (decision, confidence) counts, nulls last,
+    so papers never multiply.
+    """
+    one = verdicts.groupBy(key).agg(
+        F.max(F.struct("verdict.decision", "verdict.confidence")).alias("verdict")
+    )
+    named = one.select(
         key,
         F.col("verdict.decision").alias("nlp_decision"),
         F.col("verdict.confidence").alias("nlp_confidence"),
@@ -81,9 +68,15 @@ def remaining(papers: DataFrame, progress: DataFrame, key: str = "row_id") -> Da
 
 
 def merge_progress(df: DataFrame, saved: DataFrame, key: str = "row_id") -> DataFrame:
-    """Saved cells that are not null replace those of ``df``; columns of ``df`` only."""
+    """Saved cells that are not null replace those of ``df``; columns of ``df`` only.
+
+    Of several saved rows of one key each cell's greatest value counts, so a repeated row
+    changes nothing and rows of ``df`` never multiply.
+    """
     shared = [name for name in df.columns if name in saved.columns and name != key]
-    old = saved.select(key, *[column(name).alias(f"__saved_{name}") for name in shared])
+    if not shared:
+        return df
+    old = saved.groupBy(key).agg(*[F.max(column(name)).alias(f"__saved_{name}") for name in shared])
     cells = [
         F.coalesce(column(f"__saved_{name}"), column(name)).alias(name)
         if name in shared

@@ -9,43 +9,26 @@ from titlesieve.functions.names import column
 from titlesieve.functions.stopwords import STOP_WORDS
 from titlesieve.functions.text import counted_words
 
-# First occurrences are compared as one BIGINT, row id above and place below, so that
-# the aggregation keeps fixed-width buffers. Ids or texts beyond these sizes are told
-# apart by a struct instead, see ``wide_ids``.
-PLACE_BITS = 24
-_MAX_ROW_ID = 1 << (63 - PLACE_BITS)
+# First occurrences are compared as one DECIMAL(38, 0), row id above and place below:
+# any BIGINT and any place fit, and the aggregation keeps fixed-width buffers.
+PLACES = 1 << 31
 
 
 def word_counts(
-    df: DataFrame,
-    text: str,
-    stop_words=STOP_WORDS,
-    order: str = "row_id",
-    wide_ids: bool = False,
+    df: DataFrame, text: str, stop_words=STOP_WORDS, order: str = "row_id"
 ) -> DataFrame:
     """word, count and first (occurrence) of every counted word that is no stop word.
 
     ``stop_words`` is a list, or a DataFrame with a column ``word`` of any length.
     The explode is the widest point, so words are cut by pattern before it and
     counted in the map stage after it: one word making up a third of a corpus still
-    leaves each task as one row. ``first`` packs row id and place (``PLACE_BITS`` low
-    bits); with ``wide_ids`` it is a struct, which costs a sort.
+    leaves each task as one row. ``first`` is row id * 2**31 + place.
     """
-    text, row = column(text), F.col(order).cast("bigint")
-    if not wide_ids:
-        # A counted word takes four bytes with its separator, so a text's size bounds its
-        # number of words. A row that does not fit fails the query with the remedy.
-        fits = row.between(0, _MAX_ROW_ID - 1) & (F.octet_length(text) < (4 << PLACE_BITS))
-        too_large = F.raise_error(F.lit("row id or text too large: use wide_ids=True"))
-        row = F.when(F.coalesce(fits, F.lit(True)), row).otherwise(too_large.cast("bigint"))
-    places = df.select(row.alias("row"), F.posexplode(counted_words(text)).alias("place", "word"))
+    row = F.col(order).cast("bigint")
+    places = df.select(row.alias("row"), F.posexplode(counted_words(column(text))).alias("place", "word"))
     if not isinstance(stop_words, DataFrame) and stop_words:
         places = places.where(~F.col("word").isin(*stop_words))
-    first = (
-        F.struct("row", "place")
-        if wide_ids
-        else F.shiftleft("row", PLACE_BITS).bitwiseOR(F.col("place").cast("bigint"))
-    )
+    first = F.expr(f"cast(cast(row as decimal(20, 0)) * {PLACES}BD + place as decimal(38, 0))")
     counts = places.groupBy("word").agg(F.count("*").alias("count"), F.min(first).alias("first"))
     if isinstance(stop_words, DataFrame):
         # After counting, so the join sees the vocabulary and not every occurrence.
@@ -59,10 +42,9 @@ def word_frequencies(
     top_n: int = 30,
     stop_words=STOP_WORDS,
     order: str = "row_id",
-    wide_ids: bool = False,
 ) -> DataFrame:
     """The ``top_n`` most frequent words; ties go to the word that occurs first."""
-    ranked = word_counts(df, text, stop_words, order, wide_ids).orderBy(F.col("count").desc(), "first")
+    ranked = word_counts(df, text, stop_words, order).orderBy(F.col("count").desc(), "first")
     return ranked.limit(max(top_n, 0)).select("word", "count")
 
 

@@ -49,14 +49,16 @@ class Triage:
     prompts: DataFrame
 
 
-def prepare_triage(papers: DataFrame, progress: DataFrame | None = None, **texts: str) -> Triage:
+def prepare_triage(
+    papers: DataFrame, progress: DataFrame | None = None, *, template: str, **texts: str
+) -> Triage:
     """Resolve columns, take over saved verdicts, and render prompts for the rest."""
     papers, title, abstract = require_columns(papers)
     papers = with_verdict_columns(papers)
     if progress is not None:
         papers = merge_progress(papers, progress)
     todo = papers.where(F.col("nlp_decision").isNull())
-    return Triage(papers, todo, render_prompts(todo, title, abstract, **texts))
+    return Triage(papers, todo, render_prompts(todo, title, abstract, template, **texts))
 
 
 def finish_triage(

@@ -17,17 +17,23 @@ NULL_TOKENS = (
 )
 
 PREFERRED_SOURCES = ("processed_papers.csv",)
-FALLBACK_SOURCES = "*_export*.csv"
+FALLBACK_SOURCES = "scopus_export*.csv"
+_CORRUPT, _SURPLUS = "__corrupt", "__surplus"
 
 
 def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.options(
-        quote='"', escape='"', multiLine=multi_line, inferSchema=False, mode="PERMISSIVE"
-    )
+        quote='"', escape='"', multiLine=multi_line, inferSchema=False, mode="PERMISSIVE",
+        # Folder names such as decision=keep are not columns.
+        recursiveFileLookup=True,
+    )
+
 
+def _header(spark: SparkSession, path, multi_line: bool) -> tuple[list[str], bool]:
+    """Column names, and whether they stand in the file like this.
 
-def _header(spark: SparkSession, path, multi_line: bool) -> list[str]:
-    """Column names; repeats get ``.1``, ``.2`` and so on, nameless ones a number."""
+    Repeats get ``.1``, ``.2`` and so on, nameless ones a number.
+    """
     first = _csv(spark, multi_line).csv(path).first()
     if first is None:
         raise ValueError(f"no header in {path}")
@@ -40,7 +46,7 @@ def _header(spark: SparkSession, path, multi_line: bool) -> list[str]:
             name = f"{base}.{repeat}"
         taken.add(name.lower())
         names.append(name)
-    return names
+    return names, names == list(first)
 
 
 def read_papers(
@@ -56,13 +62,31 @@ def read_papers(
     once. ``multi_line`` allows line breaks in quoted cells at the price of one
     task per file; turn it off for large files without them. Large corpora are
     best kept as many files, or as Parquet with a ``row_id`` column.
+
+    All files must have the same header in the same order, and no row more cells than it;
+    else the read fails. Missing cells are null. Where headers had to be renamed (repeated
+    or empty ones) the order in other files is not checked.
     """
-    names = _header(spark, path, multi_line)
+    names, as_written = _header(spark, path, multi_line)
     if row_id and "row_id" in map(str.lower, names):
         raise ValueError("the file has a row_id column: pass row_id=False to use it")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    rows = _csv(spark, multi_line).options(header=True, emptyValue="").schema(schema).csv(path)
-    cells = [column(name) for name in names]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, _CORRUPT)])
+    rows = (
+        _csv(spark, multi_line)
+        .options(header=True, emptyValue="", enforceSchema=not as_written)
+        .options(columnNameOfCorruptRecord=_CORRUPT)
+        .schema(schema)
+        .csv(path)
+    )
+    # A row of too few or too many cells is kept as text; the latter has a cell beyond.
+    width = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    again = F.from_csv(
+        column(_CORRUPT), f"{width.toDDL()}, {_SURPLUS} string", {"quote": '"', "escape": '"'}
+    )
+    surplus = column(_CORRUPT).isNotNull() & again[_SURPLUS].isNotNull()
+    failed = F.raise_error(F.concat(F.lit("more cells than headers: "), column(_CORRUPT)))
+    first = F.when(surplus, failed.cast("string")).otherwise(column(names[0]))
+    cells = [first, *[column(name) for name in names[1:]]]
     cleaned = [
         F.when(~cell.isin(*null_tokens), cell).alias(name) for cell, name in zip(cells, names)
     ]

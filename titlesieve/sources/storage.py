@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="titlesieve-")
-
-
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; a cluster
-    must name one that all executors share.
+    Without that setting it is under the warehouse, which executors share as well.
     """
-    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        base = _local_folder()
+    base = (
+        spark.conf.get(_SETTING, None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{base.rstrip('/')}/titlesieve/{label}-{uuid.uuid4().hex}"
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from titlesieve.functions.names import column
 
 # The CSV dialect that ``read_papers`` and other CSV readers take back
 # unchanged, with quotes doubled and outer blanks kept.
@@ -21,10 +24,16 @@ def write_csv(df: DataFrame, path: str, order_by=None, mode: str = "errorifexist
     """Write a folder of CSV part files, each with a header.
 
     With ``order_by`` the parts are range-sorted, so reading them in name order
-    gives the rows in that order.
+    gives the rows in that order. In a table of one column a null is written as a pair
+    of quotes, since readers skip empty lines.
     """
     ordered = df.orderBy(order_by) if order_by is not None else df
-    ordered.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    options = dict(CSV_OPTIONS)
+    if len(df.columns) == 1:
+        only = column(df.columns[0])
+        ordered = ordered.select(F.coalesce(only.cast("string"), F.lit("")).alias(df.columns[0]))
+        options["emptyValue"] = '""'
+    ordered.write.mode(mode).options(**options).csv(path)
 
 
 def export_nonempty(df: DataFrame, path: str, order_by=None, mode: str = "errorifexists") -> None:
@@ -41,10 +50,12 @@ def export_nonempty(df: DataFrame, path: str, order_by=None, mode: str = "errori
 def write_triage(df: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists") -> None:
     """One write that serves as keep, reject and full progress output.
 
-    Partition folders ``nlp_decision=keep`` and ``nlp_decision=reject`` hold the two
-    results; the whole folder, undecided rows included, is the progress file.
+    Partition folders ``decision=keep`` and ``decision=reject`` hold the two results; the
+    whole folder, undecided rows included, is the progress file. The files hold all
+    columns, ``nlp_decision`` too, so ``read_papers`` gets back what was written.
     """
-    writer = df.write.mode(mode).partitionBy("nlp_decision").format(format)
+    parts = df.withColumn("decision", F.col("nlp_decision"))
+    writer = parts.write.mode(mode).partitionBy("decision").format(format)
     if format == "csv":
         writer = writer.options(**CSV_OPTIONS)
     writer.save(path)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from titlesieve.sources.schemas import decision_rules
+
 PROGRESS_SCHEMA = (
     "user_id bigint, current_index bigint, kept bigint, rejected bigint, "
     "last_active timestamp, batch_id bigint"
@@ -52,12 +57,16 @@ def read_progress(spark: SparkSession, table: str) -> DataFrame:
 
 
 def dedup_decisions(decisions: DataFrame, delay: str) -> DataFrame:
-    """The first decision per (user, paper) to arrive; repeats within ``delay`` dropped.
+    """The first valid decision per (user, paper) to arrive; repeats within ``delay`` dropped.
 
-    State is kept for ``delay`` only, so repeats further apart pass. The table check
+    Decisions that the table would refuse are dropped before, so that they cannot hide a
+    later valid one. Which of several decisions in one micro-batch arrives first is up to
+    the source. State is kept for ``delay`` only, so repeats further apart pass. The table check
     in ``accepted_decisions`` has the last word.
     """
-    return decisions.withWatermark("decided_at", delay).dropDuplicatesWithinWatermark(
+    broken = [rule.broken for rule in decision_rules()]
+    valid = decisions.where(~F.coalesce(reduce(or_, broken), F.lit(False)))
+    return valid.withWatermark("decided_at", delay).dropDuplicatesWithinWatermark(
         ["user_id", "paper_id"]
     )
 

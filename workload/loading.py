@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from titlesieve.functions.rules import integer_range, max_length
+from titlesieve.functions.rules import integer_range
 from titlesieve.operators.columns import map_columns, to_canonical
 from titlesieve.operators.stats import import_report, skip_reasons
 from titlesieve.operators.tables import (
@@ -20,7 +20,6 @@ from workload.sources import YEAR
 from workload.views import table, view, with_views
 
 GOOD_TITLE = f"coalesce(regexp_matches(title, '{WORD}'), false)"
-TITLE_LIMIT = 200
 
 
 def users(spark, sf_dir):
@@ -29,14 +28,14 @@ def users(spark, sf_dir):
 
 def _checked_papers(spark, sf_dir):
     base = papers(spark, sf_dir).withColumnRenamed("year_raw", "year")
-    rules = [*paper_rules(), max_length("title", TITLE_LIMIT), integer_range("year", "year_raw")]
+    rules = [*paper_rules(), integer_range("year", "year_raw")]
     return check_rows(to_canonical(base, map_columns(base)), rules)
 
 
 @query(
     "accepted_papers",
     f"""{PAPERS} SELECT row_id, title, authors, {YEAR.format('year_raw')} AS year, doi, source FROM papers
-    WHERE {GOOD_TITLE} AND length(title) <= {TITLE_LIMIT}""",
+    WHERE {GOOD_TITLE}""",
 )
 def _(spark, sf_dir):
     good, _ = split_checked(_checked_papers(spark, sf_dir))
@@ -46,8 +45,8 @@ def _(spark, sf_dir):
 @query(
     "quarantined_papers",
     f"""{PAPERS} SELECT row_id, title,
-      CASE WHEN {GOOD_TITLE} THEN 'title too long' ELSE 'title is blank' END AS errors FROM papers
-    WHERE NOT {GOOD_TITLE} OR length(title) > {TITLE_LIMIT}""",
+      'title is blank' AS errors FROM papers
+    WHERE NOT {GOOD_TITLE}""",
 )
 def _(spark, sf_dir):
     _, bad = split_checked(_checked_papers(spark, sf_dir))
@@ -56,8 +55,8 @@ def _(spark, sf_dir):
 
 @query(
     "import_report",
-    f"""{PAPERS} SELECT count(*) FILTER ({GOOD_TITLE} AND length(title) <= {TITLE_LIMIT}) AS imported,
-      count(*) FILTER (NOT {GOOD_TITLE} OR length(title) > {TITLE_LIMIT}) AS skipped FROM papers""",
+    f"""{PAPERS} SELECT count(*) FILTER ({GOOD_TITLE}) AS imported,
+      count(*) FILTER (NOT {GOOD_TITLE}) AS skipped FROM papers""",
 )
 def _(spark, sf_dir):
     return import_report(_checked_papers(spark, sf_dir))
@@ -65,8 +64,7 @@ def _(spark, sf_dir):
 
 @query(
     "skip_reasons",
-    f"""{PAPERS}, reasons AS (SELECT CASE WHEN NOT {GOOD_TITLE} THEN 'title is blank'
-      WHEN length(title) > {TITLE_LIMIT} THEN 'title too long' END AS reason FROM papers)
+    f"""{PAPERS}, reasons AS (SELECT CASE WHEN NOT {GOOD_TITLE} THEN 'title is blank' END AS reason FROM papers)
     SELECT reason, count(*) AS rows FROM reasons WHERE reason IS NOT NULL GROUP BY reason""",
 )
 def _(spark, sf_dir):

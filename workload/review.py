@@ -10,7 +10,7 @@ from titlesieve.operators.review import (
     sessions,
 )
 from titlesieve.operators.stats import reviewer_progress
-from titlesieve.sources.readers import read_papers
+from titlesieve.sources.readers import NULL_TOKENS, read_papers
 from titlesieve.sources.storage import materialise, scratch_folder
 from titlesieve.sources.writers import export_nonempty
 from titlesieve.streaming.live import dedup_decisions, live_progress, read_progress, write_progress
@@ -87,14 +87,13 @@ def _(spark, sf_dir):
     return cards.withColumn("progress_percent", F.round("progress_percent", 6))
 
 
-KEPT = f"""{REPLAY} SELECT applied.user_id, applied.pos, papers.row_id, papers.title, authors, year_raw, doi, source
+KEPT = f"""{REPLAY} SELECT applied.user_id, applied.pos, papers.row_id, papers.title, authors, year_raw, abstract, doi, source
     FROM applied JOIN papers ON applied.row_id = papers.row_id WHERE verdict = 'keep'"""
 
 
 def _kept(spark, sf_dir):
-    base = papers(spark, sf_dir).drop("abstract")
-    return kept_rows(replay(queue(spark, sf_dir), decisions(spark, sf_dir)), base).select(
-        "user_id", "pos", "row_id", "title", "authors", "year_raw", "doi", "source"
+    return kept_rows(replay(queue(spark, sf_dir), decisions(spark, sf_dir)), papers(spark, sf_dir)).select(
+        "user_id", "pos", "row_id", "title", "authors", "year_raw", "abstract", "doi", "source"
     )
 
 
@@ -103,7 +102,14 @@ def _(spark, sf_dir):
     return _kept(spark, sf_dir)
 
 
-@query("kept_in_review_export", KEPT)
+_TOKENS = ", ".join(f"'{token}'" for token in NULL_TOKENS)
+_READ = ", ".join(
+    f"CASE WHEN {c} IN ({_TOKENS}) THEN NULL ELSE {c} END AS {c}"
+    for c in ("title", "authors", "year_raw", "abstract", "doi", "source")
+)
+
+
+@query("kept_in_review_export", f"SELECT user_id, pos, row_id, {_READ} FROM ({KEPT}) AS kept")
 def _(spark, sf_dir):
     """Through the CSV export and back."""
     target = scratch_folder(spark, "kept")
@@ -191,7 +197,8 @@ def _(spark, sf_dir):
 
 @query(
     "live_first_decisions",
-    f"{with_views('decision_rows')} SELECT DISTINCT user_id, paper_id FROM decision_rows",
+    f"""{with_views('decision_rows')} SELECT DISTINCT user_id, paper_id FROM decision_rows
+    WHERE decision IN ('keep', 'reject')""",
 )
 def _(spark, sf_dir):
     """Pairs let through by the streaming de-duplication; the delay spans the whole log."""
@@ -199,6 +206,8 @@ def _(spark, sf_dir):
         "user_id",
         "cast(get_json_object(props, '$.k') AS bigint) AS paper_id",
         "cast(ts AS timestamp) AS decided_at",
+        "CASE event_type WHEN 'purchase' THEN 'keep' WHEN 'signup' THEN 'keep' WHEN 'error' THEN 'reject'"
+        " WHEN 'view' THEN 'maybe' END AS decision",
     )
     stored, state = scratch_folder(spark, "first"), scratch_folder(spark, "first-state")
     (

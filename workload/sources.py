@@ -99,7 +99,7 @@ def _canonical(title: str, source: str) -> str:
       {source} AS source, CAST(NULL AS STRING) AS nlp_confidence, year_raw FROM papers"""
 
 
-@query("canonical_first_match", _canonical("title", "CAST(NULL AS STRING)"))
+@query("canonical_first_match", _canonical("title", "source"))
 def _(spark, sf_dir):
     headed = _headed(spark, sf_dir)
     return to_canonical(headed, map_columns(headed, "first"))

@@ -12,6 +12,7 @@ from titlesieve.operators.stats import confidence_breakdown, decision_shares, wo
 from titlesieve.operators.triage import (
     attach_verdicts, batch_progress, merge_progress, render_prompts, remaining, run_batches,
 )
+from titlesieve.sources.readers import NULL_TOKENS, read_papers
 from titlesieve.sources.storage import scratch_folder
 from titlesieve.sources.writers import write_triage
 from titlesieve.streaming.live import triage_stream
@@ -57,7 +58,7 @@ VERDICTS = f"""{FIRST}, {_verdict('second_reply', 'two', 'replies')},
       CASE WHEN one.valid THEN one.decision WHEN two.valid THEN two.decision ELSE 'reject' END AS decision,
       CASE WHEN one.valid THEN one.confidence WHEN two.valid THEN two.confidence ELSE 'low' END AS confidence
       FROM one JOIN two ON one.row_id = two.row_id),
-    judged AS (SELECT papers.row_id, title, decision AS nlp_decision, confidence AS nlp_confidence
+    judged AS (SELECT papers.*, decision AS nlp_decision, confidence AS nlp_confidence
       FROM papers LEFT JOIN verdicts ON papers.row_id = verdicts.row_id)"""
 
 
@@ -71,7 +72,7 @@ def verdicts(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    return attach_verdicts(papers(spark, sf_dir).select("row_id", "title"), verdicts(spark, sf_dir))
+    return attach_verdicts(papers(spark, sf_dir), verdicts(spark, sf_dir))
 
 
 @query(
@@ -196,13 +197,55 @@ def _(spark, sf_dir):
 
 @query(
     "triage_output",
-    f"{VERDICTS} SELECT row_id, title, nlp_confidence, nlp_decision FROM judged",
+    f"{VERDICTS} SELECT * FROM judged",
 )
 def _(spark, sf_dir):
     """Written in one go as partition folders, and read back from them."""
     target = scratch_folder(spark, "triage")
-    write_triage(judged(spark, sf_dir), target, format="parquet")
-    return spark.read.schema(judged(spark, sf_dir).schema).parquet(target)
+    verdicts_of_all = judged(spark, sf_dir)
+    write_triage(verdicts_of_all, target, format="parquet")
+    return spark.read.schema(verdicts_of_all.schema).parquet(target).select(*verdicts_of_all.columns)
+
+
+def _after_reading(columns) -> str:
+    """Cells as a CSV reader takes them back: some texts stand for nulls."""
+    tokens = ", ".join(f"'{token}'" for token in NULL_TOKENS)
+    return ", ".join(f"CASE WHEN {c} IN ({tokens}) THEN NULL ELSE {c} END AS {c}" for c in columns)
+
+
+_TEXTS = ("title", "authors", "year_raw", "abstract", "doi", "source", "nlp_decision", "nlp_confidence")
+
+
+@query("triage_resumed", f"{VERDICTS} SELECT row_id, {_after_reading(_TEXTS)}, nlp_decision IS NULL AS open FROM judged")
+def _(spark, sf_dir):
+    """All columns through the CSV output, read back and merged; ``open`` is what is left to do."""
+    target = scratch_folder(spark, "triage-csv")
+    write_triage(judged(spark, sf_dir), target)
+    saved = read_papers(spark, target, row_id=False)
+    saved = saved.withColumn("row_id", F.col("row_id").cast("bigint"))
+    base = papers(spark, sf_dir)
+    read = [F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in base.columns if c != "row_id"]
+    merged = merge_progress(with_verdict_columns(base.select("row_id", *read)), saved)
+    todo = remaining(base.select("row_id"), saved).withColumn("open", F.lit(True))
+    return merged.join(todo, "row_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+
+@query(
+    "merged_repeats",
+    f"""{VERDICTS} SELECT papers.row_id, CASE WHEN valid THEN one.decision END AS nlp_decision,
+      CASE WHEN valid THEN one.confidence END AS nlp_confidence
+    FROM papers LEFT JOIN one ON papers.row_id = one.row_id""",
+)
+def _(spark, sf_dir):
+    """Every saved row twice, as a redelivered reply would give: papers stay single."""
+    parsed = replies(spark, sf_dir).select("row_id", parse_reply(F.col("reply")).alias("reply"))
+    saved = parsed.select(
+        "row_id",
+        F.when(F.col("reply.valid"), F.col("reply.decision")).alias("nlp_decision"),
+        F.when(F.col("reply.valid"), F.col("reply.confidence")).alias("nlp_confidence"),
+    )
+    base = with_verdict_columns(papers(spark, sf_dir).select("row_id"))
+    return merge_progress(base, saved.unionByName(saved))
 
 
 def _judge(spark, sf_dir):

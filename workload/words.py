@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from titlesieve.functions.stopwords import STOP_WORDS
-from titlesieve.operators.words import PLACE_BITS, with_relative, word_counts, word_frequencies
+from titlesieve.operators.words import PLACES, with_relative, word_counts, word_frequencies
 from titlesieve.plans.flows import top_words
 from workload.registry import query
 from workload.screening import PAPERS, SPEC, SPEC_SQL, papers, texts
@@ -49,7 +49,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     counts = word_counts(texts(spark, sf_dir), "text", order="doc_id")
-    return counts.select("word", "count", F.shiftright("first", PLACE_BITS).alias("first_row"))
+    return counts.select("word", "count", F.expr(f"cast(first div {PLACES}BD as bigint)").alias("first_row"))
 
 
 # Stop words may also come as a table of any size; here, the words of the benchmark texts.
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
     stops = word_counts(
         table(spark, sf_dir, "benchmark"), "text", stop_words=(), order="item_id"
     )
-    return word_frequencies(texts(spark, sf_dir), "text", stop_words=stops, order="doc_id", wide_ids=True)
+    return word_frequencies(texts(spark, sf_dir), "text", stop_words=stops, order="doc_id")
 
 
 @query(
