@@ -52,7 +52,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
     rows = docs.select("doc_id", "source", "lang", "text")
-    coded = sentencepiece_sampling.sample(sentencepiece_sampling.encode(rows, model), model)
+    coded = sentencepiece_sampling.segment(rows, model)
     return coded.drop("text").withColumn("n_pieces", F.size("ids").cast("long"))
 
 

@@ -182,7 +182,7 @@ def test_segmentations_in_spark(frame):
     assert coded.columns == ["doc_id", "text", "samples", "ids", "decoded"]
     for r in coded.collect():
         assert r.decoded == (r.text or "").replace("▁", " ")
-    rows = sps.sample(docs, MODEL, k=2).collect()
+    rows = sps.segment(docs, MODEL, k=2).collect()
     digests = {r.doc_id: r for r in sps.digests(docs, MODEL, k=2).collect()}
     for r in rows:
         assert len({tuple(s.ids) for s in r.samples}) == len(r.samples) >= 1
@@ -195,7 +195,7 @@ def test_segmentations_in_spark(frame):
 
 def test_samples_depend_on_the_key_only(frame):
     docs = [(i, "some words of a text", "x", "x") for i in range(30)]
-    one = {r.doc_id: r.samples for r in sps.sample(frame(DOCS, docs), MODEL).collect()}
-    other = {r.doc_id: r.samples for r in sps.sample(frame(DOCS, docs[::-1]).repartition(7), MODEL).collect()}
+    one = {r.doc_id: r.samples for r in sps.segment(frame(DOCS, docs), MODEL).collect()}
+    other = {r.doc_id: r.samples for r in sps.segment(frame(DOCS, docs[::-1]).repartition(7), MODEL).collect()}
     assert one == other
     assert len({tuple(s[0].ids) for s in one.values()}) >= 5

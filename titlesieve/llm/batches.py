@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from titlesieve.functions.names import column
 
 
+#: Rows that are computed and handed on at a time.
+ROWS_AT_ONCE = 1_024
+
+
 def add_columns(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],
@@ -28,8 +32,9 @@ def add_columns(
     positions = [df.columns.index(f.name) for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
                 arrays = [batch.column(i) for i in positions] + compute(batch)
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding, with segmentations sampled without replacement.
 
-``encode`` and ``decode`` follow the model's own rule. ``sample`` draws k different
+``encode`` and ``decode`` follow the model's own rule. ``segment`` also draws k different
 segmentations of each text by Gumbel top-k: every path through the lattice has a Gumbel
 number at its log-probability, and an A-star search from the top finds the k largest
 without listing paths. A set of paths (all that leave a found path at one place) has the
@@ -311,26 +311,6 @@ def _segmenter(docs: DataFrame, model: bytes, alpha: float):
     return get
 
 
-def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` with ``ids`` (ARRAY<INT>): the model's own segmentation of whole texts.
-
-    ``model`` is the content of a SentencePiece model with the usual treatment of spaces
-    (a mark before every word and before the text, nothing removed). Null and empty texts
-    have no ids. Other columns stay; ``ids`` is replaced.
-    """
-    get, at = _segmenter(docs, model, ALPHA), docs.columns.index("text")
-
-    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        parts, sizes = [], []
-        for _, _, data, offsets in text_slices(batch.column(at)):
-            ids, counts = get().encode(get().layout(*marks_as_spaces(data, offsets)))
-            parts.append(ids)
-            sizes.append(counts)
-        return [_lists(np.concatenate(sizes), pa.array(np.concatenate(parts).astype(np.int32)))]
-
-    return add_columns(docs, [("ids", T.ArrayType(T.IntegerType()))], compute)
-
-
 def _lists(sizes, values: pa.Array) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), values)
@@ -355,36 +335,52 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
     return add_columns(rows, [("decoded", T.StringType())], compute)
 
 
-def sample(
+def encode(docs: DataFrame, model: bytes) -> DataFrame:
+    """``docs`` with ``ids`` (ARRAY<INT>): the model's own segmentation of whole texts.
+
+    ``model`` is the content of a SentencePiece model with the usual treatment of spaces
+    (a mark before every word and before the text, nothing removed). Null and empty texts
+    have no ids. Other columns stay; ``ids`` is replaced.
+    """
+    return segment(docs, model, k=0).drop("samples")
+
+
+def segment(
     docs: DataFrame, model: bytes, k: int = SAMPLES, alpha: float = ALPHA, seed: int = 29
 ) -> DataFrame:
-    """``docs`` with ``samples``: up to ``k`` different segmentations of each whole text.
-
-    Each has ids, log_prob (of the lattice's distribution, see ``lattice.Vocabulary``), the
-    perturbed number it was chosen by, in descending order, and log_inclusion, the log of
-    the chance to be among the k. The numbers are seeded by ``seed`` and doc_id, so a row
-    has the same samples wherever it is computed, and rows of one id and text agree. A
-    text with fewer than ``k`` segmentations has all of them; a null or empty one has the
-    empty segmentation. Other columns stay; ``samples`` is replaced.
+    """``docs`` with ``ids``, see :func:`encode`, and ``samples``.
+
+    ``samples`` are up to ``k`` different segmentations of each whole text. Each has ids,
+    log_prob (of the lattice's distribution, see ``lattice.Vocabulary``), the perturbed
+    number it was chosen by, in descending order, and log_inclusion, the log of the chance
+    to be among the k. The numbers are seeded by ``seed`` and doc_id, so a row has the
+    same samples wherever it is computed, and rows of one id and text agree. A text with
+    fewer than ``k`` segmentations has all of them; a null or empty one has the empty
+    segmentation. Other columns stay; ``ids`` and ``samples`` are replaced.
     """
     keyed = docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.col("doc_id")))
     get, at = _segmenter(docs, model, alpha), keyed.columns.index("text")
     key = keyed.columns.index("__seed")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        keys, found = batch.column(key).to_numpy(), []
+        keys, coded, drawn = batch.column(key).to_numpy(), [], []
         for first, after, data, offsets in text_slices(batch.column(at), LAYOUT_BYTES):
-            found += get().sample(get().layout(*marks_as_spaces(data, offsets)), keys[first:after], k)
-        flat = [s for row in found for s in row]
-        ids = np.concatenate([np.zeros(0, np.int64), *(s.ids for s in flat)]).astype(np.int32)
-        numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
-        each = pa.StructArray.from_arrays(
-            [_lists([len(s.ids) for s in flat], pa.array(ids)), *numbers],
-            names=["ids", "log_prob", "perturbed", "log_inclusion"],
-        )
-        return [_lists([len(row) for row in found], each)]
+            layout = get().layout(*marks_as_spaces(data, offsets))
+            ids, counts = get().encode(layout)
+            coded.append(_lists(counts, pa.array(ids.astype(np.int32))))
+            rows = get().sample(layout, keys[first:after], k) if k else [[]] * (after - first)
+            flat = [s for row in rows for s in row]
+            ids = np.concatenate([np.zeros(0, np.int32), *(s.ids.astype(np.int32) for s in flat)])
+            numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
+            each = pa.StructArray.from_arrays(
+                [_lists([len(s.ids) for s in flat], pa.array(ids)), *numbers],
+                names=["ids", "log_prob", "perturbed", "log_inclusion"],
+            )
+            drawn.append(_lists([len(row) for row in rows], each))
+        return [pa.concat_arrays(coded), pa.concat_arrays(drawn)]
 
-    return add_columns(keyed, [("samples", T.ArrayType(_SAMPLE))], compute, ("__seed",))
+    fields = [("ids", T.ArrayType(T.IntegerType())), ("samples", T.ArrayType(_SAMPLE))]
+    return add_columns(keyed, fields, compute, ("__seed",))
 
 
 _DIGESTS = [
@@ -400,7 +396,7 @@ _DIGESTS = [
 def digests(
     docs: DataFrame, model: bytes, k: int = SAMPLES, alpha: float = ALPHA, seed: int = 29
 ) -> DataFrame:
-    """doc_id, digests of ``encode`` and ``sample``, and whether all of them decode right.
+    """doc_id, digests of what ``segment`` gives, and whether all of them decode right.
 
     Checksums are of the ids as little-endian 32-bit integers. ``round_trip`` says that
     the model's segmentation and every sampled one decode to the text. The ids
