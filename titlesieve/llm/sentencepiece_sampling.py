@@ -342,7 +342,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     (a mark before every word and before the text, nothing removed). Null and empty texts
     have no ids. Other columns stay; ``ids`` is replaced.
     """
-    return segment(docs, model, k=0).drop("samples")
+    return segment(docs, model, k=0)
 
 
 def segment(
@@ -356,7 +356,8 @@ def segment(
     to be among the k. The numbers are seeded by ``seed`` and doc_id, so a row has the
     same samples wherever it is computed, and rows of one id and text agree. A text with
     fewer than ``k`` segmentations has all of them; a null or empty one has the empty
-    segmentation. Other columns stay; ``ids`` and ``samples`` are replaced.
+    segmentation. With ``k`` 0 there is no column of samples. Other columns stay; those
+    of the new names are replaced.
     """
     keyed = docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.col("doc_id")))
     get, at = _segmenter(docs, model, alpha), keyed.columns.index("text")
@@ -368,7 +369,9 @@ def segment(
             layout = get().layout(*marks_as_spaces(data, offsets))
             ids, counts = get().encode(layout)
             coded.append(_lists(counts, pa.array(ids.astype(np.int32))))
-            rows = get().sample(layout, keys[first:after], k) if k else [[]] * (after - first)
+            if not k:
+                continue
+            rows = get().sample(layout, keys[first:after], k)
             flat = [s for row in rows for s in row]
             ids = np.concatenate([np.zeros(0, np.int32), *(s.ids.astype(np.int32) for s in flat)])
             numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
@@ -377,10 +380,10 @@ def segment(
                 names=["ids", "log_prob", "perturbed", "log_inclusion"],
             )
             drawn.append(_lists([len(row) for row in rows], each))
-        return [pa.concat_arrays(coded), pa.concat_arrays(drawn)]
+        return [pa.concat_arrays(x) for x in (coded, drawn) if x]
 
     fields = [("ids", T.ArrayType(T.IntegerType())), ("samples", T.ArrayType(_SAMPLE))]
-    return add_columns(keyed, fields, compute, ("__seed",))
+    return add_columns(keyed, fields[: 2 if k else 1], compute, ("__seed",))
 
 
 _DIGESTS = [
