@@ -10,7 +10,7 @@ import numpy as np
 from titlesieve.llm.textscan import ragged
 
 #: Pieces remembered before starting anew: about 50 bytes each.
-MOST_PIECES = 2_000_000
+MOST_PIECES = 1_000_000
 #: Pieces encoded in one call; their encodings are large until they are copied.
 AT_ONCE = 2_048
 
@@ -19,7 +19,7 @@ class IdStore:
     """Looks pieces up by 64-bit hash and encodes those it has not seen.
 
     ``encode`` turns a list of texts into a list of id lists. A piece is taken to be known
-    if its hash is; with two million pieces the chance of one confusion is below 1e-6.
+    if its hash is; with a million pieces the chance of one confusion is below 1e-6.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]]) -> None:

@@ -29,7 +29,7 @@ ALPHA = 1.0
 #: See Segmenter.sample.
 REACH = 90.0
 #: Bytes of text laid out at a time.
-LAYOUT_BYTES = 3 << 20
+LAYOUT_BYTES = 1 << 20
 
 
 class Sample(NamedTuple):
