@@ -1,14 +1,14 @@
 import pytest
 
 from titlesieve.functions.rules import integer_range, max_length, not_blank, not_null, one_of
-from titlesieve.operators.columns import map_columns, to_canonical
 from titlesieve.operators.stats import import_report, skip_reasons
 from titlesieve.operators.tables import (
-    cascade_delete, check_rows, check_unique, insert_if_absent, load_users, orphans, seed_progress,
+    cascade_delete, check_rows, check_unique, flag_orphans, insert_if_absent, load_users, orphans,
+    seed_progress,
     validate,
 )
 from titlesieve.plans.flows import load_papers, load_user_tables
-from titlesieve.sources.schemas import PROGRESS, USERS
+from titlesieve.sources.schemas import PAPERS, PROGRESS, USERS
 from titlesieve.sources.writers import append_to_table
 
 USER = "id long, username string, password_hash string, display_name string, role string, invite_code string"
@@ -78,7 +78,7 @@ def test_user_outcomes(frame):
         1: ("created", "ann"), 2: ("created", "Bob"), 3: ("exists", "Ann again"), 4: ("error", "Cid"),
         5: ("error", "Cid"), 6: ("created", "Cid"), 7: ("exists", "Old"), 8: ("error", "x" * 51),
     }
-    seeded = seed_progress(loaded.where("outcome = 'created'"), frame("user_id long", [(6,)]))
+    seeded = seed_progress(loaded.where("outcome = 'created'"), frame("user_id long", [(3,)]))
     assert [tuple(row) for row in seeded.collect()] == [(1, 0, 0, 0)]
 
 
@@ -89,10 +89,30 @@ def test_user_tables_twice(spark, frame, tmp_path):
     for expected in [(4, 4), (0, 8)]:
         assert tuple(load_user_tables(frame(USER, BATCH), users, progress).first()) == expected
         stored = spark.read.schema(USERS).parquet(users)
-        assert sorted(row.id for row in stored.collect()) == [1, 2, 6, 7]
+        assert sorted((row.id, row.username) for row in stored.collect()) == [
+            (1, "ann"), (2, "bob"), (3, "cid"), (4, "old"),
+        ]
         assert stored.where("created_at IS NULL").count() == 0
         rows = spark.read.schema(PROGRESS).parquet(progress).collect()
-        assert sorted((row.user_id, row.total_kept) for row in rows) == [(1, 0), (6, 0), (7, 0)]
+        assert sorted((row.user_id, row.total_kept) for row in rows) == [(1, 0), (3, 0), (4, 0)]
+
+
+def test_invite_codes_of_new_users(frame):
+    batch = [
+        (5, "a", "h", None, "admin", "x"), (6, "b", "h", None, "admin", "x"), (7, "c", "h", None, "admin", "y"),
+        (8, "d", "h", None, "admin", None), (9, "e", "h", None, "admin", None), (4, "old", "h", None, "admin", "y"),
+    ]
+    loaded = load_users(frame("id long, username string, invite_code string", [(40, "old", "y")]), frame(USER, batch))
+    assert sorted((r.id, r.outcome, r.new_id, r.errors) for r in loaded.collect()) == [
+        (4, "exists", None, []), (5, "created", 41, []), (6, "error", None, ["duplicate invite_code"]),
+        (7, "error", None, ["duplicate invite_code"]), (8, "created", 42, []), (9, "created", 43, []),
+    ]
+
+
+def test_repeated_parents_do_not_multiply_children(frame):
+    checked = check_rows(frame("n int, fk int", [(1, 1), (2, 2), (3, None)]), [])
+    flagged = flag_orphans(checked, frame("fk int", [(1,), (1,)]), "fk", "unknown")
+    assert sorted((r.n, r.errors) for r in flagged.collect()) == [(1, []), (2, ["unknown"]), (3, [])]
 
 
 def test_load_papers(spark, frame, tmp_path):
@@ -101,11 +121,15 @@ def test_load_papers(spark, frame, tmp_path):
         (3, "Far future", "99999999999", "x"), (4, "No year", "n.d.", "x" * 256), (5, "Plain", None, None),
     ]
     source = frame("row_id long, Title string, Year string, DOI string", rows)
-    report = load_papers(source, str(tmp_path / "papers"))
-    assert tuple(report.first()) == (2, 4)
-    stored = spark.read.parquet(str(tmp_path / "papers"))
-    assert stored.columns == list(to_canonical(source, map_columns(source)).drop("row_id", "year_raw").columns)
-    assert sorted((row.title, row.year) for row in stored.collect()) == [("A title", 2020), ("Plain", None)]
+    for _ in range(2):
+        report = load_papers(source, str(tmp_path / "papers"))
+        assert tuple(report.first()) == (2, 4)
+        stored = spark.read.parquet(str(tmp_path / "papers"))
+        assert stored.columns == PAPERS.names
+        assert sorted((row.id, row.title, row.year) for row in stored.collect()) == [
+            (1, "A title", 2020), (2, "Plain", None),
+        ]
+        assert stored.where("created_at IS NULL").count() == 0
     with pytest.raises(ValueError):
         load_papers(source.drop("Title"), str(tmp_path / "other"))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from titlesieve.functions.rules import Rule
 from titlesieve.operators.dedup import remove_duplicates
+from titlesieve.operators.positions import with_positions
 from titlesieve.sources.schemas import SEEDED_ROLE, user_rules
+from titlesieve.sources.storage import materialise
 
 
 def check_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -99,23 +101,51 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, order: str =
     return first.join(target.select(key), key, "left_anti").select(*batch.columns)
 
 
+def assign_ids(rows: DataFrame, target: DataFrame, order: str, name: str = "id") -> DataFrame:
+    """``rows`` with ``name`` counting on from the largest id of ``target``, in ``order``.
+
+    ``order`` must have no ties. Ids start at 1 in an empty table or one without ids. The
+    rows are numbered by a range sort, which runs when this function is called.
+    """
+    last = target.agg(F.max(name)).head()[0] if name in target.columns else None
+    placed = with_positions(rows.drop(name) if order != name else rows, order, name="__place")
+    return placed.withColumn(name, F.col("__place") + ((last or 0) + 1)).drop("__place")
+
+
 def load_users(target: DataFrame, batch: DataFrame) -> DataFrame:
     """The user batch with ``outcome``: created, exists, or error with its ``errors``.
 
-    ``batch`` has the columns of the users table; ``id`` decides who is first. The
-    password column holds hashes already. No display name means the username.
+    ``batch`` has the columns of the users table; ``id`` decides who is first and must
+    not repeat. The password column holds hashes already. No display name means the
+    username. A user to create whose invite code another one to create or a stored one has
+    is an error. ``new_id`` of created users counts on from the ids in ``target``; it is
+    null for all others. Numbering runs when this function is called.
     """
     named = batch.withColumn("display_name", F.coalesce("display_name", "username"))
     checked = check_rows(named, user_rules())
     good, _ = split_checked(checked)
-    created = insert_if_absent(target, good.select("id", "username"), "username", order="id")
-    marked = checked.join(created.select("id", F.lit(True).alias("__new")), "id", "left")
+    absent = insert_if_absent(target, good.select("id", "username", "invite_code"), "username", order="id")
+    coded = check_unique(check_rows(absent, []), "invite_code", order="id", row="id")
+    if "invite_code" in target.columns:
+        taken = target.select("invite_code").where(F.col("invite_code").isNotNull()).distinct()
+        coded = coded.join(taken.withColumn("__taken", F.lit(True)), "invite_code", "left")
+        used = F.col("__taken") & (F.size("errors") == 0)
+        coded = _add_error(coded, F.coalesce(used, F.lit(False)), "duplicate invite_code").drop("__taken")
+    outcomes = materialise(coded.select("id", F.col("errors").alias("__code_errors")), "new-users")
+    created = outcomes.where(F.size("__code_errors") == 0).select(F.col("id").alias("__row"))
+    numbered = assign_ids(created, target, "__row").select(
+        F.col("__row").alias("id"), F.col("id").alias("new_id")
+    )
+    marked = checked.join(outcomes, "id", "left").join(numbered, "id", "left")
+    errors = F.concat("errors", F.coalesce("__code_errors", F.array().cast("array<string>")))
     outcome = (
         F.when(F.size("errors") > 0, "error")
-        .when(F.col("__new"), "created")
+        .when(F.col("new_id").isNotNull(), "created")
         .otherwise("exists")
     )
-    return marked.withColumn("outcome", outcome).drop("__new")
+    return (
+        marked.withColumn("errors", errors).withColumn("outcome", outcome).drop("__code_errors")
+    )
 
 
 def user_load_report(loaded: DataFrame) -> DataFrame:
@@ -125,8 +155,11 @@ def user_load_report(loaded: DataFrame) -> DataFrame:
 
 
 def seed_progress(new_users: DataFrame, progress: DataFrame) -> DataFrame:
-    """Zero progress rows for new users of the seeded role that have none."""
-    seeded = new_users.where(F.col("role") == SEEDED_ROLE).select(F.col("id").alias("user_id"))
+    """Zero progress rows for new users of the seeded role that have none.
+
+    ``new_users`` is what :func:`load_users` created; the rows are for their ``new_id``.
+    """
+    seeded = new_users.where(F.col("role") == SEEDED_ROLE).select(F.col("new_id").alias("user_id"))
     zero = F.lit(0)
     return seeded.join(progress.select("user_id"), "user_id", "left_anti").select(
         "user_id",

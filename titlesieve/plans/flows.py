@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,12 @@ from titlesieve.operators.dedup import duplicate_report, remove_duplicates
 from titlesieve.operators.filters import FilterSpec, apply_filter
 from titlesieve.operators.stats import decision_shares, import_report
 from titlesieve.operators.tables import (
-    check_rows, load_users, seed_progress, split_checked, user_load_report,
+    assign_ids, check_rows, load_users, seed_progress, split_checked, user_load_report,
 )
 from titlesieve.operators.triage import attach_verdicts, merge_progress, render_prompts
 from titlesieve.operators.words import word_frequencies
 from titlesieve.sources.readers import read_papers
-from titlesieve.sources.schemas import PROGRESS, USERS, paper_rules
+from titlesieve.sources.schemas import PAPERS, PROGRESS, USERS, paper_rules
 from titlesieve.sources.storage import materialise
 from titlesieve.sources.writers import CSV_OPTIONS, append_papers, write_csv, write_triage
 
@@ -77,12 +79,35 @@ def finish_triage(
     return decision_shares(reader.load(target))
 
 
-def load_papers(source: DataFrame, target: str, policy: str = "first", **write_options) -> DataFrame:
-    """Canonical columns, row rules, append the good rows; returns the import report."""
+#: What makes a paper the same as a stored one.
+PAPER_KEY = ("title", "authors", "year", "doi", "source")
+_EMPTY_PAPER = [f"cast(null as {field.dataType.simpleString()}) {field.name}" for field in PAPERS]
+
+
+def load_papers(source: DataFrame, target: str, policy: str = "first") -> DataFrame:
+    """Canonical columns, row rules, append the good rows to the Parquet table ``target``.
+
+    New rows get ids that count on from the stored ones, in the order of ``row_id``, a
+    null ``nlp_reason`` and the time of the load. A row whose title, authors, year, doi and
+    source all equal those of a stored paper is not added again, so a load can be repeated;
+    rows that repeat within one load are all kept. Returns the import report, in which
+    such rows count as imported. The outcome is stored once, for the table and the report.
+    """
+    spark = source.sparkSession
     canonical = to_canonical(source, map_columns(source, policy))
-    checked = check_rows(canonical, [*paper_rules(), integer_range("year", "year_raw")])
+    checked = materialise(
+        check_rows(canonical, [*paper_rules(), integer_range("year", "year_raw")]), "checked-papers"
+    )
     good, _ = split_checked(checked)
-    append_papers(good.drop("row_id", "year_raw"), target, **write_options)
+    append_papers(good.select("title").limit(0).selectExpr(*_EMPTY_PAPER), target)
+    stored = spark.read.schema(PAPERS).parquet(target)
+    known = stored.select(*[F.col(name).alias(f"__{name}") for name in PAPER_KEY])
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in PAPER_KEY])
+    new = assign_ids(good.join(known, same, "left_anti"), stored, "row_id")
+    stamped = new.withColumns(
+        {"nlp_reason": F.lit(None).cast("string"), "created_at": F.current_timestamp()}
+    )
+    append_papers(materialise(stamped.select(*PAPERS.names), "new-papers"), target)
     return import_report(checked)
 
 
@@ -97,6 +122,6 @@ def load_user_tables(batch: DataFrame, users: str, progress: str) -> DataFrame:
     created = loaded.where("outcome = 'created'")
     seeded = seed_progress(created, spark.read.schema(PROGRESS).parquet(progress))
     seeded.withColumn("last_active", F.current_timestamp()).write.mode("append").parquet(progress)
-    stamped = created.withColumn("created_at", F.current_timestamp())
+    stamped = created.withColumns({"id": F.col("new_id"), "created_at": F.current_timestamp()})
     stamped.select(*USERS.names).write.mode("append").parquet(users)
     return user_load_report(loaded)

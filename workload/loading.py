@@ -8,7 +8,7 @@ from titlesieve.functions.rules import integer_range
 from titlesieve.operators.columns import map_columns, to_canonical
 from titlesieve.operators.stats import import_report, skip_reasons
 from titlesieve.operators.tables import (
-    cascade_delete, check_rows, check_unique, insert_if_absent, load_users, orphans, seed_progress,
+    assign_ids, cascade_delete, check_rows, check_unique, insert_if_absent, load_users, orphans, seed_progress,
     split_checked, user_load_report, validate,
 )
 from titlesieve.plans.flows import load_papers
@@ -71,16 +71,29 @@ def _(spark, sf_dir):
     return skip_reasons(_checked_papers(spark, sf_dir))
 
 
+LOADED = f"""{PAPERS} SELECT row_number() OVER (ORDER BY row_id) AS id, title, authors,
+      {YEAR.format('year_raw')} AS year, abstract, doi, source,
+      CAST(NULL AS STRING) AS nlp_confidence, CAST(NULL AS STRING) AS nlp_reason FROM papers WHERE {GOOD_TITLE}"""
+
+
 @query(
     "loaded_papers",
-    f"""{PAPERS} SELECT title, authors, {YEAR.format('year_raw')} AS year, abstract, doi, source,
-      CAST(NULL AS STRING) AS nlp_confidence FROM papers WHERE {GOOD_TITLE}""",
+    LOADED,
 )
 def _(spark, sf_dir):
     """Appended to a Parquet table and read back."""
     target = scratch_folder(spark, "papers")
     load_papers(papers(spark, sf_dir).withColumnRenamed("year_raw", "year"), target)
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).drop("created_at")
+
+
+@query("papers_loaded_twice", LOADED)
+def _(spark, sf_dir):
+    """A load that is repeated adds nothing."""
+    target = scratch_folder(spark, "papers")
+    for _ in range(2):
+        load_papers(papers(spark, sf_dir).withColumnRenamed("year_raw", "year"), target)
+    return spark.read.parquet(target).drop("created_at")
 
 
 BAD_USER = "username IS NULL OR role NOT IN ('groupmate', 'supervisor', 'admin')"
@@ -146,14 +159,16 @@ _TARGET = "target AS (SELECT * FROM users WHERE role = 'supervisor')"
 
 @query(
     "inserted_users",
-    f"""{with_views('users', 'user_batch')}, {_TARGET} SELECT id, username FROM user_batch
+    f"""{with_views('users', 'user_batch')}, {_TARGET}, firsts AS (SELECT id, username FROM user_batch
     WHERE username NOT IN (SELECT username FROM target WHERE username IS NOT NULL)
-    QUALIFY row_number() OVER (PARTITION BY username ORDER BY id) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY username ORDER BY id) = 1)
+    SELECT (SELECT max(id) FROM target) + row_number() OVER (ORDER BY id) AS id, username FROM firsts""",
 )
 def _(spark, sf_dir):
     target = users(spark, sf_dir).where("role = 'supervisor'")
     batch = view(spark, sf_dir, "user_batch").select("id", "username")
-    return insert_if_absent(target, batch, "username", order="id")
+    absent = insert_if_absent(target, batch, "username", order="id")
+    return assign_ids(absent, target, "id")
 
 
 _OUTCOMES = f"""{with_views('users', 'user_batch')}, {_TARGET}, ranked AS (
@@ -185,8 +200,10 @@ def _(spark, sf_dir):
 
 @query(
     "seeded_progress",
-    f"""{_OUTCOMES} SELECT id AS user_id, 0 AS current_paper_index, 0 AS total_kept, 0 AS total_rejected
-    FROM loaded WHERE outcome = 'created' AND role = 'groupmate' AND id NOT IN (SELECT user_id FROM events)""",
+    f"""{_OUTCOMES}, fresh AS (SELECT *, (SELECT max(id) FROM target) + row_number() OVER (ORDER BY id) AS new_id
+      FROM loaded WHERE outcome = 'created')
+    SELECT new_id AS user_id, 0 AS current_paper_index, 0 AS total_kept, 0 AS total_rejected
+    FROM fresh WHERE role = 'groupmate' AND new_id NOT IN (SELECT user_id FROM events)""",
 )
 def _(spark, sf_dir):
     created = _loaded(spark, sf_dir).where("outcome = 'created'")
