@@ -1,9 +1,9 @@
 """Removal of long repeated passages over a de Bruijn graph of token windows.
 
 Every window of 20 words is an edge. Edges that occur in one document only cannot repeat
-another's text and are sifted out first, by the rarest-hash m-word gram inside each window
-(its minimizer): equal windows have equal minimizers, and there is one for about eight
-words. What is left is joined by edge with its first document, and paths of consecutive
+another's text and are sifted out first, by the gram of smallest hash inside each window
+(its minimizer): equal windows have equal minimizers, and there is one for about six or
+seven words. What is left is joined by edge with its first document, and paths of consecutive
 edges that lie on the same path of the same source are compacted to spans, each with the
 source's coordinates.
 """
@@ -36,7 +36,9 @@ from titlesieve.llm.textscan import (
 from titlesieve.sources.storage import materialise
 
 WINDOW = 20
-GRAM = 6
+#: Words of a minimizer: longer ones repeat less often without their window, shorter ones
+#: are fewer.
+GRAM = 9
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 _NONE = hashlib.sha256(b"").hexdigest()
 
@@ -278,9 +280,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     )
     edges = found.where("edge is not null").select("edge", "check", "doc_id", "at")
     first = edges.groupBy("edge", "check").agg(
-        F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id")
+        F.min("doc_id").alias("source_id"), F.count("*").alias("n")
     )
-    first = materialise(first.where("source_id < last_id").drop("last_id"), "repeated-edges")
+    first = materialise(first.where("n > 1").drop("n"), "repeated-edges")
     placed = edges.join(first, ["edge", "check"])
     source = placed.where("doc_id = source_id").select("edge", "check", F.col("at").alias("source_at"))
     # Rows that share the first id may both hold an edge: one of them is the source.
