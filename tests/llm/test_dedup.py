@@ -94,6 +94,7 @@ def test_large_buckets_that_are_not_one_component(frame, monkeypatch, small):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     monkeypatch.setattr(minhash, "LEAST_EQUAL_SLOTS", 0)
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "PAIRS_PER_CLASS", small)
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(60)]
     rows = []

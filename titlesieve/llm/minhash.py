@@ -36,6 +36,9 @@ LEAST_EQUAL_SLOTS = 34
 SMALL, BLOCK = 32, 256
 #: Members of an open bucket that a round compares with the others.
 PIVOTS = 8
+#: Pairs between components, for each class, from which such rounds are worth their jobs;
+#: fewer are looked at faster in blocks.
+PAIRS_PER_CLASS = 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     verified against the bucket's smallest class: one pair per row, however large the
     bucket. Buckets that then are not one component get more rounds of PIVOTS members
     each, compared with the members of other components only. Rounds go on while the
-    pairs left between components outnumber the classes and each round halves them. What
+    pairs left between components are many times the classes and each round halves them. What
     is then left is compared in full: small buckets by a join, larger ones in blocks of
     bounded size inside tasks, which give links only. All links are verified on the full
     sets of 64-bit shingle hashes.
@@ -288,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_ = inside.groupBy("bucket").agg(between.alias("pairs")).where("pairs > 0")
         open_ = materialise(open_, "open-buckets")
         before, left = left, open_.agg(F.sum("pairs")).head()[0] or 0
-        if left <= n_classes or 2 * left > before:
+        if left <= PAIRS_PER_CLASS * n_classes or 2 * left > before:
             break
         rest = placed.join(open_.select("bucket"), "bucket", "left_semi")
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
