@@ -231,6 +231,31 @@ def test_spans_carry_their_source(frame):
     assert [(s.doc_id, s.at, s.size, s.source_id, s.source_at) for s in spans] == [(2, 2, 21, 1, 10)]
 
 
+@pytest.mark.parametrize("batch", ["alone", "after a short text"])
+def test_every_number_of_words_in_a_slice(batch):
+    from titlesieve.llm.textscan import scan_words
+
+    for n in range(2 * substring_dedup.WINDOW + 1):
+        texts = [b"" if batch == "alone" else b"a b c ", b" ".join(b"w%d" % i for i in range(n))]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        words = scan_words(data, np.cumsum([0, *map(len, texts)]))
+        at, edge, check, low, where = substring_dedup._edges(words, substring_dedup.WINDOW)
+        count = max(n - substring_dedup.WINDOW + 1, 0)
+        assert {len(x) for x in (at, edge, check, low, where)} == {count}
+        last = where + substring_dedup.GRAM
+        assert (where >= at).all() and (last <= at + substring_dedup.WINDOW).all()
+
+
+@pytest.mark.parametrize("n", [14, 18])
+def test_a_short_document_alone(frame, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    docs = frame(DOCS, [(1, text, "", "", 1)])
+    kept = hashlib.sha256(text.encode()).hexdigest()
+    got = substring_dedup.removal_digests(docs).collect()
+    assert [tuple(r) for r in got] == [(1, n, 0, kept)]
+    assert [r.text for r in substring_dedup.remove_repeats(docs).collect()] == [text]
+
+
 def vectors(seed, width=16):
     rng = np.random.default_rng(seed)
     rows = []

@@ -53,7 +53,7 @@ def _edges(words: Words, window: int) -> tuple[np.ndarray, ...]:
     low = span_hash(prefix_hash(words.hash), gram, gram + GRAM)
     # The leftmost minimum over window - GRAM + 1 grams, by doubling stretches.
     def lower(step: int) -> np.ndarray:
-        left, right = where[: len(where) - step], where[step:]
+        left, right = where[: max(len(where) - step, 0)], where[step:]
         return np.where(low[right] < low[left], right, left)
 
     where, reach, size = gram, 1, window - GRAM + 1
