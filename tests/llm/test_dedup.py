@@ -119,6 +119,25 @@ def test_near_duplicates_with_repeated_and_null_ids(frame):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 3]
 
 
+def test_a_repeated_id_with_different_texts(frame):
+    """Every row stays or goes by its own text; links are not lost to the other text's set."""
+    rng = random.Random(8)
+    a, b, c, d = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "abcd")
+    near = lambda words: " ".join(words[:-2] + ["x", "y"])
+    a, b, c, d, others = " ".join(a), " ".join(b), " ".join(c), " ".join(d), (near(b), near(c), near(d))
+    rows = [(3, a), (5, a), (5, b), (6, others[0]), (7, c), (7, d), (8, others[1]), (9, others[2]), (7, others[1])]
+    docs = frame(DOCS, [(i, t, "", "", 1) for i, t in rows])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert [g[:2] for g in got] == [
+        (3, 3), (5, 3), (5, 5), (6, 5), (7, 7), (7, 7), (7, 7), (8, 7), (9, 7),
+    ]
+    assert sum(k for i, _, k in got if i == 7) == 2
+    assert [k for i, _, k in got if i != 7] == [True, False, True, False, False, False]
+    left = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect()]
+    assert len(left) == 4 and {(3, a), (5, b), (7, d)} < set(left)
+    assert set(left) - {(3, a), (5, b), (7, d)} < {(7, c), (7, others[1])}
+
+
 def test_near_duplicates_of_nothing(frame):
     assert minhash.near_duplicates(frame(DOCS, [])).collect() == []
     assert minhash.drop_near_duplicates(frame(DOCS, [])).collect() == []

@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from titlesieve.llm.batches import add_columns
 from titlesieve.llm.components import components
 from titlesieve.llm.lookup import rows_of
 from titlesieve.llm.textscan import (
@@ -22,6 +24,7 @@ from titlesieve.llm.textscan import (
     span_hash,
     text_slices,
 )
+from titlesieve.operators.positions import with_positions
 from titlesieve.sources.storage import materialise
 
 SHINGLE_WORDS = 5
@@ -135,7 +138,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, after - first), long_column(a), long_column(b),
                  pa.array(sets, pa.binary())],
-                names=["rep", "d1", "d2", "shingles"],
+                names=["first_id", "d1", "d2", "shingles"],
             )
 
 
@@ -158,11 +161,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, shingles) of the classes in ``reps``, computed from their texts and stored."""
-    wanted = materialise(classes.join(reps, "rep", "left_semi").select("rep", "d1", "d2"), "wanted")
-    texts = rows_of(docs.select(F.col("doc_id").alias("rep"), "text"), wanted.select("rep"), "rep")
+    wanted = materialise(
+        classes.join(reps, "rep", "left_semi").select("rep", "first_id", "d1", "d2"), "wanted"
+    )
+    texts = rows_of(
+        docs.select(F.col("doc_id").alias("first_id"), "text"), wanted.select("first_id"), "first_id"
+    )
     sets = (
-        texts.mapInArrow(_shingles, "rep long, d1 long, d2 long, shingles binary")
-        .join(wanted, ["rep", "d1", "d2"], "left_semi")
+        texts.mapInArrow(_shingles, "first_id long, d1 long, d2 long, shingles binary")
+        .join(wanted, ["first_id", "d1", "d2"])
         .dropDuplicates(["rep"])
         .select("rep", "shingles")
     )
@@ -225,6 +232,16 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``rep``, a number of their own in the order of ``first_id``.
+
+    It is ``first_id`` itself, unless an id has several texts that are first of their class.
+    """
+    if classes.groupBy("first_id").count().where("count > 1").isEmpty():
+        return classes.withColumn("rep", F.col("first_id"))
+    return materialise(with_positions(classes, "first_id", "d1", "d2", name="rep"), "numbered")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -233,8 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null text or one without words has the empty set and is linked with nothing. Two
     documents are linked if 100 * |intersection| >= 75 * |union|. ``component_id`` is the
     smallest doc_id that links lead to, ``kept`` marks that document. Rows that repeat an
-    id are one document to links, with a row each; a null id is linked with nothing and
-    kept. Other columns are ignored; an empty table gives no rows.
+    id and have equal sets are one document to links, with a row each; texts of other sets
+    are documents of their own, of which one is kept if links lead from one to the other.
+    A null id is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
 
     Documents of equal sets become one class, so copies cost one row each. The bands of
     each class's SuperMinHash signature are its buckets. Every member of a bucket is
@@ -249,6 +267,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     The stages run when this function is called; each is stored under the checkpoint
     folder.
     """
+    return _near(docs).drop("d1", "d2")
+
+
+def _near(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` with the digests d1 and d2 of each row's set."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(
         ids.mapInArrow(
@@ -260,10 +283,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(
         full.groupBy("d1", "d2").agg(
-            F.min("doc_id").alias("rep"), F.first("slots").alias("slots"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("first_id"), F.first("slots").alias("slots"), F.first("bands").alias("bands")
         ),
         "classes",
     )
+    classes = _numbered(classes)
     banded = classes.select(F.explode("bands").alias("bucket"), "rep")
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
     members = materialise(banded.join(heads.where("members > 1"), "bucket"), "buckets")
@@ -324,33 +348,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more).unionByName(materialise(in_blocks, "block-links"))
         found = materialise(components(links), "components")
 
-    by_digest = classes.join(found.toDF("rep", "component"), "rep", "left").select(
-        "d1", "d2", F.coalesce("component", "rep").alias("component")
+    roots = found.toDF("rep", "component").join(
+        classes.select(F.col("rep").alias("component"), F.col("first_id").alias("name")), "component"
     )
+    by_digest = classes.join(roots, "rep", "left").select(
+        "d1", "d2", "first_id", F.coalesce("name", "first_id").alias("name"),
+        F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("root"),
+    )
     # One row per class on the right; a digest with many copies can be split on the left.
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_digest, ["d1", "d2"], "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(linked, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id"))
+    first = F.col("root") & (F.col("doc_id") == F.col("first_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(linked, F.coalesce(first, F.lit(True))).otherwise(F.lit(True)).alias("kept"),
+        "d1",
+        "d2",
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component of :func:`near_duplicates`.
 
-    The smallest id of each stays, with all its columns. Of rows that share an id and have
-    equal texts one stays; rows with a null id all stay.
+    The smallest id of each stays, with all its columns. Rows that share an id stay or go
+    each by its own text; of those with equal texts one stays. Rows with a null id all stay.
     """
-    found = materialise(near_duplicates(docs), "near-duplicates")
-    gone = materialise(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = rows_of(docs, gone, "doc_id", "left_anti")
+    found = materialise(_near(docs), "near-duplicates")
+    gone = materialise(found.where("not kept").select("doc_id", "d1", "d2").distinct(), "gone")
     often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     repeated = materialise(often.select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
-        return left
-    one = rows_of(left, repeated, "doc_id").dropDuplicates(["doc_id", "text"])
-    return rows_of(left, repeated, "doc_id", "left_anti").unionByName(one)
+        return rows_of(docs, gone.select("doc_id"), "doc_id", "left_anti")
+    once = rows_of(docs, repeated, "doc_id", "left_anti")
+    once = rows_of(once, gone.select("doc_id"), "doc_id", "left_anti")
+    at = docs.columns.index("text")
+
+    def digests(batch: pa.RecordBatch) -> list[pa.Array]:
+        sets = [
+            set_digests(*shingle_sets(scan_words(LOWER[data], offsets)))
+            for _, _, data, offsets in text_slices(batch.column(at))
+        ]
+        return [long_column(np.concatenate(x)) for x in zip(*sets)]
+
+    fields = [("__d1", T.LongType()), ("__d2", T.LongType())]
+    several = add_columns(rows_of(docs, repeated, "doc_id"), fields, digests)
+    gone = gone.toDF("__id", "__d1", "__d2")
+    same = (several["doc_id"] == gone["__id"]) & (several["__d1"] == gone["__d1"]) & (several["__d2"] == gone["__d2"])
+    several = several.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(several.drop("__d1", "__d2"))
