@@ -324,6 +324,35 @@ def test_awkward_vectors(frame):
     )
 
 
+def test_vectors_of_equal_hash_are_not_copies(frame):
+    """xxhash64 of a list of doubles chains one bijection, so collisions can be solved for."""
+    import struct
+
+    p1, p2, p3, p4, p5 = (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+    )
+    full = 2**64
+    turn = lambda x, n: (x << n | x >> (64 - n)) % full
+    bits = lambda x: struct.unpack("<Q", struct.pack("<d", x))[0]
+    key = lambda x: turn(x * p2 % full, 31) * p1 % full
+
+    def step(x, seed):
+        h = turn((seed + p5 + 8 ^ key(x)) % full, 27) * p1 + p4
+        h = (h ^ h % full >> 33) % full * p2 % full
+        h = (h ^ h >> 29) * p3 % full
+        return h ^ h >> 32
+
+    one, other = step(bits(1.0), 42), step(bits(-3.0), 42)
+    k = key(bits(1.0)) ^ (one + p5 + 8) % full ^ (other + p5 + 8) % full
+    second = turn(k * pow(p1, -1, full) % full, 33) * pow(p2, -1, full) % full
+    y = struct.unpack("<d", struct.pack("<Q", second))[0]
+    kind = VECTORS.replace("float", "double")
+    rows = frame(kind, [(1, [1.0, 1.0], 0, "x"), (2, [-3.0, y], 0, "x")])
+    assert len({r[0] for r in rows.selectExpr("xxhash64(embedding)").collect()}) == 1
+    got = embedding_dedup.near_duplicates(rows).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
+
+
 def test_vectors_of_nothing(frame):
     assert embedding_dedup.near_duplicates(frame(VECTORS, [])).collect() == []
     assert embedding_dedup.near_duplicates(frame(VECTORS, [(1, [0.0], 1, "")])).head().kept

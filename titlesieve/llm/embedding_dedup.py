@@ -198,14 +198,11 @@ def near_duplicates(
         & F.col("label").isNotNull()
         & F.col("vec_id").isNotNull()
     )
-    digest = [F.xxhash64("embedding", F.lit(salt)) for salt in (1, 2)]
-    marked = rows.select(
-        "*", F.coalesce(valid, F.lit(False)).alias("valid"), digest[0].alias("d1"), digest[1].alias("d2")
-    )
+    marked = rows.select("*", F.coalesce(valid, F.lit(False)).alias("valid"))
     classes = materialise(
         marked.where("valid")
-        .groupBy("label", "d1", "d2")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")),
+        .groupBy("label", "embedding")
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")),
         "vector-classes",
     )
     largest = classes.groupBy("label").count().agg(F.max("count")).head()[0]
@@ -253,17 +250,17 @@ def near_duplicates(
     links = compared.where("parent is not null").select(F.col("rep").alias("a"), F.col("parent").alias("b"))
     found = components(links).toDF("rep", "component")
     by_class = (
-        classes.select("label", "d1", "d2", "rep", "copies")
+        classes.select("label", "embedding", "rep", "copies")
         .join(counts, "rep", "left")
         .join(found, "rep", "left")
         .select(
-            "label", "d1", "d2",
+            "label", "embedding",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"),
             F.coalesce("component", "rep").alias("component"),
         )
     )
-    joined = marked.select("vec_id", "valid", "label", "d1", "d2").join(
-        by_class.withColumn("valid", F.lit(True)), ["valid", "label", "d1", "d2"], "left"
+    joined = marked.select("vec_id", "valid", "label", "embedding").join(
+        by_class.withColumn("valid", F.lit(True)), ["valid", "label", "embedding"], "left"
     )
     component = F.coalesce("component", "vec_id")
     return joined.select(
