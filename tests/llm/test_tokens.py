@@ -193,6 +193,14 @@ def test_segmentations_in_spark(frame):
     assert sps.digests(docs.limit(0), MODEL).collect() == []
 
 
+def test_a_lost_mark_is_reported(frame):
+    texts = [None, "", "plain words", "▁marks ▁", "a▁", " ▁ spaces", "é 日本"]
+    docs = frame(DOCS, [(i, t, "x", "x") for i, t in enumerate(texts)])
+    for r in sps.decode(sps.encode(docs, MODEL), MODEL).join(sps.digests(docs, MODEL, k=2), "doc_id").collect():
+        assert r.same_text == (r.decoded == (r.text or "")) == ("▁" not in (r.text or ""))
+        assert r.round_trip
+
+
 def test_samples_depend_on_the_key_only(frame):
     docs = [(i, "some words of a text", "x", "x") for i in range(30)]
     one = {r.doc_id: r.samples for r in sps.segment(frame(DOCS, docs), MODEL).collect()}

@@ -388,6 +388,7 @@ def segment(
 
 _DIGESTS = [
     ("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType()),
+    ("same_text", T.BooleanType()),
     ("samples", T.ArrayType(T.StructType([
         T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()),
         T.StructField("log_prob", T.DoubleType()), T.StructField("perturbed", T.DoubleType()),
@@ -402,17 +403,20 @@ def digests(
     """doc_id, digests of what ``segment`` gives, and whether all of them decode right.
 
     Checksums are of the ids as little-endian 32-bit integers. ``round_trip`` says that
-    the model's segmentation and every sampled one decode to the text. The ids
-    themselves never leave the task.
+    the model's segmentation and every sampled one decode to the text as the model sees
+    it, with a space for each mark; ``same_text`` that they decode to the bytes of the text
+    itself, which is false for a text with a mark. The ids themselves never leave the task.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__seed"))
     get = _segmenter(docs, model, alpha)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         keys = batch.column(2).to_numpy()
-        sizes, sums, right, drawn = [], [], [], []
+        sizes, sums, right, same, drawn = [], [], [], [], []
         for first, after, data, offsets in text_slices(batch.column(1), LAYOUT_BYTES):
             segmenter = get()
+            raw = data.tobytes()
+            originals = [raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             data, offsets = marks_as_spaces(data, offsets)
             layout = segmenter.layout(data, offsets)
             ids, counts = segmenter.encode(layout)
@@ -431,6 +435,7 @@ def digests(
             sizes += counts.tolist()
             sums += [zlib.crc32(little[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
             right += fine
+            same += [f and t == o for f, t, o in zip(fine, texts, originals)]
             drawn += [
                 [{"n_pieces": len(s.ids), "ids_crc32": zlib.crc32(s.ids.astype("<u4")),
                   "log_prob": s.log_prob, "perturbed": s.perturbed, "log_inclusion": s.log_inclusion}
@@ -441,6 +446,7 @@ def digests(
             ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()),
             ("perturbed", pa.float64()), ("log_inclusion", pa.float64()),
         ]))
-        return [pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(right), pa.array(drawn, kind)]
+        return [pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(right),
+                pa.array(same, pa.bool_()), pa.array(drawn, kind)]
 
     return add_columns(keyed, _DIGESTS, compute, ("text", "__seed"))
