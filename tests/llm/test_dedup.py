@@ -275,6 +275,22 @@ def test_a_short_document_alone(frame, n):
     assert [r.text for r in substring_dedup.remove_repeats(docs).collect()] == [text]
 
 
+def test_words_of_equal_hash_are_not_repeats(frame):
+    """Long words of the Thue-Morse sequence and its complement have equal hashes."""
+    bits = [bin(i).count("1") % 2 for i in range(4_096)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    words = [f"w{i}" for i in range(30)]
+    one, other = (" ".join(words[:15] + [w] + words[15:]) for w in (x, y))
+    rows = [
+        (1, one), (2, other), (3, "front " + other), (4, "front of " + one), (5, f"{one} {other}"),
+        (6, " ".join(x)), (7, " ".join(y)),
+    ]
+    docs = frame(DOCS, [(*r, "", "", 1) for r in rows])
+    expected = brute_removal(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removal_digests(docs).collect()}
+    assert got == {i: e[:3] for i, e in expected.items()}
+
+
 def vectors(seed, width=16):
     rng = np.random.default_rng(seed)
     rows = []

@@ -3,9 +3,11 @@
 Every window of 20 words is an edge. Edges that occur in one document only cannot repeat
 another's text and are sifted out first, by the gram of smallest hash inside each window
 (its minimizer): equal windows have equal minimizers, and there is one for about six or
-seven words. What is left is joined by edge with its first document, and paths of consecutive
-edges that lie on the same path of the same source are compacted to spans, each with the
-source's coordinates.
+seven words. What is left is joined by edge with its first document. Places whose neighbour
+lies on the same path of the same source are compacted to spans by joining every place with
+its successor: places without one on a side are the ends of a span. Each span is then
+compared with its source at the source's coordinates. There is no test for branching nodes:
+a path ends where the source's path does.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +78,7 @@ def _joined(words: Words, start: int, stop: int, raw: bytes) -> bytes:
 
 
 def _summarise(window: int):
-    """Per document: words, digests of the word sequence, checksum of all words, minimizers.
+    """Per document: words, checksum of all words, minimizers.
 
     ``grams`` are the distinct minimizers, ``own_grams`` those with several places.
     """
@@ -105,28 +107,49 @@ def _summarise(window: int):
                 ]
                 begin, end = words.bounds[:-1], words.bounds[1:]
                 raw = data.tobytes()
-                digests = [
-                    long_column(span_hash(prefix_hash(mix(words.hash + np.uint64(salt))), begin, end))
-                    for salt in (101, 202)
-                ]
                 whole = [
                     hashlib.sha256(_joined(words, a, b, raw)).hexdigest()
                     for a, b in zip(begin.tolist(), end.tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, after - first), pa.array(end - begin), *digests,
+                    [batch.column(0).slice(first, after - first), pa.array(end - begin),
                      pa.array(whole), *lists],
-                    names=["doc_id", "n_words", "d1", "d2", "whole_sha256", "grams", "own_grams"],
+                    names=["doc_id", "n_words", "whole_sha256", "grams", "own_grams"],
                 )
 
     return run
 
 
-def _find_edges(window: int):
+def _edge_digests(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """SHA-256 of the words of each window."""
+    raw = words.data.tobytes()
+    found = [hashlib.sha256(_joined(words, a, a + window, raw)).digest() for a in at.tolist()]
+    return np.array(found, dtype="V32")
+
+
+def _own_repeats(edge: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which windows repeat their document; heads and sizes of runs of them, and their sources.
+
+    The source of a window is the last equal one before it; runs go on while it moves along.
+    """
+    order = np.lexsort((at, edge, row))
+    again, source = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+    same = (edge[order[1:]] == edge[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    again[order[1:]] = same
+    source[order[1:][same]] = at[order[:-1][same]]
+    start, origin, of = at[again], source[again], row[again]
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != start[:-1] + 1) | (origin[1:] != origin[:-1] + 1) | (of[1:] != of[:-1])
+    heads = np.flatnonzero(new)
+    return again, start[heads], np.diff(np.append(heads, len(start))), origin[heads], of[heads]
+
+
+def _find_edges(window: int, exact: bool = False):
     """Edges of (doc_id, text, grams) whose minimizer is in grams.
 
     The first of equal edges of a document has ``size`` 1; later ones repeat the document
-    itself and come compacted, as starts and sizes of runs, without an edge.
+    itself and come compacted, as starts and sizes of runs, without an edge. Their words are
+    compared here. With ``exact`` edges are SHA-256 digests of the words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,23 +168,30 @@ def _find_edges(window: int):
                     mix(low ^ mix(row.astype(np.uint64))), mix(own ^ mix(own_row.astype(np.uint64)))
                 )
                 at, edge, check, row = at[keep], edge[keep], check[keep], row[keep]
-                order = np.lexsort((at, edge, row))
-                again = np.zeros(len(at), bool)
-                again[order[1:]] = (edge[order[1:]] == edge[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-                place = at - words.bounds[row]
-                start, run_row = place[again], row[again]
-                new = np.ones(len(start), bool)
-                new[1:] = (start[1:] != start[:-1] + 1) | (run_row[1:] != run_row[:-1])
-                heads = np.flatnonzero(new)
-                sizes = np.diff(np.append(heads, len(start)))
-                lone = ~again
-                n_edges, n_runs = int(lone.sum()), len(heads)
+                if exact:
+                    digest = _edge_digests(words, at, window)
+                    edge = np.unique(digest, return_inverse=True)[1]
+                again, start, sizes, origin, run_row = _own_repeats(edge, at, row)
+                raw = data.tobytes()
+                if not exact and any(
+                    _joined(words, a, a + n + window - 1, raw) != _joined(words, b, b + n + window - 1, raw)
+                    for a, b, n in zip(start.tolist(), origin.tolist(), sizes.tolist())
+                ):
+                    told = np.unique(_edge_digests(words, at, window), return_inverse=True)[1]
+                    again, start, sizes, origin, run_row = _own_repeats(told, at, row)
+                place, lone = at - words.bounds[row], ~again
+                start = start - words.bounds[run_row]
+                n_edges, n_runs = int(lone.sum()), len(start)
+                if exact:
+                    edges = pa.array([d.tobytes() for d in digest[lone]] + [None] * n_runs, pa.binary())
+                else:
+                    edges = pa.concat_arrays([long_column(edge[lone]), pa.nulls(n_runs, pa.int64())])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([long_column(edge[lone]), pa.nulls(n_runs, pa.int64())]),
+                        edges,
                         pa.array(np.concatenate([check[lone], np.zeros(n_runs, np.int32)])),
-                        pa.array(ids[first:after][np.concatenate([row[lone], run_row[heads]])]),
-                        pa.array(np.concatenate([place[lone], start[heads]]).astype(np.int32)),
+                        pa.array(ids[first:after][np.concatenate([row[lone], run_row])]),
+                        pa.array(np.concatenate([place[lone], start]).astype(np.int32)),
                         pa.array(np.concatenate([np.ones(n_edges), sizes]).astype(np.int32)),
                     ],
                     names=["edge", "check", "doc_id", "at", "size"],
@@ -170,6 +200,55 @@ def _find_edges(window: int):
     return run
 
 
+def _span_digests(window: int):
+    """(doc_id, at, size, SHA-256 of the words) of the spans of (doc_id, text, spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            at, size = (lists.flatten().field(i).to_numpy() for i in (0, 1))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            for first, after, data, offsets in text_slices(batch.column(1)):
+                words = scan_words(data, offsets, hashed=False)
+                raw = data.tobytes()
+                lo, hi = ends[first], ends[after]
+                row = np.repeat(np.arange(after - first), np.diff(ends[first : after + 1]))
+                start = words.bounds[row] + at[lo:hi]
+                stop = np.minimum(start + size[lo:hi] + window - 1, words.bounds[row + 1])
+                digest = [
+                    hashlib.sha256(_joined(words, a, b, raw)).digest()
+                    for a, b in zip(start.tolist(), stop.tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first:after][row]), pa.array(at[lo:hi]), pa.array(size[lo:hi]),
+                     pa.array(digest, pa.binary())],
+                    names=["doc_id", "at", "size", "digest"],
+                )
+
+    return run
+
+
+def _all_as_source(ids: DataFrame, spans: DataFrame, window: int) -> bool:
+    """Whether the words of every span are those at its source's coordinates."""
+    source = spans.select(F.col("source_id").alias("doc_id"), F.col("source_at").alias("at"), "size")
+    wanted = materialise(
+        spans.select("doc_id", "at", "size").unionByName(source).groupBy("doc_id").agg(
+            F.collect_set(F.struct("at", "size")).alias("places")
+        ),
+        "compared-places",
+    )
+    digests = materialise(
+        _with(ids, wanted, "places").select("doc_id", "text", "places").mapInArrow(
+            _span_digests(window), "doc_id long, at int, size int, digest binary"
+        ),
+        "span-digests",
+    )
+    one = spans.join(digests, ["doc_id", "at", "size"], "left").withColumnRenamed("digest", "own")
+    two = digests.toDF("source_id", "source_at", "size", "digest")
+    both = one.join(two, ["source_id", "source_at", "size"], "left")
+    return both.where(F.coalesce(F.col("own") != F.col("digest"), F.lit(True))).isEmpty()
+
+
 def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple]:
     """(first row, words of each row, removed words, kept words as UTF-8) of slices."""
     flat = spans.flatten()
@@ -233,9 +312,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     0), size (windows in a row), source_id and source_at of the same text; spans that
     repeat their own document have no source. ``copies`` has the documents whose words all
     equal those of a smaller id, ``first_id``: they have no spans, and a window in them is
-    repeated if there is any. Null texts have no words; rows with a null id come before
+    repeated if there is any; they are told by the SHA-256 of their words. Null texts have no words; rows with a null id come before
     all others; rows that share an id are not earlier than each other.
 
+    Windows are found by hashes of 95 bits. The words of each compacted span are then
+    compared with those at its source, by SHA-256. If a single one differs, all edges are
+    taken again as SHA-256 digests of their words.
+
     The stages run when this function is called; each is stored under the checkpoint folder.
     """
     ids = docs.select(
@@ -244,21 +327,21 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     summary = materialise(
         ids.mapInArrow(
             _summarise(window),
-            "doc_id long, n_words long, d1 long, d2 long, whole_sha256 string,"
+            "doc_id long, n_words long, whole_sha256 string,"
             " grams array<long>, own_grams array<long>",
         ),
         "summaries",
     )
-    firsts = summary.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(
+    firsts = summary.where(F.col("n_words") >= window).groupBy("whole_sha256").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")
     )
     copies = materialise(
-        summary.join(firsts.where("first_id < last_id"), ["d1", "d2"])
+        summary.join(firsts.where("first_id < last_id"), ["whole_sha256"])
         .where("doc_id > first_id")
-        .select("doc_id", "d1", "d2", "first_id"),
+        .select("doc_id", "whole_sha256", "first_id"),
         "copies",
     )
-    originals = summary.join(copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
+    originals = summary.join(copies.select("doc_id", "whole_sha256"), ["doc_id", "whole_sha256"], "left_anti")
 
     # Minimizers in more than one place. The ones of several documents are stored before
     # they are looked up, so that a hot one can be split in the join.
@@ -272,11 +355,24 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     wanted = materialise(
         repeated.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "repeated-grams"
     )
+    spans, own = _compacted(ids, wanted, window, False)
+    if not _all_as_source(ids, spans, window):
+        spans, own = _compacted(ids, wanted, window, True)
+    return Repeats(ids, summary, copies, materialise(spans.unionByName(own), "spans"))
+
+
+def _compacted(
+    ids: DataFrame, wanted: DataFrame, window: int, exact: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Spans with a source in another document, stored, and those that repeat their own."""
+    kind = "binary" if exact else "long"
     # Not stored: the edges of the second pass are larger than computing them again is dear.
     found = (
         _with(ids, wanted, "grams")
         .select("doc_id", "text", "grams")
-        .mapInArrow(_find_edges(window), "edge long, check int, doc_id long, at int, size int")
+        .mapInArrow(
+            _find_edges(window, exact), f"edge {kind}, check int, doc_id long, at int, size int"
+        )
     )
     edges = found.where("edge is not null").select("edge", "check", "doc_id", "at")
     first = edges.groupBy("edge", "check").agg(
@@ -287,38 +383,45 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
     source = placed.where("doc_id = source_id").select("edge", "check", F.col("at").alias("source_at"))
     # Rows that share the first id may both hold an edge: one of them is the source.
     source = source.groupBy("edge", "check").agg(F.min("source_at").alias("source_at"))
-    repeated = placed.where("doc_id > source_id").join(source, ["edge", "check"]).select(
-        "doc_id", "at", "source_id", "source_at"
-    )
-    # Paths: consecutive windows of a document on consecutive windows of one source.
-    path = Window.partitionBy("doc_id").orderBy("at", "source_id", "source_at")
-    follows = (
-        (F.lag("at").over(path) == F.col("at") - 1)
-        & (F.lag("source_id").over(path) == F.col("source_id"))
-        & (F.lag("source_at").over(path) == F.col("source_at") - 1)
-    )
-    numbered = repeated.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn(
-        "path", F.sum("new").over(path.rowsBetween(Window.unboundedPreceding, 0))
+    on = F.col("at") - F.col("source_at")
+    repeated = materialise(
+        placed.where("doc_id > source_id").join(source, ["edge", "check"]).select(
+            "doc_id", "source_id", on.alias("on"), "at"
+        ),
+        "repeated-places",
+    ).distinct()
+    # Paths: consecutive windows of a document on consecutive windows of one source. A place
+    # without a match is the first of a path, a successor without one comes after the last.
+    keys = ["doc_id", "source_id", "on"]
+    here = repeated.select(*keys, "at", F.lit(True).alias("here"))
+    after = repeated.select(*keys, (F.col("at") + 1).alias("at"), F.lit(True).alias("after"))
+    edge_of_path = here.join(after, [*keys, "at"], "full").where("here is null or after is null")
+    ends = edge_of_path.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col("here"), F.col("at")))).alias("starts"),
+        F.sort_array(F.collect_list(F.when(F.col("after"), F.col("at")))).alias("stops"),
     )
-    paths = numbered.groupBy("doc_id", "path").agg(
-        F.min("at").alias("at"),
-        F.count("*").cast("int").alias("size"),
-        F.min("source_id").alias("source_id"),
-        F.min("source_at").alias("source_at"),
+    paths = ends.select(
+        "doc_id", "source_id", "on", F.explode(F.arrays_zip("starts", "stops")).alias("path")
+    ).select(
+        "doc_id",
+        F.col("path.starts").alias("at"),
+        (F.col("path.stops") - F.col("path.starts")).alias("size"),
+        "source_id",
+        (F.col("path.starts") - F.col("on")).alias("source_at"),
     )
+    spans = materialise(paths, "paths")
     own = found.where("edge is null").select(
         "doc_id", "at", "size",
         F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("int").alias("source_at"),
     )
-    spans = materialise(paths.drop("path").unionByName(own), "spans")
-    return Repeats(ids, summary, copies, spans)
+    return spans, own
 
 
 def _spans_by_document(repeats: Repeats, copies: bool, window: int) -> DataFrame:
     spans = repeats.spans.select("doc_id", "at", "size")
     if copies:
         whole = (F.col("n_words") - (window - 1)).cast("int")
-        rows = repeats.summary.join(repeats.copies, ["doc_id", "d1", "d2"], "left_semi")
+        rows = repeats.summary.join(repeats.copies, ["doc_id", "whole_sha256"], "left_semi")
         spans = spans.unionByName(rows.select("doc_id", F.lit(0).alias("at"), whole.alias("size")))
     return materialise(
         spans.groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("spans")),
@@ -380,8 +483,8 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         )
     )
     rest = repeats.summary.join(repeats.spans.select("doc_id").distinct(), "doc_id", "left_anti")
-    copy = repeats.copies.select("doc_id", "d1", "d2", F.lit(True).alias("copy")).distinct()
-    whole = rest.join(copy, ["doc_id", "d1", "d2"], "left").select(
+    copy = repeats.copies.select("doc_id", "whole_sha256", F.lit(True).alias("copy")).distinct()
+    whole = rest.join(copy, ["doc_id", "whole_sha256"], "left").select(
         "doc_id",
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"),
