@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from titlesieve.llm import language_id, quality
+from titlesieve.llm import language_id, quality, toxicity
 from titlesieve.llm.registry import query, table
-from titlesieve.sources.storage import materialise
+from titlesieve.sources.storage import materialise, spread
 
 
 def _fold(folds: int):
@@ -37,3 +37,16 @@ def op8_quality(spark, sf_dir):
         F.col("quality_score").alias("score"),
         (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep_text=False)
+    return scored.select(
+        "doc_id",
+        (_fold(4) == 2).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
