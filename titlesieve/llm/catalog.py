@@ -1,6 +1,7 @@
 """All registered queries of this package."""
 
 from titlesieve.llm import (  # noqa: F401
+    chat_queries,
     dedup_queries,
     model_queries,
     native_queries,
