@@ -5,6 +5,7 @@ from titlesieve.llm import (  # noqa: F401
     dedup_queries,
     model_queries,
     native_queries,
+    spelling_queries,
     token_queries,
 )
 from titlesieve.llm.registry import ORACLES, QUERIES  # noqa: F401
