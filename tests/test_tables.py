@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from titlesieve.functions.rules import integer_range, max_length, not_blank, not_null, one_of
@@ -7,6 +9,7 @@ from titlesieve.operators.tables import (
     seed_progress,
     validate,
 )
+from titlesieve.operators import uniqueness
 from titlesieve.plans.flows import load_papers, load_user_tables
 from titlesieve.sources.schemas import PAPERS, PROGRESS, USERS
 from titlesieve.sources.writers import append_to_table
@@ -140,3 +143,50 @@ def test_append_to_a_catalog_table(spark, frame):
         append_to_table(rows, "stored_papers")
         assert spark.table("stored_papers").count() == 2 * times
     spark.sql("DROP TABLE stored_papers")
+
+
+def walked(rows, names=(), codes=()):
+    """Outcomes of inserting (id, username, code) one after the other."""
+    names, codes, out = set(names), set(codes), {}
+    for i, name, code in sorted(rows):
+        out[i] = "exists" if name in names else "error" if code in codes and code else "created"
+        if out[i] == "created":
+            names.add(name)
+            codes.add(code)
+    return out
+
+
+def test_a_user_refused_for_its_code_leaves_its_name_free(frame):
+    rows = [(1, "u1", "c1"), (2, "u2", "c1"), (3, "u2", "c2"), (4, "u2", "c3"), (5, "u1", "c2")]
+    batch = [(i, u, "h", None, "admin", c) for i, u, c in rows]
+    loaded = load_users(frame("id long, username string, invite_code string", []), frame(USER, batch))
+    got = {r.id: (r.outcome, r.new_id) for r in loaded.collect()}
+    assert got == {1: ("created", 1), 2: ("error", None), 3: ("created", 2), 4: ("exists", None), 5: ("exists", None)}
+
+
+@pytest.mark.parametrize("rest, size, seed", [(0, 60, 1), (10_000, 400, 2), (7, 250, 3), (0, 30, 4)])
+def test_two_unique_keys_equal_a_walk(frame, monkeypatch, rest, size, seed):
+    monkeypatch.setattr(uniqueness, "WALKED_ROWS", rest)
+    rng = random.Random(seed)
+    rows = [(i * 3, f"u{min(rng.randrange(40), rng.randrange(40))}", rng.choice([None, f"c{rng.randrange(30)}"]))
+            for i in range(size)]
+    stored = [(900, "u1", "c1"), (901, "u2", None), (902, "u3", "c1")]
+    batch = [(i, u, "h", None, "admin", c) for i, u, c in rows]
+    loaded = load_users(frame("id long, username string, invite_code string", stored), frame(USER, batch)).collect()
+    want = walked(rows, ["u1", "u2", "u3"], ["c1"])
+    assert {r.id: r.outcome for r in loaded} == want and len(loaded) == size
+    created = sorted(i for i, outcome in want.items() if outcome == "created")
+    assert {r.id: r.new_id for r in loaded if r.new_id} == {i: 903 + k for k, i in enumerate(created)}
+
+
+def test_three_keys_and_chains(frame, monkeypatch):
+    monkeypatch.setattr(uniqueness, "WALKED_ROWS", 0)
+    rows = [(i, i // 2, (i + 1) // 2, None if i % 5 else 1) for i in range(24)]
+    taken = uniqueness.accept_in_order(frame("row_id int, a int, b int, c int", rows), ["a", "b", "c"])
+    used, want = [set(), set(), set()], []
+    for i, *keys in rows:
+        if not any(k in s for k, s in zip(keys, used) if k is not None):
+            want.append(i)
+            for k, s in zip(keys, used):
+                s.add(k)
+    assert sorted(r.row_id for r in taken.collect()) == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titlesieve.functions.rules import Rule
 from titlesieve.operators.dedup import remove_duplicates
 from titlesieve.operators.positions import with_positions
+from titlesieve.operators.uniqueness import accept_in_order
 from titlesieve.sources.schemas import SEEDED_ROLE, user_rules
 from titlesieve.sources.storage import materialise
 
@@ -117,35 +118,44 @@ def load_users(target: DataFrame, batch: DataFrame) -> DataFrame:
 
     ``batch`` has the columns of the users table; ``id`` decides who is first and must
     not repeat. The password column holds hashes already. No display name means the
-    username. A user to create whose invite code another one to create or a stored one has
-    is an error. ``new_id`` of created users counts on from the ids in ``target``; it is
+    username. Rows are taken as if inserted one after the other: a username that is stored
+    or was created before makes a row ``exists``; otherwise an invite code that is stored
+    or was given to a user created before makes it an error. A refused row takes neither.
+    ``new_id`` of created users counts on from the ids in ``target``; it is
     null for all others. Numbering runs when this function is called.
     """
     named = batch.withColumn("display_name", F.coalesce("display_name", "username"))
     checked = check_rows(named, user_rules())
     good, _ = split_checked(checked)
-    absent = insert_if_absent(target, good.select("id", "username", "invite_code"), "username", order="id")
-    coded = check_unique(check_rows(absent, []), "invite_code", order="id", row="id")
+    stored = target.select("username").where(F.col("username").isNotNull()).distinct()
+    fresh = good.select("id", "username", "invite_code").join(stored, "username", "left_anti")
     if "invite_code" in target.columns:
         taken = target.select("invite_code").where(F.col("invite_code").isNotNull()).distinct()
-        coded = coded.join(taken.withColumn("__taken", F.lit(True)), "invite_code", "left")
-        used = F.col("__taken") & (F.size("errors") == 0)
-        coded = _add_error(coded, F.coalesce(used, F.lit(False)), "duplicate invite_code").drop("__taken")
-    outcomes = materialise(coded.select("id", F.col("errors").alias("__code_errors")), "new-users")
-    created = outcomes.where(F.size("__code_errors") == 0).select(F.col("id").alias("__row"))
-    numbered = assign_ids(created, target, "__row").select(
+        fresh = fresh.join(taken, "invite_code", "left_anti")
+    accepted = materialise(accept_in_order(fresh, ["username", "invite_code"], "id"), "new-users")
+    numbered = assign_ids(accepted.select(F.col("id").alias("__row")), target, "__row").select(
         F.col("__row").alias("id"), F.col("id").alias("new_id")
     )
-    marked = checked.join(outcomes, "id", "left").join(numbered, "id", "left")
-    errors = F.concat("errors", F.coalesce("__code_errors", F.array().cast("array<string>")))
+    before = accepted.select("username", F.col("id").alias("__first")).unionByName(
+        stored.select("username", F.lit(None).cast(batch.schema["id"].dataType).alias("__first"))
+    )
+    marked = checked.join(numbered, "id", "left").join(
+        before.withColumn("__named", F.lit(True)), "username", "left"
+    )
+    known = F.coalesce(F.col("__named"), F.lit(False))
+    exists = known & (F.col("__first").isNull() | (F.col("__first") < F.col("id")))
     outcome = (
         F.when(F.size("errors") > 0, "error")
         .when(F.col("new_id").isNotNull(), "created")
-        .otherwise("exists")
+        .when(exists, "exists")
+        .otherwise("error")
     )
-    return (
-        marked.withColumn("errors", errors).withColumn("outcome", outcome).drop("__code_errors")
+    decided = _add_error(
+        marked.withColumn("outcome", outcome),
+        (F.col("outcome") == "error") & (F.size("errors") == 0),
+        "duplicate invite_code",
     )
+    return decided.select(*checked.columns, "new_id", "outcome")
 
 
 def user_load_report(loaded: DataFrame) -> DataFrame:

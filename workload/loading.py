@@ -208,3 +208,38 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     created = _loaded(spark, sf_dir).where("outcome = 'created'")
     return seed_progress(created, table(spark, sf_dir, "events"))
+
+
+@query(
+    "users_two_keys",
+    f"""{with_views('coded_batch', 'coded_users').replace('WITH ', 'WITH RECURSIVE ', 1)},
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY id) AS i FROM coded_batch),
+    walk AS (
+      SELECT person, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, '' AS outcome,
+        list_filter(list_distinct(list(username)), lambda x: x IS NOT NULL) AS names,
+        list_filter(list_distinct(list(invite_code)), lambda x: x IS NOT NULL) AS codes
+      FROM (SELECT person, username, invite_code FROM coded_users
+            UNION ALL SELECT person, NULL, NULL FROM coded_batch) GROUP BY person
+      UNION ALL
+      SELECT person, i, id, outcome,
+        CASE outcome WHEN 'created' THEN list_append(names, username) ELSE names END,
+        CASE WHEN outcome = 'created' AND invite_code IS NOT NULL THEN list_append(codes, invite_code) ELSE codes END
+      FROM (SELECT n.person, n.i, n.id, n.username, n.invite_code, names, codes,
+              CASE WHEN n.password_hash IS NULL THEN 'error'
+                   WHEN list_contains(names, n.username) THEN 'exists'
+                   WHEN n.invite_code IS NOT NULL AND list_contains(codes, n.invite_code) THEN 'error'
+                   ELSE 'created' END AS outcome
+            FROM walk JOIN numbered n ON n.person = walk.person AND n.i = walk.i + 1)),
+    last_id AS (SELECT max(id) AS last FROM coded_users),
+    created AS (SELECT id, (SELECT last FROM last_id) + row_number() OVER (ORDER BY id) AS new_id
+      FROM walk WHERE outcome = 'created')
+    SELECT walk.id, outcome, new_id,
+      CASE WHEN outcome <> 'error' THEN '' WHEN password_hash IS NULL THEN 'password_hash is null'
+           ELSE 'duplicate invite_code' END AS errors
+    FROM walk JOIN coded_batch USING (id) LEFT JOIN created USING (id)""",
+)
+def _(spark, sf_dir):
+    """Both unique keys of the users table at once, as inserts one by one would keep them."""
+    batch = view(spark, sf_dir, "coded_batch").drop("person")
+    loaded = load_users(view(spark, sf_dir, "coded_users").drop("person"), batch)
+    return loaded.select("id", "outcome", "new_id", F.array_join("errors", "; ").alias("errors"))

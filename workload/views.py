@@ -76,6 +76,25 @@ SELECT o_orderkey AS id,
   CAST(NULL AS STRING) AS invite_code
 FROM orders"""
 
+# A batch in which usernames and invite codes clash across each other: a row refused for one
+# leaves the other free. Clashes stay among the orders of one customer.
+CODED_BATCH = """
+SELECT o_orderkey AS id, o_custkey AS person,
+  'u' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 3 AS STRING) AS username,
+  CASE WHEN o_orderkey % 11 = 4 THEN NULL ELSE md5(CAST(o_orderkey AS STRING)) END AS password_hash,
+  CAST(NULL AS STRING) AS display_name,
+  CASE o_orderstatus WHEN 'P' THEN 'admin' WHEN 'F' THEN 'supervisor' ELSE 'groupmate' END AS role,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL
+       ELSE 'c' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 5 AS STRING) END AS invite_code
+FROM orders"""
+
+# Users that are there before: every fifth customer has one name and one code already.
+CODED_USERS = """
+SELECT c_custkey AS id, c_custkey AS person,
+  'u' || CAST(c_custkey AS STRING) || '-0' AS username,
+  'c' || CAST(c_custkey AS STRING) || '-1' AS invite_code
+FROM customer WHERE c_custkey % 5 = 0"""
+
 VIEWS = {
     "papers": PAPERS,
     "replies": REPLIES,
@@ -83,10 +102,13 @@ VIEWS = {
     "decision_rows": DECISION_ROWS,
     "users": USERS,
     "user_batch": USER_BATCH,
+    "coded_batch": CODED_BATCH,
+    "coded_users": CODED_USERS,
 }
 _TABLES = {
     "papers": "documents", "replies": "labels", "decisions": "events",
     "decision_rows": "events", "users": "customer", "user_batch": "orders",
+    "coded_batch": "orders", "coded_users": "customer",
 }
 
 
