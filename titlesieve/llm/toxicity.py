@@ -100,10 +100,10 @@ class Gains:
         most = _NO_WINDOW
         for found in windows(text):
             distinct = set(found)
-            new = distinct - self.known.keys()
+            new = [window for window in distinct if window not in self.known]
             if len(self.known) + len(new) > MOST_REMEMBERED:
                 self.known.clear()
-                new = distinct
+                new = list(distinct)
             for window in new:
                 frame = b" " + window + b" " + _TAIL
                 plain, toxic = (len(coder.compress(frame)) for coder in self.coders)
