@@ -19,6 +19,7 @@ SMALL_WINDOWS = {
     "csv_file_order", "review_queue", "replayed_decisions", "last_sessions", "review_counts",
     "current_cards", "kept_in_review", "running_decision_counts", "word_bars",
     "inserted_users", "seeded_progress", "user_load_report", "user_outcomes", "users_two_keys",
+    "ranked_batch_counts",
 }
 
 

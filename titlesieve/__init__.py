@@ -12,6 +12,7 @@ from titlesieve.functions.text import (
     parse_year,
     word_count,
 )
+from titlesieve.operators.batches import ranked_progress, read_verdicts, run_ranked_batches
 from titlesieve.operators.columns import (
     drop_blank_titles,
     find_title_column,
@@ -69,6 +70,7 @@ from titlesieve.operators.triage import (
     render_prompts,
     run_batches,
 )
+from titlesieve.operators.uniqueness import accept_in_order
 from titlesieve.operators.words import with_relative, word_counts, word_frequencies
 from titlesieve.sources.readers import describe_source, read_papers, resolve_source
 from titlesieve.sources.writers import append_papers, export_nonempty, write_csv, write_triage
@@ -79,5 +81,11 @@ from titlesieve.streaming.live import (
     triage_stream,
     write_progress,
 )
+from titlesieve.streaming.stores import (
+    current_progress,
+    first_decisions,
+    keep_first_decisions,
+    upsert_progress,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -13,6 +13,9 @@ from titlesieve.operators.stats import reviewer_progress
 from titlesieve.sources.readers import NULL_TOKENS, read_papers
 from titlesieve.sources.storage import materialise, scratch_folder
 from titlesieve.sources.writers import export_nonempty
+from titlesieve.streaming.stores import (
+    current_progress, first_decisions, keep_first_decisions, upsert_progress,
+)
 from titlesieve.streaming.live import dedup_decisions, live_progress, read_progress, write_progress
 from workload.registry import query
 from workload.screening import SCREENED, SPEC, papers
@@ -220,3 +223,64 @@ def _(spark, sf_dir):
         .awaitTermination()
     )
     return spark.read.parquet(stored)
+
+
+SLICES = 4
+_SLICE = f"(event_id - low) * {SLICES} // (high - low + 1)"
+
+
+def _arriving(spark, sf_dir, start):
+    """Run a stream over the events as they arrive, in four loads one after the other."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    folder = scratch_folder(spark, "arriving")
+    for part in range(SLICES):
+        own = F.expr(f"(event_id - {low}L) * {SLICES} div ({high - low + 1}L)") == part
+        events.where(own).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(events.schema).parquet(folder)).awaitTermination()
+
+
+@query("live_progress_upserted", f"{PROGRESS} SELECT * FROM counts")
+def _(spark, sf_dir):
+    """Counters after four loads, a snapshot after each two."""
+    stored, state = scratch_folder(spark, "progress"), scratch_folder(spark, "progress-state")
+
+    def start(events):
+        marks = events.selectExpr(
+            "user_id",
+            "cast(ts AS timestamp) AS decided_at",
+            "CASE WHEN event_type IN ('purchase', 'signup') THEN 'Y' WHEN event_type = 'error' THEN 'N'"
+            " WHEN event_type = 'view' THEN 'X' WHEN event_id % 29 = 0 THEN 'RESET' ELSE 'N' END AS decision",
+        )
+        return upsert_progress(live_progress(marks, kept="Y", rejected="N"), stored, state, every=2)
+
+    _arriving(spark, sf_dir, start)
+    return current_progress(spark, stored).withColumn("last_active", F.col("last_active").cast("timestamp_ntz"))
+
+
+@query(
+    "first_decisions_kept",
+    f"""{with_views('decision_rows')}, bounds AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events)
+    SELECT user_id, paper_id, decision, decided_at
+    FROM (SELECT *, {_SLICE.replace('event_id', 'id')} AS slice FROM decision_rows, bounds)
+    WHERE decision IN ('keep', 'reject')
+    QUALIFY row_number() OVER (PARTITION BY user_id, paper_id ORDER BY slice, decided_at, id) = 1""",
+)
+def _(spark, sf_dir):
+    """The first valid decision of each pair, with its value, over four loads."""
+    stored, state = scratch_folder(spark, "kept-first"), scratch_folder(spark, "kept-first-state")
+
+    def start(events):
+        rows = events.selectExpr(
+            "event_id AS id",
+            "user_id",
+            "cast(get_json_object(props, '$.k') AS bigint) AS paper_id",
+            "cast(ts AS timestamp) AS decided_at",
+            "CASE event_type WHEN 'purchase' THEN 'keep' WHEN 'signup' THEN 'keep' WHEN 'error' THEN 'reject'"
+            " WHEN 'view' THEN 'maybe' END AS decision",
+        )
+        return keep_first_decisions(rows, stored, state, ("decided_at", "id"), every=3)
+
+    _arriving(spark, sf_dir, start)
+    kept = first_decisions(spark, stored)
+    return kept.withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz"))

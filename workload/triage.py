@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from titlesieve.functions.replies import parse_reply, resolve_attempts
+from titlesieve.operators.batches import ranked_progress, read_verdicts, run_ranked_batches
 from titlesieve.operators.columns import with_verdict_columns
 from titlesieve.operators.filters import split_by_decision
 from titlesieve.operators.running import running_totals
@@ -278,3 +279,46 @@ def _(spark, sf_dir):
     )
     triage_stream(stream, _judge(spark, sf_dir), store, checkpoint).awaitTermination()
     return spark.read.parquet(store).select("row_id", "nlp_decision", "nlp_confidence")
+
+
+RANKED = 50
+# Ids far apart and not evenly so.
+_SPARSE = "row_id * row_id + row_id % 7"
+_RANKED = f"""sparse AS (SELECT {_SPARSE} AS row_id, nlp_decision, nlp_confidence FROM judged),
+    ranked AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {RANKED} AS batch FROM sparse)"""
+
+
+@query("triage_ranked_batches", f"{VERDICTS}, {_RANKED} SELECT row_id, nlp_decision, nlp_confidence FROM ranked")
+def _(spark, sf_dir):
+    """Sparse ids in batches of 50; the first run stops in its third job, the second ends it."""
+    base = papers(spark, sf_dir).select(F.expr(_SPARSE).alias("row_id"), "title")
+    given = verdicts(spark, sf_dir).withColumn("row_id", F.expr(_SPARSE))
+    store, begun = scratch_folder(spark, "ranked"), []
+
+    def judge(batch):
+        begun.append(1)
+        if len(begun) == 3:
+            raise InterruptedError
+        return attach_verdicts(batch.select("row_id"), given)
+
+    try:
+        run_ranked_batches(base, judge, store, RANKED, jobs=6)
+    except InterruptedError:
+        pass
+    run_ranked_batches(base, judge, store, RANKED, jobs=6)
+    return read_verdicts(base, store)
+
+
+@query(
+    "ranked_batch_counts",
+    f"""{VERDICTS}, {_RANKED}, batches AS (SELECT batch, count(*) AS rows, count(nlp_decision) AS decided,
+      count(*) FILTER (nlp_decision = 'keep') AS keep, count(*) FILTER (nlp_decision = 'reject') AS reject
+    FROM ranked GROUP BY batch)
+    SELECT batch, rows, CAST(sum(decided) OVER (ORDER BY batch) AS BIGINT) AS decided,
+      CAST(sum(keep) OVER (ORDER BY batch) AS BIGINT) AS keep,
+      CAST(sum(reject) OVER (ORDER BY batch) AS BIGINT) AS reject FROM batches""",
+)
+def _(spark, sf_dir):
+    """Running counts after each batch of 50 papers, whatever their ids are."""
+    sparse = judged(spark, sf_dir).withColumn("row_id", F.expr(_SPARSE))
+    return running_totals(ranked_progress(sparse, RANKED), "batch", ["decided", "keep", "reject"])
