@@ -207,3 +207,42 @@ def test_samples_depend_on_the_key_only(frame):
     other = {r.doc_id: r.samples for r in sps.segment(frame(DOCS, docs[::-1]).repartition(7), MODEL).collect()}
     assert one == other
     assert len({tuple(s[0].ids) for s in one.values()}) >= 5
+
+
+def thue_morse(n=2_048):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_hash_get_their_own_ids(segmenter):
+    """Long words of the Thue-Morse sequence and its complement have equal 64-bit hashes."""
+    x, y = thue_morse()
+    for texts in ([f"one {x} two", f"one {y} two"], [x, "z " + y], [f"one {y} two {x}"]):
+        encoder = token_output.PieceEncoder(VOCABULARY)
+        for some in ([texts[0]], texts, texts[::-1]):  # within one slice, and against the store
+            data, offsets = column_bytes(some)
+            ids, counts = encoder.encode(data, offsets)
+            want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in some]
+            assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+            layout = segmenter.layout(data, offsets)
+            ids, counts = segmenter.encode(layout)
+            want = segmenter.processor.encode(some)
+            assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
+def column_bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_texts_encoded_together_keep_their_ids():
+    encoder = token_output.PieceEncoder(VOCABULARY)
+    mark = encoder.added[0]
+    texts = ["a", f"b {mark} c", mark, "d  e", "", f" {mark}{mark}", " x", " y\u00a0", " \u3000z", " don't",
+             " 's", " \n", " é\u0301", " 日本", " \u2028", "  q", " a b", " 1.5", " ..."] * 20
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        some = [texts[i] for i in rng.permutation(len(texts))]
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        ids, sizes = encoder._encode(some)
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])

@@ -7,22 +7,30 @@ from itertools import chain
 
 import numpy as np
 
-from titlesieve.llm.textscan import ragged
+from titlesieve.llm.textscan import equal_spans, ragged
 
 #: Pieces remembered before starting anew: about 50 bytes each.
 MOST_PIECES = 1_000_000
+#: Bytes of remembered pieces before starting anew.
+MOST_BYTES = 64 << 20
 #: Pieces encoded in one call; their encodings are large until they are copied.
-AT_ONCE = 2_048
+AT_ONCE = 8_192
+
+
+def _flat(coded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum())), size
 
 
 class IdStore:
-    """Looks pieces up by 64-bit hash and encodes those it has not seen.
+    """Looks pieces up by 64-bit hash and bytes, and encodes those it has not seen.
 
-    ``encode`` turns a list of texts into a list of id lists. A piece is taken to be known
-    if its hash is; with a million pieces the chance of one confusion is below 1e-6.
+    ``encode`` turns a list of texts into a list of id lists, or into all ids, one after
+    the other, and the number of each. The hash only says where to
+    look: texts can be made that share it, so the bytes of a piece are kept and compared.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
         self.clear()
 
@@ -32,37 +40,77 @@ class IdStore:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.raw = np.zeros(1 << 18, np.uint8)
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_size = np.zeros(0, np.int64)
+        self.raw_used = 0
+
+    def find(
+        self,
+        hashes: np.ndarray,
+        spell: Callable[[int], str],
+        spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+    ) -> np.ndarray:
+        """Places of the distinct, ascending ``hashes``; ``spell(i)`` is the text of i.
 
-    def find(self, hashes: np.ndarray, spell: Callable[[int], str]) -> np.ndarray:
-        """Places of the distinct, ascending ``hashes``; ``spell(i)`` is the text of i."""
-        if len(self.keys) > MOST_PIECES:
+        ``spans`` are the bytes that the texts are in, and where each begins and ends. The
+        place is -1 where another text of the same hash is remembered.
+        """
+        if len(self.keys) > MOST_PIECES or self.raw_used > MOST_BYTES:
             self.clear()
         place = np.searchsorted(self.keys, hashes)
         known = np.zeros(len(hashes), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == hashes[inside]
         new = np.flatnonzero(~known)
+        if spans is None:
+            spans = self._spelt(spell, len(hashes))
+        data, begin, end = spans
+        other = np.zeros(len(hashes), bool)
+        old = np.flatnonzero(known)
+        at, size = self.raw_at[place[old]], end[old] - begin[old]
+        same = self.raw_size[place[old]] == size
+        same[same] = equal_spans(data, begin[old][same], self.raw, at[same], size[same])
+        other[old[~same]] = True
         if len(new):
             sizes = []
             for first in range(0, len(new), AT_ONCE):
                 coded = self.encode([spell(i) for i in new[first : first + AT_ONCE].tolist()])
-                sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
-                total = int(sizes[-1].sum())
+                ids, size = coded if isinstance(coded, tuple) else _flat(coded)
+                sizes.append(size)
+                total = len(ids)
                 while self.used + total > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + total] = np.fromiter(
-                    chain.from_iterable(coded), np.uint32, total
-                )
+                self.flat[self.used : self.used + total] = ids
                 self.used += total
             size = np.concatenate(sizes)
             at = self.used - int(size.sum()) + np.cumsum(size) - size
             where = place[new]
+            self._remember(data, begin[new], end[new], where)
             self.keys = np.insert(self.keys, where, hashes[new])
             self.at = np.insert(self.at, where, at)
             self.size = np.insert(self.size, where, size)
             place = np.searchsorted(self.keys, hashes)
+        place[other] = -1
         return place
 
+    @staticmethod
+    def _spelt(spell: Callable[[int], str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [spell(i).encode() for i in range(n)]
+        end = np.cumsum([len(text) for text in texts], dtype=np.int64)
+        begin = np.concatenate([[0], end[:-1]]).astype(np.int64) if n else end
+        return np.frombuffer(b"".join(texts), np.uint8), begin, end
+
+    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, where: np.ndarray) -> None:
+        size = end - begin
+        total = int(size.sum())
+        while self.raw_used + total > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + total] = data[ragged(begin, size)]
+        self.raw_at = np.insert(self.raw_at, where, self.raw_used + np.cumsum(size) - size)
+        self.raw_size = np.insert(self.raw_size, where, size)
+        self.raw_used += total
+
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces at ``places``, one after the other, and the number of each."""
         size = self.size[places]

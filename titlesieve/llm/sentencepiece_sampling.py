@@ -10,6 +10,7 @@ largest number of its members as its bound; the set with the largest bound is sp
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,8 @@ class Layout(NamedTuple):
     """Words of a slice of texts; ``bounds`` has the occurrences of each row."""
 
     words: list[str]  # distinct, without the space before them
-    hashes: np.ndarray  # of the words, ascending
+    hashes: np.ndarray | None  # of the words, ascending; None if two share one
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None  # bytes, begin and end of words
     word: np.ndarray  # the word at each occurrence
     bounds: np.ndarray
 
@@ -97,12 +99,32 @@ class Segmenter:
             raw[a:b].decode("utf-8", "replace")
             for a, b in zip(key[first].tolist(), stop[first].tolist())
         ]
-        return Layout(words, hashes, word, np.searchsorted(start, offsets))
+        bounds = np.searchsorted(start, offsets)
+        size = stop - key
+        if not (
+            np.array_equal(size, size[first][word])
+            and textscan.equal_spans(data, key, data, key[first][word], size).all()
+        ):
+            every = [raw[a:b].decode("utf-8", "replace") for a, b in zip(key.tolist(), stop.tolist())]
+            words = list(dict.fromkeys(every))
+            place = {w: i for i, w in enumerate(words)}
+            word = np.array([place[w] for w in every], np.int64)
+            return Layout(words, None, None, word, bounds)
+        return Layout(words, hashes, (data, key[first], stop[first]), word, bounds)
 
     def encode(self, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows by the model's own rule, and the number of ids of each row."""
-        places = self.store.find(layout.hashes, layout.words.__getitem__)
-        ids, sizes = self.store.ids(places[layout.word])
+        places = np.full(1, -1)
+        if layout.hashes is not None:
+            places = self.store.find(layout.hashes, layout.words.__getitem__, layout.spans)
+        if (places >= 0).all():
+            ids, sizes = self.store.ids(places[layout.word])
+        else:  # words that share a hash are encoded as they are
+            coded = self._encode(layout.words)
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))
+            sizes = size[layout.word]
+            ids = flat[ragged((np.cumsum(size) - size)[layout.word], sizes)]
         return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[layout.bounds])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:

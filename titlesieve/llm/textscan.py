@@ -132,6 +132,31 @@ def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(first - begins, counts)
 
 
+#: Bytes compared at a time, and from which on a span is compared alone.
+_COMPARED, _LONG_SPAN = 1 << 20, 1 << 14
+
+
+def equal_spans(
+    left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray
+) -> np.ndarray:
+    """Whether the bytes left[a:a + size] and right[b:b + size] are the same, by row."""
+    same = np.ones(len(size), bool)
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        same[i] = np.array_equal(left[a[i] : a[i] + size[i]], right[b[i] : b[i] + size[i]])
+    rows = np.flatnonzero((size > 0) & (size <= _LONG_SPAN) & ~((a == b) & (left is right)))
+    ends = np.cumsum(size[rows])
+    first = 0
+    while first < len(rows):
+        done = ends[first - 1] if first else 0
+        after = max(int(np.searchsorted(ends, done + _COMPARED, "right")), first + 1)
+        some = rows[first:after]
+        n = size[some]
+        found = left[ragged(a[some], n)] == right[ragged(b[some], n)]
+        same[some] = np.logical_and.reduceat(found, np.cumsum(n) - n)
+        first = after
+    return same
+
+
 def long_column(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as the BIGINT with the same bits."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

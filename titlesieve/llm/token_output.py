@@ -22,6 +22,8 @@ from titlesieve.llm.wavelet import WaveletFile, pack
 END_ID = 2
 #: Tokens after which a task closes a shard at the next end of a document.
 SHARD_TOKENS = 4_000_000
+#: New pieces that are encoded as one text, at most.
+JOINED = 64
 
 _SPACE = np.arange(256) == 0x20
 _BLANK = np.arange(256) <= 0x20
@@ -42,9 +44,45 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.store = IdStore(self._encode)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = sorted(added)
+        # Bytes that each id stands for: a byte-level token has one letter for each.
+        self.id_bytes = np.zeros(max(vocabulary_ids.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary_ids.items():
+            self.id_bytes[i] = len(token.encode()) if token in added else len(token)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and their number for each.
+
+        Texts that begin with a space and end without one are encoded many at a time as
+        one text, in which each still begins a new word; the bytes of the ids say where
+        its own ids end.
+        """
+        alone = np.array([t[:1] != " " or t[-1:].isspace() for t in texts], bool)
+        for mark in self.added:
+            if mark in "".join(texts):
+                alone |= np.array([mark in t for t in texts], bool)
+        rest = [t for t, one in zip(texts, alone) if not one]
+        joined = self._one_by_one(["".join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *joined])
+        ends = np.cumsum([len(t.encode()) for t in rest], dtype=np.int64)
+        covered = np.concatenate([[0], np.cumsum(self.id_bytes[flat])])
+        cuts = np.minimum(np.searchsorted(covered, ends), len(flat))
+        if not np.array_equal(covered[cuts], ends) or (len(ends) and ends[-1] != covered[-1]):
+            alone[:], flat, cuts = True, flat[:0], cuts[:0]
+        single = self._one_by_one([t for t, one in zip(texts, alone) if one])
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~alone] = np.diff(cuts, prepend=0)
+        sizes[alone] = list(map(len, single))
+        at = np.zeros(len(texts), np.int64)
+        at[~alone] = np.cumsum(sizes[~alone]) - sizes[~alone]
+        at[alone] = len(flat) + np.cumsum(sizes[alone]) - sizes[alone]
+        return np.concatenate([flat, *single])[textscan.ragged(at, sizes)], sizes
+
+    def _one_by_one(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, np.uint32) for x in coded]
 
     def _cuts(self, data: np.ndarray) -> np.ndarray:
         cut = _SPACE[data]
@@ -68,9 +106,19 @@ class PieceEncoder:
         hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         raw, begin, end = data.tobytes(), start[first], stop[first]
         places = self.store.find(
-            hashes, lambda i: raw[begin[i] : end[i]].decode("utf-8", "replace")
+            hashes, lambda i: raw[begin[i] : end[i]].decode("utf-8", "replace"), (data, begin, end)
         )
-        ids, sizes = self.store.ids(places[inverse])
+        own = stop - start
+        alike = own == own[first][inverse]
+        if (
+            (places >= 0).all()
+            and alike.all()
+            and textscan.equal_spans(data, start, data, begin[inverse], own).all()
+        ):
+            ids, sizes = self.store.ids(places[inverse])
+        else:  # two pieces share a hash: no piece of this slice is looked up
+            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), stop.tolist())]
+            ids, sizes = self._encode(pieces)
         bounds = np.searchsorted(start, offsets)
         total = np.concatenate([[0], np.cumsum(sizes)])[bounds]
         return np.insert(ids, total[1:], END_ID), np.diff(total) + 1
