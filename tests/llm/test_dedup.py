@@ -382,3 +382,27 @@ def test_cells_are_visited_nearest_first():
         sums = (a[:, None] + b[None, :]).ravel()
         assert sorted(cells) == [c for c in range(63) if sums[c] <= reach]
         assert (np.diff(sums[cells]) >= 0).all()
+
+
+def test_documents_of_words_with_equal_sums_are_not_linked(frame):
+    """Long words of the Thue-Morse sequence and its complement have equal 64-bit sums."""
+    bits = [bin(i).count("1") % 2 for i in range(2_048)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, x), (2, y), (3, f"{x} w"), (4, f"{y} w"), (5, x.upper()), (6, f" {y}\t")]
+    rows += [(10 + i, " ".join([f"u{k}" for k in range(9)] + [w])) for i, w in enumerate((x, y, x))]
+    docs = frame(DOCS, [(*r, "", "", 1) for r in rows])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 1), 6: (1, 2),
+                   10: (6, 10), 11: (6, 11), 12: (6, 10)}
+
+
+def test_word_digests_of_long_texts():
+    words = ["Ab", "c" * 3_000_000, "dé"] + ["e"] * 1_500_000 + ["f"]
+    rows = [" ".join(words), "", " \n", "x", "\tc  d\n"]
+    raw = [r.encode() for r in rows]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lanes, bounds = minhash.word_digests(data, np.cumsum([0, *map(len, raw)]))
+    want = [w.encode() for r in rows for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r))]
+    assert bounds.tolist() == [0, len(words), len(words), len(words), len(words) + 1, len(words) + 3]
+    digests = [hashlib.blake2b(w, digest_size=16).digest() for w in want]
+    assert lanes.tobytes() == b"".join(digests)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from titlesieve.llm import embedding_dedup
 from titlesieve.llm.minhash import near_duplicates
 from titlesieve.llm.registry import query, table
@@ -33,7 +35,10 @@ FROM documents JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 
 @query("op10_minhash", _OP10_SQL)
 def op10_minhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    # Rows that share an id are all kept or not, as the id is the component's or not.
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.withColumn("kept", own)
 
 
 _OP4_SQL = r"""

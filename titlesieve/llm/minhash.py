@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlesieve.llm.batches import add_columns
+from titlesieve.llm.batches import add_columns, kept
 from titlesieve.llm.components import components
 from titlesieve.llm.lookup import rows_of
 from titlesieve.llm.textscan import (
+    BLANKS,
     LOWER,
-    Words,
+    SLICE_BYTES,
     long_column,
     mix,
     prefix_hash,
     ragged,
-    scan_words,
     span_hash,
     text_slices,
 )
@@ -42,22 +43,64 @@ PIVOTS = 8
 #: Pairs between components, for each class, from which such rounds are worth their jobs;
 #: fewer are looked at faster in blocks.
 PAIRS_PER_CLASS = 1_000
+#: Word digests that a Python worker remembers.
+MOST_WORDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(words: Words, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, one after the other, and rows' bounds."""
-    counts = np.diff(words.bounds)
+class _Digests(dict):
+    """Words and their 128-bit digests; those met last are remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = blake2b(word, digest_size=16).digest()
+        return found
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each word (word x 2), and rows' bounds.
+
+    Words stand between blanks, A-Z counts as lower case. Texts can be made whose 64-bit
+    sums are equal, but not such words: the digests are cryptographic.
+    """
+    digest = kept("word-digests", _Digests).__getitem__
+    raw = LOWER[data].tobytes()
+    found, counts = [], []
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        n = 0
+        while begin < end:
+            stop = end
+            if end - begin > 2 * SLICE_BYTES:  # on to the next blank
+                rest = np.flatnonzero(BLANKS[data[begin + SLICE_BYTES : end]])
+                stop = begin + SLICE_BYTES + int(rest[0]) if len(rest) else end
+            words = raw[begin:stop].split()
+            n += len(words)
+            found.append(b"".join(map(digest, words)))
+            begin = stop
+        counts.append(n)
+    lanes = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+    return lanes, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS):
+    """Sorted distinct 128-bit shingles of each row (shingle x 2), and rows' bounds."""
+    lanes, bounds = word_digests(data, offsets)
+    counts = np.diff(bounds)
     number = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
-    start = ragged(words.bounds[:-1], number)
+    start = ragged(bounds[:-1], number)
     row = np.repeat(np.arange(len(counts)), number)
-    hashes = span_hash(prefix_hash(words.hash), start, start + np.minimum(size, counts)[row])
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    hashes, row = hashes[new], row[new]
-    return hashes, np.searchsorted(row, np.arange(len(counts) + 1))
+    width = np.minimum(size, counts)[row]
+    shingles = mix(lanes[start] + width[:, None].astype(np.uint64))
+    for k in range(1, size):
+        at = np.flatnonzero(width > k)
+        shingles[at] = mix(shingles[at] * _STEP + lanes[start[at] + k])
+    order = np.lexsort((shingles[:, 1], shingles[:, 0], row))
+    shingles, row = shingles[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]).any(axis=1) | (row[1:] != row[:-1])
+    shingles, row = shingles[new], row[new]
+    return shingles, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
 def super_minhash(hashes: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -101,8 +144,8 @@ def super_minhash(hashes: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) ->
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, after, data, offsets in text_slices(batch.column(1)):
-            hashes, bounds = shingle_sets(scan_words(LOWER[data], offsets))
-            signature = super_minhash(hashes, bounds)
+            hashes, bounds = shingle_sets(data, offsets)
+            signature = super_minhash(np.ascontiguousarray(hashes[:, 0]), bounds)
             band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (after - first, BANDS))
             for k in range(BAND_SLOTS):
                 band = mix(band * _STEP + signature[:, k::BAND_SLOTS])
@@ -122,17 +165,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_digests(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each row of hashes."""
+    """A 64-bit digest of each row's set from either half of its shingles."""
     out = []
-    for salt in (np.uint64(0x1234567), np.uint64(0xABCDEF1)):
-        out.append(span_hash(prefix_hash(mix(hashes + salt)), bounds[:-1], bounds[1:]))
+    for lane in (0, 1):
+        out.append(span_hash(prefix_hash(mix(hashes[:, lane] + _STEP)), bounds[:-1], bounds[1:]))
     return out[0], out[1]
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets share: the fewer of those equal in either half."""
+    both = []
+    for lane in (0, 1):
+        merged = np.concatenate([x[:, lane], y[:, lane]])
+        merged.sort(kind="stable")
+        both.append(int(np.count_nonzero(merged[1:] == merged[:-1])))
+    return min(both)
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, after, data, offsets in text_slices(batch.column(1)):
-            hashes, bounds = shingle_sets(scan_words(LOWER[data], offsets))
+            hashes, bounds = shingle_sets(data, offsets)
             a, b = set_digests(hashes, bounds)
             sets = [hashes[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -142,16 +195,18 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _set(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.uint64).reshape(-1, 2)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = _set(x), _set(y)
             if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
                 continue
-            merged = np.concatenate([x, y])
-            merged.sort(kind="stable")
-            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+            both = _common(x, y)
             keep[i] = 100 * both >= THRESHOLD * (len(x) + len(y) - both)
         at = pa.array(np.flatnonzero(keep))
         yield pa.RecordBatch.from_arrays(
@@ -202,9 +257,14 @@ def _block_links(table: pa.Table) -> pa.Table:
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     earlier = np.arange(BANDS) < np.flatnonzero(bands[0] == table["bucket"][0].as_py())[0]
     slots = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+    sets = [_set(x) for x in table["shingles"].combine_chunks()]
     size = np.array([len(x) for x in sets])
-    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    every = np.concatenate(sets)
+    by = np.lexsort((every[:, 1], every[:, 0]))
+    other = np.zeros(len(by), np.int64)
+    other[1:] = (every[by][1:] != every[by][:-1]).any(axis=1)
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(other)
     low, high = table["low"][0].as_py(), table["high"][0].as_py()
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -213,7 +273,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     in_right = np.isin(row, right)
     order = np.argsort(number[in_right], kind="stable")
     holders = row[in_right][order]
-    first = np.searchsorted(number[in_right][order], np.arange(len(known) + 1))
+    first = np.searchsorted(number[in_right][order], np.arange(number.max(initial=0) + 2))
     a, b = [], []
     for i in left:
         js = right[rep[right] > rep[i]] if low == high else right
@@ -261,8 +321,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each, compared with the members of other components only. Rounds go on while the
     pairs left between components are many times the classes and each round halves them. What
     is then left is compared in full: small buckets by a join, larger ones in blocks of
-    bounded size inside tasks, which give links only. All links are verified on the full
-    sets of 64-bit shingle hashes.
+    bounded size inside tasks, which give links only; a member is shuffled once for each
+    block of its bucket there. All links are verified on the full sets of 128-bit shingles.
 
     The stages run when this function is called; each is stored under the checkpoint
     folder.
@@ -388,7 +448,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     def digests(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [
-            set_digests(*shingle_sets(scan_words(LOWER[data], offsets)))
+            set_digests(*shingle_sets(data, offsets))
             for _, _, data, offsets in text_slices(batch.column(at))
         ]
         return [long_column(np.concatenate(x)) for x in zip(*sets)]
