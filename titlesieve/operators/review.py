@@ -7,8 +7,9 @@ else moves on without a verdict. A single review is a log with one user_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titlesieve.functions.names import column
 from titlesieve.functions.rules import one_of, not_null
@@ -18,8 +19,9 @@ from titlesieve.operators.tables import check_rows, check_unique, flag_orphans
 # Decision codes of the log and the verdicts they stand for.
 KEEP, REJECT, RESET = "Y", "N", "RESET"
 
-# Places that one task of a join by reviewer may have to handle for one reviewer.
-STRETCH = 1 << 20
+#: Seconds of a block. One reviewer's decisions of one block are handled by one task.
+STRETCH = 3_600
+_EARLIEST = -(1 << 62)
 
 
 def review_queue(df: DataFrame, order: str = "row_id") -> DataFrame:
@@ -56,23 +58,58 @@ def verdict(decision: Column) -> Column:
     return F.when(decision == KEEP, "keep").when(decision == REJECT, "reject")
 
 
-def _from_start(placed: DataFrame) -> DataFrame:
+def _seconds(log: DataFrame) -> Column:
+    """Seconds of the time of a decision: never fewer for a later one."""
+    at = F.col("decided_at")
+    if isinstance(log.schema["decided_at"].dataType, T.TimestampNTZType):
+        # No time zone may come in: its clock can go back.
+        day = F.unix_date(F.to_date(at)).cast("long")
+        seconds = ((day * 24 + F.hour(at)) * 60 + F.minute(at)) * 60 + F.second(at)
+    else:
+        seconds = F.unix_seconds(at.cast("timestamp"))
+    return seconds
+
+
+def last_sessions(log: DataFrame) -> DataFrame:
     """The log with ``pos``, the place within the last session; negative before it.
 
-    Reviewers differ widely in how much they decide, so the log is joined by reviewer
-    and stretch of places: a reviewer with a third of all rows is many join keys.
+    A scan in segments: decisions are dealt by reviewer and block of time, which is the
+    only exchange of the log. Each block finds its rows, its last reset and the rows after
+    it; one row for each block then goes through a window by reviewer that drops blocks
+    before the last reset and adds up the rest; and places are put together where the
+    decisions already are. A reviewer with a third of all decisions is as many keys as
+    there are blocks; only decisions of one block and reviewer are sorted together. Rows
+    before the block of the last reset are left out, rows without a reviewer too; a null
+    time comes first.
     """
-    stretched = placed.withColumn("stretch", F.expr(f"place div {STRETCH}"))
-    starts = (
-        stretched.groupBy("user_id", "stretch")
-        .agg(F.lit(True).alias("any"))
-        .join(sessions(placed).select("user_id", "start"), "user_id")
-        .select("user_id", "stretch", "start")
+    block = F.coalesce(F.expr(f"__seconds div {STRETCH}"), F.lit(_EARLIEST))
+    dealt = (
+        log.select("user_id", "decided_at", "event_id", "decision")
+        .where(F.col("user_id").isNotNull())
+        .withColumn("__seconds", _seconds(log))
+        .withColumn("block", block)
+        .drop("__seconds")
+        .repartition("user_id", "block")
+    )
+    ordered = Window.partitionBy("user_id", "block").orderBy("decided_at", "event_id")
+    numbered = dealt.withColumn("nth", F.row_number().over(ordered).cast("long"))
+    reset = F.when(F.col("decision") == RESET, F.col("nth"))
+    blocks = numbered.groupBy("user_id", "block").agg(
+        F.max("nth").alias("rows"), F.coalesce(F.max(reset), F.lit(0)).alias("reset")
+    )
+    by_user = Window.partitionBy("user_id").orderBy("block")
+    later = by_user.rowsBetween(1, Window.unboundedFollowing)
+    earlier = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    current = (
+        blocks.withColumn("over", F.coalesce(F.max("reset").over(later), F.lit(0)) > 0)
+        .where(~F.col("over"))
+        .withColumn("before", F.coalesce(F.sum(F.col("rows") - F.col("reset")).over(earlier), F.lit(0)))
+        .select("user_id", "block", "reset", "before")
     )
-    return (
-        stretched.join(starts, ["user_id", "stretch"])
-        .withColumn("pos", F.col("place") - F.col("start"))
-        .drop("place", "stretch", "start")
+    placed = numbered.join(current, ["user_id", "block"])
+    pos = F.when(F.col("nth") > F.col("reset"), F.col("before")).otherwise(0)
+    return placed.withColumn("pos", pos + F.col("nth") - F.col("reset") - 1).drop(
+        "block", "nth", "reset", "before"
     )
 
 
@@ -82,7 +119,7 @@ def replay(queue: DataFrame, log: DataFrame) -> DataFrame:
     The i-th decision applies to the i-th queue row; decisions after the end of the
     queue fall on nothing and are left out.
     """
-    applied = _from_start(placed_log(log)).where("pos >= 0").join(queue, "pos")
+    applied = last_sessions(log).where("pos >= 0").join(queue, "pos")
     return applied.withColumn("verdict", verdict(F.col("decision")))
 
 
@@ -102,7 +139,7 @@ def current_item(queue: DataFrame, log: DataFrame, title: str = "title") -> Data
     total = queue.agg(F.count("*").alias("total")).scalar()
     pos, decision = F.col("pos"), F.col("decision")
     cards = (
-        _from_start(placed_log(log))
+        last_sessions(log)
         .withColumn("counts", (pos >= 0) & (pos < total))
         .groupBy("user_id")
         .agg(
