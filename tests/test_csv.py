@@ -192,3 +192,23 @@ def test_headers_in_other_order_and_surplus_cells_fail(spark, tmp_path):
     short = tmp_path / "short.csv"
     short.write_text("Title,Year\na\nb,2\n")
     assert sorted((r.Title, r.Year) for r in read_papers(spark, str(short)).collect()) == [("a", None), ("b", "2")]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_a_row_too_wide_fails_whatever_is_selected(spark, tmp_path, multi_line):
+    (tmp_path / "x.csv").write_text("Title,Year\na,1\nb,2,extra,more\n,3,x\n")
+    papers = read_papers(spark, str(tmp_path / "x.csv"), row_id=False, multi_line=multi_line)
+    for use in (papers.select("Year"), papers.select("Title"), papers):
+        with pytest.raises(Exception, match="more cells than headers"):
+            use.collect()
+    with pytest.raises(Exception, match="more cells than headers"):
+        papers.count()
+
+
+def test_repeated_headers_are_compared_between_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,Title,Year\nx,y,1\n")
+    (tmp_path / "b.csv").write_text("Title,Title,Year\nv,w,2\n")
+    assert read_papers(spark, str(tmp_path), row_id=False).count() == 2
+    (tmp_path / "c.csv").write_text("Year,Title,Title\n3,t,u\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_papers(spark, str(tmp_path), row_id=False)

@@ -2,6 +2,8 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from titlesieve.operators import review
 from titlesieve.operators.review import (
@@ -97,3 +99,41 @@ def test_decision_table(frame):
         5: ["unknown user"], 6: ["unknown paper"], 7: ["decision is null"], 8: [],
         9: ["duplicate user_id, paper_id"], 10: [], 11: [],
     }
+
+
+def test_the_log_is_exchanged_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame(random_log(), LOG).write.parquet(path)
+    queue = review_queue(spark.range(40).selectExpr("id AS row_id", "'t' AS title"))
+    done = replay(queue, spark.read.parquet(path))
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert sum("ReusedExchange" not in line for line in dealt) == 1 and "Python" not in plan
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_blocks_of_time_follow_the_log(spark, frame, monkeypatch, zone, kind):
+    """Nights in which clocks go back and forth, times before 1970 and none at all."""
+    monkeypatch.setattr(review, "STRETCH", 600)
+    rng = random.Random(6)
+    times = [datetime(2023, 11, 5, 0) + timedelta(minutes=5 * i) for i in range(48)]
+    times += [datetime(2023, 3, 12, 0) + timedelta(minutes=7 * i) for i in range(40)]
+    times += [datetime(1965, 1, 1) + timedelta(seconds=400 * i) for i in range(20)] + [None]
+    rows = [(i, rng.randrange(2), rng.choice(times), rng.choice(["Y"] * 9 + ["N"] * 9 + ["RESET"])) for i in range(400)]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        log = frame(LOG.replace("timestamp_ntz", "timestamp"), rows).withColumn("decided_at", F.col("decided_at").cast(kind))
+        got = {}
+        for r in review.last_sessions(log).where("pos >= 0").collect():
+            got.setdefault(r.user_id, []).append((r.pos, r.event_id))
+        nth = Window.partitionBy("user_id").orderBy("decided_at", "event_id")
+        ordered = log.withColumn("n", F.row_number().over(nth)).orderBy("user_id", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = {0: [], 1: []}
+    for r in ordered:
+        want[r.user_id] = [] if r.decision == "RESET" else [*want[r.user_id], r.event_id]
+    assert {u: sorted(g) for u, g in got.items()} == {u: list(enumerate(w)) for u, w in want.items() if w}

@@ -190,3 +190,11 @@ def test_three_keys_and_chains(frame, monkeypatch):
             for k, s in zip(keys, used):
                 s.add(k)
     assert sorted(r.row_id for r in taken.collect()) == want
+
+
+def test_papers_that_differ_in_the_abstract_only(spark, frame, tmp_path):
+    target = str(tmp_path / "papers")
+    for abstract in ("one", "two", None, "one"):
+        load_papers(frame("row_id long, Title string, Abstract string", [(0, "Editorial", abstract)]), target)
+    stored = spark.read.parquet(target).collect()
+    assert sorted((r.id, r.abstract) for r in stored) == [(1, "one"), (2, "two"), (3, None)]

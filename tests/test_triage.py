@@ -6,6 +6,7 @@ from titlesieve.operators.triage import (
 )
 from titlesieve.plans.flows import finish_triage, prepare_triage
 from titlesieve.sources.readers import read_papers
+from titlesieve.sources.writers import current_triage, publish_triage, write_triage
 
 KEEP = '{"decision":"keep","confidence":"high"}'
 
@@ -77,3 +78,38 @@ def test_whole_triage(frame, spark, tmp_path, format):
     if format == "csv":
         kept = read_papers(spark, str(tmp_path / "out" / "decision=keep"), row_id=False).collect()
         assert [(row.row_id, row.Title, row.nlp_confidence) for row in kept] == [("0", "a", "high")]
+
+
+def test_a_verdict_never_mixes_two_saved_rows(frame):
+    df = frame("row_id long, t string, nlp_decision string, nlp_confidence string", [(i, "a", None, "old") for i in range(4)])
+    saved = frame("row_id long, t string, nlp_decision string, nlp_confidence string, n int", [
+        (0, "x", "keep", "low", 1), (0, None, "reject", "high", 2), (1, "x", "keep", "low", 2), (1, "y", "reject", "high", 1),
+        (2, "x", "keep", None, None), (2, "y", None, "high", 0), (3, "z", None, None, 5),
+    ])
+    got = {r.row_id: tuple(r)[1:] for r in merge_progress(df, saved, version="n").collect()}
+    assert got == {0: ("a", "reject", "high"), 1: ("x", "keep", "low"), 2: ("y", None, "high"), 3: ("z", None, "old")}
+    plain = {r.row_id: tuple(r)[1:] for r in merge_progress(df, saved).collect()}
+    assert plain == {0: ("a", "reject", "high"), 1: ("y", "reject", "high"), 2: ("x", "keep", None), 3: ("z", None, "old")}
+
+
+def test_a_decision_column_of_the_papers_is_kept(frame, spark, tmp_path):
+    rows = frame("row_id long, Decision string, nlp_decision string, nlp_confidence string", [(0, "mine", "keep", "low")])
+    with pytest.raises(ValueError):
+        write_triage(rows, str(tmp_path / "a"))
+    write_triage(rows, str(tmp_path / "b"), folder="verdict")
+    back = read_papers(spark, str(tmp_path / "b"), row_id=False).first()
+    assert (back.Decision, back.nlp_decision) == ("mine", "keep")
+
+
+def test_a_write_that_stops_leaves_the_version_before(frame, spark, tmp_path):
+    path = str(tmp_path / "triage")
+    rows = frame("row_id long, nlp_decision string, nlp_confidence string", [(0, "keep", "low"), (1, None, None)])
+    assert current_triage(spark, path) is None
+    publish_triage(rows, path)
+    with pytest.raises(Exception):
+        broken = F.when(F.col("row_id") == 1, F.raise_error(F.lit("stopped"))).otherwise(F.col("nlp_confidence"))
+        publish_triage(rows.withColumn("nlp_confidence", broken.cast("string")), path)
+    assert current_triage(spark, path).endswith("version=0")
+    assert read_papers(spark, current_triage(spark, path), row_id=False).count() == 2
+    publish_triage(rows.where("row_id = 0"), path)
+    assert read_papers(spark, current_triage(spark, path), row_id=False).count() == 1

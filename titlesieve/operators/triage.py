@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titlesieve.functions.names import column
@@ -67,23 +67,42 @@ def remaining(papers: DataFrame, progress: DataFrame, key: str = "row_id") -> Da
     return papers.join(decided, key, "left_anti")
 
 
-def merge_progress(df: DataFrame, saved: DataFrame, key: str = "row_id") -> DataFrame:
+def merge_progress(
+    df: DataFrame, saved: DataFrame, key: str = "row_id", version: str | None = None
+) -> DataFrame:
     """Saved cells that are not null replace those of ``df``; columns of ``df`` only.
 
-    Of several saved rows of one key each cell's greatest value counts, so a repeated row
-    changes nothing and rows of ``df`` never multiply.
+    Of several saved rows of one key one counts, whole: that of the greatest ``version``,
+    the number or time of its writing, nulls least. Without versions, and among equal
+    ones, it is the row with the greatest (decision, confidence), then the greatest hash
+    of its cells. Decision and confidence are taken over together, so a verdict never
+    mixes two rows. Rows of ``df`` never multiply. All but one row of a key are dropped
+    before the shuffle.
     """
     shared = [name for name in df.columns if name in saved.columns and name != key]
     if not shared:
         return df
-    old = saved.groupBy(key).agg(*[F.max(column(name)).alias(f"__saved_{name}") for name in shared])
-    cells = [
-        F.coalesce(column(f"__saved_{name}"), column(name)).alias(name)
-        if name in shared
-        else column(name)
-        for name in df.columns
-    ]
-    return df.join(old, key, "left").select(*cells)
+    verdict = [name for name in VERDICT_COLUMNS if name in shared]
+    newest = [] if version is None else [column(version).desc_nulls_last()]
+    newest += [column(name).desc_nulls_last() for name in verdict]
+    newest.append(F.xxhash64(*map(column, shared)))
+    nth = F.row_number().over(Window.partitionBy(column(key)).orderBy(*newest))
+    old = (
+        saved.withColumn("__nth", nth)
+        .where("__nth = 1")
+        .select(column(key), *[column(name).alias(f"__saved_{name}") for name in shared])
+    )
+    decided = F.col(f"__saved_{verdict[0]}").isNotNull() if len(verdict) == 2 else F.lit(False)
+
+    def cell(name: str) -> Column:
+        if name not in shared:
+            return column(name)
+        kept = F.coalesce(column(f"__saved_{name}"), column(name))
+        if name in verdict:
+            kept = F.when(decided, column(f"__saved_{name}")).otherwise(kept)
+        return kept.alias(name)
+
+    return df.join(old, key, "left").select(*map(cell, df.columns))
 
 
 def batch_number(size: int, key: str = "row_id") -> Column:

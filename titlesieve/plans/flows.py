@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,19 +77,26 @@ def finish_triage(
     return decision_shares(reader.load(target))
 
 
-#: What makes a paper the same as a stored one.
-PAPER_KEY = ("title", "authors", "year", "doi", "source")
+#: What makes a paper the same as a stored one: all that a load brings.
+PAPER_KEY = ("title", "authors", "year", "abstract", "doi", "source", "nlp_confidence")
 _EMPTY_PAPER = [f"cast(null as {field.dataType.simpleString()}) {field.name}" for field in PAPERS]
 
 
+def _paper_digest():
+    cells = [F.col(name).cast("string") for name in PAPER_KEY]
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def load_papers(source: DataFrame, target: str, policy: str = "first") -> DataFrame:
     """Canonical columns, row rules, append the good rows to the Parquet table ``target``.
 
     New rows get ids that count on from the stored ones, in the order of ``row_id``, a
-    null ``nlp_reason`` and the time of the load. A row whose title, authors, year, doi and
-    source all equal those of a stored paper is not added again, so a load can be repeated;
-    rows that repeat within one load are all kept. Returns the import report, in which
-    such rows count as imported. The outcome is stored once, for the table and the report.
+    null ``nlp_reason`` and the time of the load. A row whose columns all equal those of a
+    stored paper is not added again, so a load can be repeated; rows that repeat within one
+    load are all kept. Returns the import report, in which such rows count as imported. The
+    outcome is stored once, for the table and the report. Papers are compared by a SHA-256
+    of their columns, so no text of the stored ones is shuffled.
     """
     spark = source.sparkSession
     canonical = to_canonical(source, map_columns(source, policy))
@@ -101,9 +106,9 @@ def load_papers(source: DataFrame, target: str, policy: str = "first") -> DataFr
     good, _ = split_checked(checked)
     append_papers(good.select("title").limit(0).selectExpr(*_EMPTY_PAPER), target)
     stored = spark.read.schema(PAPERS).parquet(target)
-    known = stored.select(*[F.col(name).alias(f"__{name}") for name in PAPER_KEY])
-    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in PAPER_KEY])
-    new = assign_ids(good.join(known, same, "left_anti"), stored, "row_id")
+    known = stored.select(_paper_digest().alias("__digest"))
+    fresh = good.withColumn("__digest", _paper_digest()).join(known, "__digest", "left_anti")
+    new = assign_ids(fresh.drop("__digest"), stored, "row_id")
     stamped = new.withColumns(
         {"nlp_reason": F.lit(None).cast("string"), "created_at": F.current_timestamp()}
     )

@@ -49,6 +49,24 @@ def _header(spark: SparkSession, path, multi_line: bool) -> tuple[list[str], boo
     return names, names == list(first)
 
 
+def _check_headers(spark: SparkSession, path, multi_line: bool, width: int) -> None:
+    """Fail if the files of ``path`` differ in their first rows, which are their headers.
+
+    Spark compares headers with a schema, which cannot repeat names; so where names had
+    to be changed, the first rows themselves are compared, one for each file.
+    """
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+    rows = _csv(spark, multi_line).schema(schema).csv(path).select(
+        cells.alias("cells"), F.monotonically_increasing_id().alias("at"), "_metadata"
+    )
+    begins = rows.where("_metadata.file_block_start = 0")
+    heads = begins.groupBy("_metadata.file_path").agg(F.min_by("cells", "at").alias("cells"))
+    found = [row.cells for row in heads.select("cells").distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"files with different headers: {found[0]} and {found[1]}")
+
+
 def read_papers(
     spark: SparkSession,
     path,
@@ -64,8 +82,8 @@ def read_papers(
     best kept as many files, or as Parquet with a ``row_id`` column.
 
     All files must have the same header in the same order, and no row more cells than it;
-    else the read fails. Missing cells are null. Where headers had to be renamed (repeated
-    or empty ones) the order in other files is not checked.
+    else the read fails, whatever columns are selected. Missing cells are null. Headers are
+    compared as they are in the files, repeated and empty ones too.
     """
     names, as_written = _header(spark, path, multi_line)
     if row_id and "row_id" in map(str.lower, names):
@@ -74,7 +92,8 @@ def read_papers(
     rows = (
         _csv(spark, multi_line)
         .options(header=True, emptyValue="", enforceSchema=not as_written)
-        .options(columnNameOfCorruptRecord=_CORRUPT)
+        # All cells are parsed whatever is selected, else a row too wide would not be seen.
+        .options(columnNameOfCorruptRecord=_CORRUPT, columnPruning=False)
         .schema(schema)
         .csv(path)
     )
@@ -85,11 +104,14 @@ def read_papers(
     )
     surplus = column(_CORRUPT).isNotNull() & again[_SURPLUS].isNotNull()
     failed = F.raise_error(F.concat(F.lit("more cells than headers: "), column(_CORRUPT)))
-    first = F.when(surplus, failed.cast("string")).otherwise(column(names[0]))
-    cells = [first, *[column(name) for name in names[1:]]]
-    cleaned = [
-        F.when(~cell.isin(*null_tokens), cell).alias(name) for cell, name in zip(cells, names)
-    ]
+    # A filter, as a column that is not selected would not be checked. Spark asks that a
+    # filter on a row's text reads one of its cells too.
+    length = F.length(F.coalesce(column(names[0]), F.lit("")))
+    fits = F.when(surplus, failed.cast("boolean")).otherwise(length >= 0)
+    rows = rows.where(fits)
+    if not as_written:
+        _check_headers(spark, path, multi_line, len(names))
+    cleaned = [F.when(~column(n).isin(*null_tokens), column(n)).alias(n) for n in names]
     if not row_id:
         return rows.select(*cleaned)
     return number_scanned_rows(rows.select(*cleaned, "_metadata"))

@@ -243,3 +243,48 @@ def _(spark, sf_dir):
     batch = view(spark, sf_dir, "coded_batch").drop("person")
     loaded = load_users(view(spark, sf_dir, "coded_users").drop("person"), batch)
     return loaded.select("id", "outcome", "new_id", F.array_join("errors", "; ").alias("errors"))
+
+
+# Papers of which some break each limit of the table.
+_LONG = f"""{PAPERS}, long AS (SELECT row_id, title, authors,
+      CASE WHEN row_id % 13 = 4 THEN '99999999999' ELSE year_raw END AS year_raw,
+      substr(abstract, 1, CAST(row_id % 400 AS INT)) AS doi, substr(abstract, 1, CAST(row_id % 150 AS INT)) AS source,
+      substr(abstract, 1, CAST(row_id % 30 AS INT)) AS nlp_confidence FROM papers),
+    broken AS (SELECT row_id, concat_ws('; ', CASE WHEN NOT {GOOD_TITLE} THEN 'title is blank' END,
+      CASE WHEN length(doi) > 255 THEN 'doi too long' END, CASE WHEN length(source) > 100 THEN 'source too long' END,
+      CASE WHEN length(nlp_confidence) > 20 THEN 'nlp_confidence too long' END,
+      CASE WHEN year_raw = '99999999999' THEN 'year out of range' END) AS errors FROM long)"""
+
+
+def _long_papers(spark, sf_dir):
+    def cut(n):
+        return F.substring("abstract", F.lit(1), (F.col("row_id") % n).cast("int"))
+
+    base = papers(spark, sf_dir).select(
+        "row_id",
+        "title",
+        "authors",
+        F.when(F.col("row_id") % 13 == 4, "99999999999").otherwise(F.col("year_raw")).alias("year"),
+        "abstract",
+        cut(400).alias("doi"),
+        cut(150).alias("source"),
+        cut(30).alias("nlp_confidence"),
+    )
+    rules = [*paper_rules(), integer_range("year", "year_raw")]
+    return check_rows(to_canonical(base, map_columns(base)), rules)
+
+
+@query("refused_by_length", f"{_LONG} SELECT row_id, errors FROM broken WHERE errors <> ''")
+def _(spark, sf_dir):
+    """Papers that break the limits of length, range and blankness, with all their reasons."""
+    _, bad = split_checked(_long_papers(spark, sf_dir))
+    return bad.select("row_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(
+    "length_skip_reasons",
+    f"""{_LONG} SELECT reason, count(*) AS rows FROM (SELECT unnest(string_split(errors, '; ')) AS reason
+      FROM broken WHERE errors <> '') GROUP BY reason""",
+)
+def _(spark, sf_dir):
+    return skip_reasons(_long_papers(spark, sf_dir))

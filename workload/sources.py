@@ -140,3 +140,22 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     ready, _, _ = require_columns(papers(spark, sf_dir).select("row_id", "title"))
     return with_verdict_columns(ready)
+
+
+@query("csv_fallback", f"""{PAPERS} SELECT row_id, {_cell('title')} FROM papers""")
+def _(spark, sf_dir):
+    """No preferred file in the folder: the first export by name is read, others are not."""
+    base = papers(spark, sf_dir)
+    folder = scratch_folder(spark, "fallback")
+    write_csv(base, f"{folder}/scopus_export_a.csv")
+    write_csv(base.limit(0), f"{folder}/scopus_export_b.csv")
+    found = read_papers(spark, resolve_source(spark, folder), row_id=False)
+    return found.select(F.col("row_id").cast("bigint").alias("row_id"), "title")
+
+
+@query("csv_one_column", f"""{PAPERS} SELECT {_cell('title')}, count(*) AS rows FROM papers GROUP BY 1""")
+def _(spark, sf_dir):
+    """A file of one column keeps its rows without a value; it is read by one column of one."""
+    folder = scratch_folder(spark, "one-column")
+    write_csv(papers(spark, sf_dir).select("title"), folder)
+    return read_papers(spark, folder, row_id=False).groupBy("title").agg(F.count("*").alias("rows"))

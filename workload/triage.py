@@ -15,7 +15,7 @@ from titlesieve.operators.triage import (
 )
 from titlesieve.sources.readers import NULL_TOKENS, read_papers
 from titlesieve.sources.storage import scratch_folder
-from titlesieve.sources.writers import write_triage
+from titlesieve.sources.writers import current_triage, publish_triage, write_triage
 from titlesieve.streaming.live import triage_stream
 from workload.registry import query
 from workload.screening import papers
@@ -322,3 +322,35 @@ def _(spark, sf_dir):
     """Running counts after each batch of 50 papers, whatever their ids are."""
     sparse = judged(spark, sf_dir).withColumn("row_id", F.expr(_SPARSE))
     return running_totals(ranked_progress(sparse, RANKED), "batch", ["decided", "keep", "reject"])
+
+
+@query("triage_published", f"{VERDICTS} SELECT * FROM judged")
+def _(spark, sf_dir):
+    """A later write that stopped before it was published is not read."""
+    path = scratch_folder(spark, "published")
+    whole = judged(spark, sf_dir)
+    publish_triage(whole.limit(0), path, format="parquet")
+    publish_triage(whole, path, format="parquet")
+    write_triage(whole.where("row_id % 2 = 0"), f"{path}/version=2", format="parquet")
+    return spark.read.schema(whole.schema).parquet(current_triage(spark, path)).select(*whole.columns)
+
+
+@query(
+    "merged_versions",
+    f"""{VERDICTS} SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'reject' ELSE nlp_decision END AS nlp_decision,
+      CASE WHEN row_id % 3 = 0 THEN NULL ELSE nlp_confidence END AS nlp_confidence,
+      CASE WHEN row_id % 3 = 0 THEN 'late ' || title ELSE title END AS title FROM judged""",
+)
+def _(spark, sf_dir):
+    """Verdicts saved twice: a later row counts whole, its missing confidence and text too."""
+    first = judged(spark, sf_dir).select("row_id", "title", "nlp_decision", "nlp_confidence")
+    later = first.where("row_id % 3 = 0").select(
+        "row_id",
+        F.concat(F.lit("late "), "title").alias("title"),
+        F.lit("reject").alias("nlp_decision"),
+        F.lit(None).cast("string").alias("nlp_confidence"),
+    )
+    saved = later.withColumn("saved_at", F.lit(2)).unionByName(first.withColumn("saved_at", F.lit(1)))
+    base = with_verdict_columns(papers(spark, sf_dir).select("row_id", "title"))
+    merged = merge_progress(base, saved, version="saved_at")
+    return merged.select("row_id", "nlp_decision", "nlp_confidence", "title")
