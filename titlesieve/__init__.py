@@ -31,6 +31,7 @@ from titlesieve.operators.filters import (
     search,
     split_by_decision,
 )
+from titlesieve.operators.ordered import OrderedTable, store_ordered
 from titlesieve.operators.paging import page, page_info
 from titlesieve.operators.review import (
     accepted_decisions,
@@ -73,7 +74,14 @@ from titlesieve.operators.triage import (
 from titlesieve.operators.uniqueness import accept_in_order
 from titlesieve.operators.words import with_relative, word_counts, word_frequencies
 from titlesieve.sources.readers import describe_source, read_papers, resolve_source
-from titlesieve.sources.writers import append_papers, export_nonempty, write_csv, write_triage
+from titlesieve.sources.writers import (
+    append_papers,
+    current_triage,
+    export_nonempty,
+    publish_triage,
+    write_csv,
+    write_triage,
+)
 from titlesieve.streaming.live import (
     dedup_decisions,
     live_progress,

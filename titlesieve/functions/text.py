@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -24,6 +26,9 @@ COUNTED_WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"
 # Beyond this many keywords the test loops over an array literal instead of being
 # unrolled into one expression, which would outgrow the JVM's method size.
 UNROLLED_KEYWORDS = 64
+#: From so many on, "any of them" looks stretches of the text up instead of each keyword.
+ANCHORED_KEYWORDS = 512
+GRAM = 3
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,6 +80,50 @@ def _balanced(parts: list[Column], combine) -> Column:
     return parts[0]
 
 
+def keyword_anchors(words) -> tuple[dict[str, list[str]], list[str]]:
+    """Keywords by the rarest of their stretches of GRAM letters, and those too short.
+
+    Rare is what few keywords have, so that a stretch leads to few of them; a letter
+    beyond the basic plane is in no stretch, as splitting a text may cut it in two.
+    """
+    grams = {
+        word: [g for g in (word[i : i + GRAM] for i in range(len(word) - GRAM + 1)) if max(g) < "\U00010000"]
+        for word in words
+    }
+    often = Counter(gram for own in grams.values() for gram in set(own))
+    index: dict[str, list[str]] = {}
+    for word, own in grams.items():
+        if own:
+            index.setdefault(min(own, key=lambda g: (often[g], g)), []).append(word)
+    return index, [word for word, own in grams.items() if not own]
+
+
+def _any_anchored(lowered: Column, words: list[str]) -> Column:
+    """Whether any keyword occurs, at a cost that hardly grows with their number.
+
+    Each stretch of letters of the text is looked up once in a hash set of the keywords'
+    anchors; only keywords whose anchor is in the text are searched for in it.
+    """
+    index, short = keyword_anchors(words)
+    table = F.from_json(F.lit(json.dumps(index)), "map<string, array<string>>")
+
+    def found(letters: Column) -> Column:
+        grams = F.transform(
+            letters,
+            lambda c, i: F.concat(c, *[F.get(letters, i + k) for k in range(1, GRAM)]),
+        )
+        anchors = F.array_distinct(F.filter(grams, lambda gram: gram.isin(list(index))))
+        return F.exists(
+            anchors,
+            lambda gram: F.exists(F.element_at(table, gram), lambda word: lowered.contains(word)),
+        )
+
+    # A test of null and false would be null.
+    tests = [F.coalesce(bind(F.split(lowered, ""), found), F.lit(False))] if index else []
+    tests += [lowered.contains(word) for word in short]
+    return F.when(lowered.isNotNull(), _balanced(tests, or_))
+
+
 def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
     """Null for null text, unless the list is empty; callers decide what null means."""
     words = sorted({keyword.lower() for keyword in keywords})
@@ -84,6 +133,8 @@ def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
         return F.lower(text).contains(words[0])
 
     def test(lowered: Column) -> Column:
+        if len(words) > ANCHORED_KEYWORDS and not match_all:
+            return _any_anchored(lowered, words)
         if len(words) > UNROLLED_KEYWORDS:
             quantifier = F.forall if match_all else F.exists
             return quantifier(F.array(*map(F.lit, words)), lambda word: lowered.contains(word))

@@ -11,8 +11,10 @@ from titlesieve.operators.dedup import duplicate_report, remove_duplicates
 from titlesieve.operators.filters import (
     FilterSpec, apply_filter, remove_rows, removal_report, reset_filters, search,
 )
+from titlesieve.operators.ordered import store_ordered
 from titlesieve.operators.paging import page, page_info
 from titlesieve.operators.stats import dataset_stats, filter_stats
+from titlesieve.sources.storage import scratch_folder
 from workload.registry import WORD, query
 from workload.views import spread_table, table, view, with_views
 
@@ -276,3 +278,34 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return page_info(apply_filter(papers(spark, sf_dir), SPEC, "title"), page=2, per_page=50)
+
+
+# Sixty syllables of four letters or less, and all pairs of them as keywords.
+SYLLABLES = tuple(a + b for a in ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha") for b in
+                  ("at", "en", "es", "of", "or", "xq"))
+PAIRED = tuple(a + b for a in SYLLABLES for b in SYLLABLES)
+_PAIRS = f"""syllables AS (SELECT unnest([{", ".join(f"'{s}'" for s in SYLLABLES)}]) AS s),
+    keywords AS (SELECT a.s || b.s AS k FROM syllables a, syllables b)"""
+
+
+@query(
+    "include_any_of_thousands",
+    f"""{PAPERS}, {_PAIRS} SELECT row_id FROM papers WHERE abstract IS NOT NULL
+      AND EXISTS (SELECT 1 FROM keywords WHERE contains(lower(abstract), k))""",
+)
+def _(spark, sf_dir):
+    """3,600 keywords on whole texts, by stretches of letters instead of one by one."""
+    base = papers(spark, sf_dir)
+    return base.where(include_any(F.col("abstract"), PAIRED)).select("row_id")
+
+
+@query(
+    "title_page_of_order",
+    f"""{PAPERS} SELECT row_id, title, abstract FROM papers ORDER BY title NULLS FIRST, row_id LIMIT 25 OFFSET 100""",
+)
+def _(spark, sf_dir):
+    """The fifth page by title of a stored order; the third is read from it before."""
+    path = scratch_folder(spark, "by-title")
+    stored = store_ordered(papers(spark, sf_dir).select("row_id", "title", "abstract"), path, "title", "row_id")
+    stored.page(2, 25).count()
+    return stored.page(4, 25)
