@@ -406,3 +406,16 @@ def test_word_digests_of_long_texts():
     assert bounds.tolist() == [0, len(words), len(words), len(words), len(words) + 1, len(words) + 3]
     digests = [hashlib.blake2b(w, digest_size=16).digest() for w in want]
     assert lanes.tobytes() == b"".join(digests)
+
+
+def test_vectors_of_every_length_and_size_are_compared(frame):
+    big, small = 1e200, 1e-200
+    rows = [
+        (1, [1.0, 2.0, 3.0], 0), (2, [1.0, 2.0, 3.0], 0), (3, [2.0, 4.0, 6.1], 0), (4, [1.0, 2.0], 0), (5, [2.0, 4.0], 0),
+        (6, [1.0, 2.0, 0.0], 0), (7, [big, 2 * big, 3 * big], 0), (8, [small, 2 * small, 3 * small], 0),
+        (9, [5.0], 0), (10, [7.0], 0), (11, [-7.0], 0), (12, [5e-324, 1e-323], 0), (13, [1.7e308, 1.7e308], 1), (14, [1.0, 1.0], 1),
+    ]
+    got = embedding_dedup.near_duplicates(frame(VECTORS.replace("float", "double"), [(*r, "x") for r in rows])).collect()
+    want = {i: (4, 1) for i in (1, 2, 3, 7, 8)} | {4: (2, 4), 5: (2, 4), 12: (2, 4), 6: (0, 6)}
+    want |= {9: (1, 9), 10: (1, 9), 11: (0, 11), 13: (1, 13), 14: (1, 13)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want

@@ -9,6 +9,7 @@ cosine in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -98,6 +99,9 @@ def multi_sequence(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndar
 
 def _unit(batch_column: pa.Array, width: int) -> np.ndarray:
     points = batch_column.flatten().to_numpy().astype(np.float64).reshape(-1, width)
+    # By a power of two first, which is exact: squares of very large or small numbers are not.
+    _, exponent = np.frexp(np.abs(points).max(axis=1, initial=0))
+    points = np.ldexp(points, -exponent[:, None])
     return points / np.sqrt((points**2).sum(axis=1))[:, None]
 
 
@@ -152,68 +156,15 @@ def _compare(threshold: float, width: int):
     return run
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL
-) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
-
-    ``vectors`` has vec_id, embedding (ARRAY<FLOAT> or DOUBLE) and label; other columns
-    are ignored. Vectors of one non-null label are linked if their cosine is at least
-    ``threshold``. A vector that is null, empty, zero, or has a null or non-finite
-    component, and one whose length differs from the most frequent one, is linked with
-    nothing; so is a null id. ``n_links`` counts the other rows linked directly,
-    ``component_id`` is the smallest vec_id that links lead to, itself included, ``kept``
-    marks that vector. An empty table gives no rows.
-
-    Equal vectors of a label are one class, with their number. Codebooks are fitted on at
-    most TRAIN_ROWS vectors, drawn by a hash of the id; all vectors are indexed and
-    searched. Cells and their queries are dealt into blocks of bounded size, so neither a
-    hot label nor a hot cell is one task, and a block gives counts and a forest, not
-    pairs. The stages run when this function is called.
-    """
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("label").cast("string").alias("label"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    )
-    lengths = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("w")).count()
-    widest = lengths.orderBy(F.desc("count"), "w").head()
-    alone = rows.select(
-        "vec_id",
-        F.lit(0).cast("long").alias("n_links"),
-        F.col("vec_id").alias("component_id"),
-        F.lit(True).alias("kept"),
-    )
-    if widest is None:
-        return alone
-    width = widest["w"]
-    finite = F.forall(
-        "embedding",
-        lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)),
-    )
-    valid = (
-        (F.size("embedding") == width)
-        & finite
-        & F.exists("embedding", lambda x: x != 0)
-        & F.col("label").isNotNull()
-        & F.col("vec_id").isNotNull()
-    )
-    marked = rows.select("*", F.coalesce(valid, F.lit(False)).alias("valid"))
-    classes = materialise(
-        marked.where("valid")
-        .groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")),
-        "vector-classes",
-    )
+def _linked(classes: DataFrame, width: int, threshold: float, recall: float) -> DataFrame:
+    """label, embedding, links, component of classes of vectors of one length."""
     largest = classes.groupBy("label").count().agg(F.max("count")).head()[0]
-    if largest is None:
-        return alone
     sample = (
         classes.orderBy(F.xxhash64("rep")).limit(TRAIN_ROWS).select("embedding").toArrow()["embedding"]
     )
     codewords = int(np.clip(np.ceil(np.sqrt(largest / CELL_ROWS)), 1, MOST_CODEWORDS))
     books = fit_codebooks(_unit(sample.combine_chunks(), width), codewords, threshold, recall)
-    shared = vectors.sparkSession.sparkContext.broadcast(books)
+    shared = classes.sparkSession.sparkContext.broadcast(books)
     placed = materialise(
         classes.select("label", "rep", "copies", "embedding").mapInArrow(
             _place(shared, width),
@@ -249,7 +200,7 @@ def near_duplicates(
     counts = compared.groupBy("rep").agg(F.sum("n").alias("n"))
     links = compared.where("parent is not null").select(F.col("rep").alias("a"), F.col("parent").alias("b"))
     found = components(links).toDF("rep", "component")
-    by_class = (
+    return (
         classes.select("label", "embedding", "rep", "copies")
         .join(counts, "rep", "left")
         .join(found, "rep", "left")
@@ -259,6 +210,63 @@ def near_duplicates(
             F.coalesce("component", "rep").alias("component"),
         )
     )
+
+
+def near_duplicates(
+    vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
+
+    ``vectors`` has vec_id, embedding (ARRAY<FLOAT> or DOUBLE) and label; other columns
+    are ignored. Vectors of one non-null label are linked if their cosine is at least
+    ``threshold``; vectors of different lengths are not, each length is worked through on
+    its own. A vector that is null, empty, zero, or has a null or non-finite component is
+    linked with nothing; so is a null id. ``n_links`` counts the other rows linked directly,
+    ``component_id`` is the smallest vec_id that links lead to, itself included, ``kept``
+    marks that vector. An empty table gives no rows.
+
+    Equal vectors of a label are one class, with their number. Codebooks are fitted on at
+    most TRAIN_ROWS vectors, drawn by a hash of the id; all vectors are indexed and
+    searched. Cells and their queries are dealt into blocks of bounded size, so neither a
+    hot label nor a hot cell is one task, and a block gives counts and a forest, not
+    pairs. The stages run when this function is called.
+    """
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("label").cast("string").alias("label"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    finite = F.forall(
+        "embedding",
+        lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)),
+    )
+    valid = (
+        (F.size("embedding") > 0)
+        & finite
+        & F.exists("embedding", lambda x: x != 0)
+        & F.col("label").isNotNull()
+        & F.col("vec_id").isNotNull()
+    )
+    marked = rows.select("*", F.coalesce(valid, F.lit(False)).alias("valid"))
+    classes = materialise(
+        marked.where("valid")
+        .groupBy("label", "embedding")
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        .withColumn("width", F.size("embedding")),
+        "vector-classes",
+    )
+    widths = sorted(row.width for row in classes.select("width").distinct().collect())
+    if not widths:
+        return rows.select(
+            "vec_id",
+            F.lit(0).cast("long").alias("n_links"),
+            F.col("vec_id").alias("component_id"),
+            F.lit(True).alias("kept"),
+        )
+    by_class = reduce(
+        DataFrame.unionByName,
+        [_linked(classes.where(F.col("width") == w).drop("width"), w, threshold, recall) for w in widths],
+    )
     joined = marked.select("vec_id", "valid", "label", "embedding").join(
         by_class.withColumn("valid", F.lit(True)), ["valid", "label", "embedding"], "left"
     )
