@@ -67,3 +67,33 @@ def test_encoded_documents(stages):
     for r in stages[5]:
         assert r.ids == processor.encode(texts[r.doc_id]) and r.n_pieces == len(r.ids)
         assert all(processor.decode(s.ids) == texts[r.doc_id] for s in r.samples)
+
+
+def test_columns_of_any_name_come_through(frame, spark):
+    from titlesieve.llm import minhash, sentencepiece_sampling, substring_dedup
+    from titlesieve.llm.decontamination import decontaminate
+    from titlesieve.llm.token_queries import piece_model
+
+    inner = ["__id", "__hash", "__spans", "__d1", "__d2", "__seed", "__text", "__changed", "__other0", "rep", "spans", "a.b"]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in inner)
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = {1: words, 2: words + " tail", 3: "other words here", 5: None}
+    rows = [(i, t, 7, *[f"{c}{i}" for c in inner]) for i, t in texts.items()] + [(5, "x y z", 7, *inner)]
+    docs = frame(schema, rows)
+    bench = frame("item_id long, text string", [(1, "other words here")])
+    results = [
+        decontaminate(docs, bench), substring_dedup.remove_repeats(docs), minhash.drop_near_duplicates(docs),
+        sentencepiece_sampling.segment(docs, piece_model()).drop("ids", "samples"),
+    ]
+    for result in results:
+        assert result.columns == docs.columns
+        got = result.collect()
+        assert got and all(r["a.b"] == (f"a.b{r.doc_id}" if r.text != "x y z" else "a.b") for r in got)
+    assert sorted(r.doc_id for r in results[0].collect()) == [1, 2, 5, 5]
+    assert {r.doc_id: r.text for r in results[1].collect() if r.doc_id < 5} == {1: words, 2: "tail", 3: "other words here"}
+    assert sorted(r.doc_id for r in results[2].collect()) == [1, 3, 5, 5]
+
+
+def test_without_any_labelled_language_all_stay(frame, spark):
+    docs = frame(DOCS, [(1, "some words", None, "x", 10), (2, None, None, "x", 0)])
+    assert corpus_pipeline.known_language(spark, docs, SF_DIR).count() == 2

@@ -41,6 +41,20 @@ def add_columns(
     return df.select(*map(column, df.columns)).mapInArrow(run, schema)
 
 
+def apart(
+    docs: DataFrame, used: tuple[str, ...], work: Callable[[DataFrame], DataFrame], new: tuple[str, ...] = ()
+) -> DataFrame:
+    """``work(docs)``, in which no column but those ``used`` can clash with a name of its own.
+
+    The others have neutral names meanwhile. Columns of ``docs`` that have the name of a
+    ``new`` one are replaced by it; the order of columns stays, new ones come last.
+    """
+    kept_names = [name for name in docs.columns if name not in new]
+    hidden = {name: name if name in used else f"__other{i}" for i, name in enumerate(kept_names)}
+    result = work(docs.select(*[column(name).alias(hidden[name]) for name in kept_names]))
+    return result.select(*[column(hidden[name]).alias(name) for name in kept_names], *new)
+
+
 _KEPT: dict = {}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titlesieve.llm.batches import apart
 from titlesieve.llm.lookup import BROADCAST_IDS
 from titlesieve.sources.storage import materialise
 
@@ -130,8 +131,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """``docs`` without the rows in which a window of ``benchmark`` occurs; all its columns.
 
     Same rules as :func:`contamination`. The contaminated ids and text hashes are stored;
-    they are broadcast while they are few, and joined by a shuffle beyond that.
+    they are broadcast while they are few, and joined by a shuffle beyond that. Columns
+    of any name may be there.
     """
+    return apart(docs, ("doc_id", "text"), lambda plain: _decontaminate(plain, benchmark, window))
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     bad = materialise(
         contamination(docs, benchmark, window)
         .where("n_hit > 0")

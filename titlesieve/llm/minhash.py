@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlesieve.llm.batches import add_columns, kept
+from titlesieve.llm.batches import add_columns, apart, kept
 from titlesieve.llm.components import components
 from titlesieve.llm.lookup import rows_of
 from titlesieve.llm.textscan import (
@@ -435,7 +435,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     The smallest id of each stays, with all its columns. Rows that share an id stay or go
     each by its own text; of those with equal texts one stays. Rows with a null id all stay.
+    Columns of any name may be there.
     """
+    return apart(docs, ("doc_id", "text"), _drop_near_duplicates)
+
+
+def _drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialise(_near(docs), "near-duplicates")
     gone = materialise(found.where("not kept").select("doc_id", "d1", "d2").distinct(), "gone")
     often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

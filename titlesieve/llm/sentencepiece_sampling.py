@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlesieve.llm import textscan
-from titlesieve.llm.batches import add_columns, kept
+from titlesieve.llm.batches import add_columns, apart, kept
 from titlesieve.llm.idstore import IdStore
 from titlesieve.llm.lattice import MARK, Lattice, Vocabulary, truncated_gumbel, uniform
 from titlesieve.llm.textscan import mix, ragged, span_hash, text_slices
@@ -381,6 +381,11 @@ def segment(
     segmentation. With ``k`` 0 there is no column of samples. Other columns stay; those
     of the new names are replaced.
     """
+    new = ("ids", "samples")[: 2 if k else 1]
+    return apart(docs, ("doc_id", "text"), lambda plain: _segment(plain, model, k, alpha, seed), new)
+
+
+def _segment(docs: DataFrame, model: bytes, k: int, alpha: float, seed: int) -> DataFrame:
     keyed = docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.col("doc_id")))
     get, at = _segmenter(docs, model, alpha), keyed.columns.index("text")
     key = keyed.columns.index("__seed")

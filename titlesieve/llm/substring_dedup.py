@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlesieve.functions.names import column
-from titlesieve.llm.batches import add_columns
+from titlesieve.llm.batches import add_columns, apart
 from titlesieve.llm.lookup import BROADCAST_IDS
 from titlesieve.llm.textscan import (
     Words,
@@ -434,9 +434,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Rules as for :func:`find_repeats`. A text that loses words becomes its kept words
     joined by one space; others stay as they are. Rows that lose all words go. All columns
-    stay; ``n_chars``, if there, is the length of the new text. Rows with a null id keep
-    their text.
+    stay, whatever their names; ``n_chars``, if there, is the length of the new text. Rows
+    with a null id keep their text.
     """
+    return apart(docs, ("doc_id", "text", "n_chars"), lambda plain: _remove_repeats(plain, window))
+
+
+def _remove_repeats(docs: DataFrame, window: int) -> DataFrame:
     spans = _spans_by_document(find_repeats(docs, window), True, window).withColumnRenamed(
         "spans", "__spans"
     )
