@@ -20,9 +20,14 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labelled ones, told by their text alone."""
+    """Documents in one of the languages of the labelled ones, told by their text alone.
+
+    Without any labelled document nothing can be told, and all stay.
+    """
     ship(spark)
     model = language_id.fit(docs, F.lit(True))
+    if model is None:
+        return docs
     scored = language_id.identify(docs, model)
     good = (F.col("lang_pred") != language_id.UNDETERMINED) & (
         F.col("lang_score") > LEAST_LANGUAGE_SCORE
