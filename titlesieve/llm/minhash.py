@@ -44,7 +44,7 @@ PIVOTS = 8
 #: fewer are looked at faster in blocks.
 PAIRS_PER_CLASS = 1_000
 #: Word digests that a Python worker remembers.
-MOST_WORDS = 200_000
+MOST_WORDS = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

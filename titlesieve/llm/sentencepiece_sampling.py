@@ -31,6 +31,8 @@ ALPHA = 1.0
 REACH = 90.0
 #: Bytes of text laid out at a time.
 LAYOUT_BYTES = 1 << 20
+#: Words whose ids a worker remembers; its lattices need the memory more.
+MOST_WORDS = 300_000
 
 
 class Sample(NamedTuple):
@@ -58,7 +60,7 @@ class Segmenter:
 
         self.processor = SentencePieceProcessor(model_proto=model)
         self.vocabulary = Vocabulary(self.processor, alpha)
-        self.store = IdStore(self._encode)
+        self.store = IdStore(self._encode, MOST_WORDS)
         pieces = [self._spelling(i) for i in range(self.vocabulary.size)]
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))

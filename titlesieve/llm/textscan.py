@@ -133,7 +133,7 @@ def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 #: Bytes compared at a time, and from which on a span is compared alone.
-_COMPARED, _LONG_SPAN = 1 << 20, 1 << 14
+_COMPARED, _LONG_SPAN = 1 << 17, 1 << 14
 
 
 def equal_spans(
