@@ -32,7 +32,7 @@ REACH = 90.0
 #: Bytes of text laid out at a time.
 LAYOUT_BYTES = 1 << 20
 #: Words whose ids a worker remembers; its lattices need the memory more.
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 
 
 class Sample(NamedTuple):
