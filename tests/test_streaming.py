@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from titlesieve.operators.stats import reviewer_progress
 from titlesieve.streaming.live import (
     dedup_decisions, live_progress, read_progress, triage_stream, write_progress,
 )
+from workload.catalog import QUERIES
 
 START = datetime(2024, 1, 1)
 SCHEMA = "user_id long, paper_id long, decision string, decided_at timestamp"
@@ -65,3 +67,29 @@ def test_triage_as_papers_arrive(spark, tmp_path):
     rows = spark.read.parquet(store).collect()
     assert sorted(row.row_id for row in rows) == list(range(20))
     assert all((row.nlp_decision == "keep") == (row.row_id % 2 == 0) for row in rows)
+
+
+def test_streamed_tables_may_be_folders_of_part_files(spark, tmp_path):
+    docs = [(i, f"text {i}") for i in range(20)]
+    labels = [(i, i % 2, 0) for i in range(20)]
+    events = [
+        (i, i % 3, START + timedelta(minutes=i), ["purchase", "error"][i % 2], f'{{"k": {i}}}')
+        for i in range(12)
+    ]
+    for name, rows, schema in (
+        ("documents", docs, "doc_id long, text string"),
+        ("labels", labels, "doc_id long, quality long, toxic long"),
+        ("events", events, "event_id long, user_id long, ts timestamp_ntz, event_type string, props string"),
+    ):
+        made = spark.createDataFrame(rows, schema)
+        made.repartition(3).write.parquet(str(tmp_path / "folders" / f"{name}.parquet"))
+        made.coalesce(1).write.parquet(str(tmp_path / "one" / name))
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (part,) = (tmp_path / "one" / name).glob("part-*")
+        shutil.copy(part, tmp_path / "files" / f"{name}.parquet")
+    for name, count in (("triage_stream", 20), ("live_progress", 3), ("live_first_decisions", 12)):
+        folders, files = (
+            sorted(map(str, QUERIES[name](spark, str(tmp_path / kind)).collect()))
+            for kind in ("folders", "files")
+        )
+        assert folders == files and len(files) == count

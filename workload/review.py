@@ -19,7 +19,7 @@ from titlesieve.streaming.stores import (
 from titlesieve.streaming.live import dedup_decisions, live_progress, read_progress, write_progress
 from workload.registry import query
 from workload.screening import SCREENED, SPEC, papers
-from workload.views import table, view, with_views
+from workload.views import stream_table, table, view, with_views
 
 SESSION = """resets AS (
       SELECT *, sum(CASE WHEN decision = 'RESET' THEN 1 ELSE 0 END)
@@ -174,19 +174,13 @@ def _(spark, sf_dir):
     return reviewer_progress(decisions(spark, sf_dir), reviewers, kept="Y", rejected="N")
 
 
-def _event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return stream.parquet(sf_dir)
-
-
 @query(
     "live_progress",
     f"{PROGRESS} SELECT * FROM counts",
 )
 def _(spark, sf_dir):
     """Counts kept up to date by a stream and stored batch by batch."""
-    marks = _event_stream(spark, sf_dir).selectExpr(
+    marks = stream_table(spark, sf_dir, "events").selectExpr(
         "user_id",
         "cast(ts AS timestamp) AS decided_at",
         "CASE WHEN event_type IN ('purchase', 'signup') THEN 'Y' WHEN event_type = 'error' THEN 'N'"
@@ -205,7 +199,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Pairs let through by the streaming de-duplication; the delay spans the whole log."""
-    rows = _event_stream(spark, sf_dir).selectExpr(
+    rows = stream_table(spark, sf_dir, "events").selectExpr(
         "user_id",
         "cast(get_json_object(props, '$.k') AS bigint) AS paper_id",
         "cast(ts AS timestamp) AS decided_at",

@@ -19,7 +19,7 @@ from titlesieve.sources.writers import current_triage, publish_triage, write_tri
 from titlesieve.streaming.live import triage_stream
 from workload.registry import query
 from workload.screening import papers
-from workload.views import table, view, with_views
+from workload.views import stream_table, view, with_views
 
 TEMPLATE = "Topic: {topic}\nTitle: {title}\nAbstract: {abstract}\nJSON {{}}?"
 BATCH = 64
@@ -270,13 +270,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The same over a stream of papers, one stored batch per trigger."""
     store, checkpoint = scratch_folder(spark, "stream"), scratch_folder(spark, "stream-state")
-    schema = table(spark, sf_dir, "documents").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-        .selectExpr("doc_id AS row_id", "text AS abstract")
-    )
+    stream = stream_table(spark, sf_dir, "documents").selectExpr("doc_id AS row_id", "text AS abstract")
     triage_stream(stream, _judge(spark, sf_dir), store, checkpoint).awaitTermination()
     return spark.read.parquet(store).select("row_id", "nlp_decision", "nlp_confidence")
 

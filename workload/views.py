@@ -116,6 +116,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files.
+
+    A stream takes the path of a single file only as a pattern.
+    """
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table for work that is heavy per row and no filter."""
     return spread(table(spark, sf_dir, name).select(*columns))
