@@ -81,3 +81,22 @@ def test_anchors_are_rare_stretches():
     index, short = keyword_anchors(["abcd", "abce", "abcf", "ab", "\U0001f600\U0001f600\U0001f600"])
     assert index == {"bcd": ["abcd"], "bce": ["abce"], "bcf": ["abcf"]}
     assert short == ["ab", "\U0001f600\U0001f600\U0001f600"]
+
+
+def test_any_of_many_keywords_by_one_pattern(frame, monkeypatch):
+    rng = random.Random(5)
+    letters = ["a", "b", "é", ".", "|", "\\", "[", "^", "\U0001f600", "\n", " "]
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 30))) for _ in range(700)]
+    words += [words[0][:2] + "�", words[1] + "b", "a" * 40, "a" * 39 + "b"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(300)]
+    texts += [f"x{word}y" for word in words[::50]] + ["a" * 39 + "b", "", None, words[0][:2] + "�"]
+    df = frame("row_id long, text string", enumerate(texts))
+    found = include_any(F.col("text"), words)
+    plan = df.where(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "split(" not in plan
+    expected = {i: any(w in t for w in words) if t is not None else False for i, t in enumerate(texts)}
+    assert {r.row_id: r.found for r in df.select("row_id", found.alias("found")).collect()} == expected
+    assert set(expected.values()) == {True, False}
+    monkeypatch.setattr("titlesieve.functions.text.PATTERN_LETTERS", 0)
+    looked_up = include_any(F.col("text"), words)
+    assert {r.row_id: r.found for r in df.select("row_id", looked_up.alias("found")).collect()} == expected

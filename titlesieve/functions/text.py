@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 from operator import and_, or_
 
 from pyspark.sql import Column
@@ -26,8 +28,11 @@ COUNTED_WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}+(?![\p{L}\p{N}_])"
 # Beyond this many keywords the test loops over an array literal instead of being
 # unrolled into one expression, which would outgrow the JVM's method size.
 UNROLLED_KEYWORDS = 64
-#: From so many on, "any of them" looks stretches of the text up instead of each keyword.
+#: From so many on, "any of them" is one pattern, or looks stretches of the text up, instead
+#: of each keyword.
 ANCHORED_KEYWORDS = 512
+#: First letters of keywords that a pattern is for: it tries their branches in turn.
+PATTERN_LETTERS = 256
 GRAM = 3
 
 
@@ -98,6 +103,55 @@ def keyword_anchors(words) -> tuple[dict[str, list[str]], list[str]]:
     return index, [word for word, own in grams.items() if not own]
 
 
+#: Branches below one another in a pattern at most; what is left of keywords stands as it is.
+NESTED_BRANCHES = 16
+
+
+def _spelt(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def any_pattern(words, depth: int = NESTED_BRANCHES) -> str:
+    """A regex that finds any of ``words``, which are not empty, by their common beginnings.
+
+    At a place of the text only the branch of its letter is followed, so the cost hardly
+    grows with the number of words. A word that begins with another one adds nothing.
+    """
+    kept: list[str] = []
+    for word in sorted(set(words)):
+        if not (kept and word.startswith(kept[-1])):
+            kept.append(word)
+
+    def branch(some: list[str], left: int) -> str:
+        if len(some) == 1:
+            return _spelt(some[0])
+        start = os.path.commonprefix(some)
+        rest = [word[len(start) :] for word in some]
+        groups = [list(group) for _, group in groupby(rest, lambda word: word[0])]
+        parts = [branch(group, left - 1) for group in groups] if left else map(_spelt, rest)
+        first = "".join(_spelt(group[0][0]) for group in groups)
+        return f"{_spelt(start)}(?=[{first}])(?:{'|'.join(parts)})"
+
+    return branch(kept, depth)
+
+
+def _any_patterned(lowered: Column, words: list[str]) -> Column:
+    """Whether any keyword occurs, by one pattern for all.
+
+    A pattern sees a replacement character for bytes that are no text, so keywords with
+    that character are searched for as bytes, one by one.
+    """
+    plain = [word for word in words if "\ufffd" not in word and _is_text(word)]
+    others = sorted(set(words) - set(plain))
+    tests = [lowered.rlike(any_pattern(plain))] if plain else []
+    tests += [lowered.contains(word) for word in others]
+    return _balanced(tests, or_)
+
+
+def _is_text(word: str) -> bool:
+    return not any("\ud800" <= c <= "\udfff" for c in word)
+
+
 def _any_anchored(lowered: Column, words: list[str]) -> Column:
     """Whether any keyword occurs, at a cost that hardly grows with their number.
 
@@ -134,7 +188,9 @@ def _keyword_test(text: Column, keywords, match_all: bool) -> Column:
 
     def test(lowered: Column) -> Column:
         if len(words) > ANCHORED_KEYWORDS and not match_all:
-            return _any_anchored(lowered, words)
+            first = {word[:1] for word in words}
+            find = _any_patterned if "" not in first and len(first) <= PATTERN_LETTERS else _any_anchored
+            return find(lowered, words)
         if len(words) > UNROLLED_KEYWORDS:
             quantifier = F.forall if match_all else F.exists
             return quantifier(F.array(*map(F.lit, words)), lambda word: lowered.contains(word))
