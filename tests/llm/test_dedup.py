@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from titlesieve.llm import embedding_dedup, minhash, substring_dedup
 from titlesieve.llm.components import components
@@ -419,3 +420,22 @@ def test_vectors_of_every_length_and_size_are_compared(frame):
     want = {i: (4, 1) for i in (1, 2, 3, 7, 8)} | {4: (2, 4), 5: (2, 4), 12: (2, 4), 6: (0, 6)}
     want |= {9: (1, 9), 10: (1, 9), 11: (0, 11), 13: (1, 13), 14: (1, 13)}
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_copies_leave_the_other_summaries_in_place(spark, frame, tmp_path):
+    rows = [(i, f"sha{i}", [i, i + 1]) for i in range(30)] + [(3, "other", [7]), (-(2**63), "sha0", [1])]
+    path = str(tmp_path / "summary")
+    frame("doc_id long, whole_sha256 string, grams array<long>", rows).write.parquet(path)
+    summary = spark.read.parquet(path)
+    copies = summary.where("whole_sha256 in ('sha3', 'sha9')").select(
+        "doc_id", "whole_sha256", F.lit(0).alias("first_id")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = substring_dedup._without(summary, copies)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, left.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(r for r in rows if r[1] not in ("sha3", "sha9"))
+    assert plan.count("BroadcastHashJoin") == 2 and "LeftAnti, BuildRight" in plan

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from titlesieve.functions.names import column
 from titlesieve.llm.batches import add_columns, apart
-from titlesieve.llm.lookup import BROADCAST_IDS
+from titlesieve.llm.lookup import BROADCAST_IDS, rows_of
 from titlesieve.llm.textscan import (
     Words,
     long_column,
@@ -297,6 +297,18 @@ def _with(docs: DataFrame, side: DataFrame, cells: str, how: str = "inner") -> D
     return docs.join(F.broadcast(side) if size <= 4 * BROADCAST_IDS else side, "doc_id", how)
 
 
+def _without(summary: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``summary`` that are not in ``copies``, a stored table of some of them.
+
+    Only rows that share an id with a copy are compared by their words' checksum too, so
+    the lists of minimizers of all others stay where they are.
+    """
+    own = ["doc_id", "whole_sha256"]
+    ids = copies.select("doc_id").distinct()
+    near = rows_of(summary, ids, "doc_id").join(copies.select(*own), own, "left_anti")
+    return rows_of(summary, ids, "doc_id", "left_anti").unionByName(near.select(*summary.columns))
+
+
 class Repeats:
     """What repeats in a table of documents, stored; see :func:`find_repeats`."""
 
@@ -341,7 +353,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
         .select("doc_id", "whole_sha256", "first_id"),
         "copies",
     )
-    originals = summary.join(copies.select("doc_id", "whole_sha256"), ["doc_id", "whole_sha256"], "left_anti")
+    originals = _without(summary, copies)
 
     # Minimizers in more than one place. The ones of several documents are stored before
     # they are looked up, so that a hot one can be split in the join.
