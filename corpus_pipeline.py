@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlesieve.llm import language_id, sentencepiece_sampling
+from titlesieve.llm.batches import ROWS_AT_ONCE
 from titlesieve.llm.decontamination import decontaminate
 from titlesieve.llm.minhash import drop_near_duplicates
 from titlesieve.llm.registry import ship, table
@@ -19,12 +20,18 @@ from titlesieve.sources.storage import materialise
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def ready(spark: SparkSession) -> None:
+    """Stages share executors: rows reach Python workers in as small batches as they are used in."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the labelled ones, told by their text alone.
 
     Without any labelled document nothing can be told, and all stay.
     """
-    ship(spark)
+    ready(spark)
     model = language_id.fit(docs, F.lit(True))
     if model is None:
         return docs
@@ -37,13 +44,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    ship(spark)
+    ready(spark)
     return drop_near_duplicates(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 20 words and more that start earlier elsewhere."""
-    ship(spark)
+    ready(spark)
     return remove_repeats(docs)
 
 
@@ -54,7 +61,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the ids of the text, their number, and sampled segmentations."""
-    ship(spark)
+    ready(spark)
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
     rows = docs.select("doc_id", "source", "lang", "text")
     coded = sentencepiece_sampling.segment(rows, model)

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_dedup import brute_near, brute_removal
 from tests.llm.test_native import brute_contamination
+from titlesieve.llm.batches import ROWS_AT_ONCE
 from titlesieve.sources.storage import materialise
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,3 +98,13 @@ def test_columns_of_any_name_come_through(frame, spark):
 def test_without_any_labelled_language_all_stay(frame, spark):
     docs = frame(DOCS, [(1, "some words", None, "x", 10), (2, None, None, "x", 0)])
     assert corpus_pipeline.known_language(spark, docs, SF_DIR).count() == 2
+
+
+def test_stages_take_rows_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        corpus_pipeline.ready(spark)
+        assert int(spark.conf.get(setting)) == ROWS_AT_ONCE
+    finally:
+        spark.conf.set(setting, before)
