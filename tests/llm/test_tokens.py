@@ -246,3 +246,32 @@ def test_texts_encoded_together_keep_their_ids():
         want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
         ids, sizes = encoder._encode(some)
         assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_store_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr("titlesieve.llm.idstore.MOST_PIECES", 10)
+    asked = []
+
+    def encode(texts):
+        asked.extend(texts)
+        return [[ord(c) for c in t] for t in texts]
+
+    store = IdStore(encode)
+    for first in range(3, 60, 6):
+        texts = ["the", "of", *[f"rare{i}" for i in range(first, first + 6)]]
+        places = store.find(np.array([0, 1, *range(first, first + 6)], np.uint64), texts.__getitem__)
+        ids, sizes = store.ids(places)
+        assert bytes(ids.tolist()).decode() == "".join(texts) and sizes.tolist() == list(map(len, texts))
+    assert asked.count("the") == asked.count("of") == 1
+
+
+def test_rows_of_a_layout_are_sampled_in_parts(segmenter, monkeypatch):
+    texts = random_texts(3, 200)
+    (layout,) = [layout for _, _, layout in layouts(segmenter, texts)]
+    keys = np.arange(len(texts))
+    whole = segmenter.sample(layout, keys, 2)
+    monkeypatch.setattr(sps, "WALKED_WORDS", 7)
+    parts = segmenter.sample(layout, keys, 2)
+    assert [[(s.ids.tolist(), *s[1:]) for s in row] for row in parts] == [
+        [(s.ids.tolist(), *s[1:]) for s in row] for row in whole
+    ]

@@ -40,6 +40,7 @@ class IdStore:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.again = np.zeros(0, bool)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -61,7 +62,7 @@ class IdStore:
         place is -1 where another text of the same hash is remembered.
         """
         if len(self.keys) > (self.most or MOST_PIECES) or self.raw_used > MOST_BYTES:
-            self.clear()
+            self._forget()
         place = np.searchsorted(self.keys, hashes)
         known = np.zeros(len(hashes), bool)
         inside = place < len(self.keys)
@@ -76,6 +77,7 @@ class IdStore:
         same = self.raw_size[place[old]] == size
         same[same] = equal_spans(data, begin[old][same], self.raw, at[same], size[same])
         other[old[~same]] = True
+        self.again[place[old]] = True
         if len(new):
             sizes = []
             for first in range(0, len(new), AT_ONCE):
@@ -92,12 +94,26 @@ class IdStore:
             where = place[new]
             self._remember(data, begin[new], end[new], where)
             self.keys = np.insert(self.keys, where, hashes[new])
+            self.again = np.insert(self.again, where, False)
             self.at = np.insert(self.at, where, at)
             self.size = np.insert(self.size, where, size)
             place = np.searchsorted(self.keys, hashes)
         place[other] = -1
         return place
 
+    def _forget(self) -> None:
+        """Keep the pieces that were looked up again since the last time, if they are few."""
+        some = np.flatnonzero(self.again)
+        keys, size, raw_size = self.keys[some], self.size[some], self.raw_size[some]
+        few = 2 * len(some) <= (self.most or MOST_PIECES) and 2 * int(raw_size.sum()) <= MOST_BYTES
+        flat, raw = self.flat[ragged(self.at[some], size)], self.raw[ragged(self.raw_at[some], raw_size)]
+        self.clear()
+        if few and len(some):
+            self.keys, self.size, self.raw_size = keys, size, raw_size
+            self.again = np.zeros(len(some), bool)
+            self.at, self.raw_at = np.cumsum(size) - size, np.cumsum(raw_size) - raw_size
+            self.flat, self.used, self.raw, self.raw_used = flat, len(flat), raw, len(raw)
+
     @staticmethod
     def _spelt(spell: Callable[[int], str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = [spell(i).encode() for i in range(n)]

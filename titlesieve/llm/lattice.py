@@ -88,16 +88,17 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 class Lattice:
-    """Edges of the lattices of ``words``, one row per node and one column per piece length.
+    """Edges of the lattices of ``words``, each with a mark before it, one row per node and one column per piece length.
 
     Nodes are numbered through all words, one per character and one for the end of each.
-    An edge is node * width + (characters of its piece - 1). Tokens from ``vocabulary.size``
+    Rows are as long as the rest of the word, or the longest piece; those of one length of
+    rest lie together. An edge is its place in the rows. Tokens from ``vocabulary.size``
     on stand for spelt characters.
     """
 
     def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        points = _points("".join(words))
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        points = _points(MARK.join(["", *words]).replace(" ", MARK))
         sums = _sums(points)
         stop = np.cumsum(length)
         word = np.repeat(np.arange(len(words)), length)
@@ -112,14 +113,24 @@ class Lattice:
             alive, at = alive[at >= 0], at[at >= 0]
             if not len(alive) and size > 1:
                 break
-            found.append((node[alive], vocabulary.ids[at]))
+            found.append((alive, vocabulary.ids[at]))
         self.width = width = len(found)
-        self.token = np.full((nodes, width), -1, np.int32)
+        order = np.argsort(np.minimum(left, 65535).astype(np.uint16), kind="stable")
+        if len(left) and left.max() > 65535:
+            order = np.argsort(left, kind="stable")
+        columns = np.minimum(left[order], width)
+        ends = np.cumsum(columns)
+        begin = np.zeros(len(points), np.int64)
+        begin[order] = ends - columns
+        edges = int(ends[-1]) if len(ends) else 0
+        self.begin = np.full(nodes, edges, np.int64)
+        self.begin[node] = begin
+        self.token = np.full(edges, -1, np.int32)
         for column, (at, token) in enumerate(found):
-            self.token[at, column] = token
-        spelt = np.flatnonzero(self.token[node, 0] < 0)
+            self.token[begin[at] + column] = token
+        spelt = np.flatnonzero(self.token[begin] < 0)
         letters, letter = np.unique(points[spelt], return_inverse=True)
-        self.token[node[spelt], 0] = vocabulary.size + letter
+        self.token[begin[spelt]] = vocabulary.size + letter
         spelling = [
             vocabulary.byte_ids[list(chr(p).encode("utf-8", "surrogatepass"))] for p in letters
         ]
@@ -131,41 +142,52 @@ class Lattice:
         self.weight = np.concatenate([vocabulary.log_weight, spelt_weight, [-np.inf]])
         # Log of the total weight from each node to the end of its word, from the ends.
         self.total = np.zeros(nodes)
-        self.upto = np.full((nodes, width), 2.0, np.float32)
-        order = np.argsort(np.minimum(left, 65535).astype(np.uint16), kind="stable")
-        if len(left) and left.max() > 65535:
-            order = np.argsort(left, kind="stable")
+        # Rows are read ``width`` numbers long; each ends in a 2, so what follows is not used.
+        self.upto = np.full(edges + width, 2.0, np.float32)
+        self.node = np.zeros(edges, np.int32)
         cuts = np.flatnonzero(np.diff(left[order], prepend=0))
         for a, b in zip(cuts, np.append(cuts[1:], len(order))):
             at = node[order[a:b]]
-            reach = np.arange(1, min(int(left[order[a]]), width) + 1)
-            token = self.token[at[:, None], reach - 1] if len(reach) < width else self.token[at]
+            reach = np.arange(1, columns[a] + 1)
+            part = slice(ends[a] - columns[a], ends[b - 1])
             # In double precision: the only edge of a node must have probability 1 exactly.
-            values = self.weight[token] + self.total[at[:, None] + reach]
+            values = self.weight.take(self.token[part]).reshape(len(at), -1)
+            values += self.total.take(at[:, None] + reach)
             most = values.max(axis=1, keepdims=True)
-            share = np.exp(values - most)
+            values -= most
+            share = np.exp(values, out=values)
             summed = share.sum(axis=1, keepdims=True)
             self.total[at] = (most + np.log(summed))[:, 0]
-            upto = share.cumsum(axis=1) / summed
+            upto = share.cumsum(axis=1)
+            upto /= summed
             # From the last piece on, nothing may fall through by rounding.
-            upto[upto >= upto[:, -1:]] = 2.0
-            self.upto[at[:, None], reach - 1] = upto
+            np.putmask(upto, upto >= upto[:, -1:], 2.0)
+            self.upto[part] = upto.ravel()
+            self.node[part] = np.repeat(at, columns[a])
+        self.rows = np.lib.stride_tricks.sliding_window_view(self.upto, max(width, 1))
         self.is_end = np.zeros(nodes, bool)
         self.is_end[self.first_node + length] = True
 
     def node_of(self, edges: np.ndarray) -> np.ndarray:
-        return edges // self.width
+        return self.node.take(edges).astype(np.int64)
 
     def after(self, edges: np.ndarray) -> np.ndarray:
-        return edges // self.width + edges % self.width + 1
+        node = self.node_of(edges)
+        return node + edges - self.begin.take(node) + 1
 
     def log_p(self, edges: np.ndarray) -> np.ndarray:
         """Log-probability of each edge at its node."""
-        weight = self.weight[self.token.ravel()[edges]]
-        return np.minimum(weight + self.total[self.after(edges)] - self.total[self.node_of(edges)], 0)
+        node = self.node_of(edges)
+        after = node + edges - self.begin.take(node) + 1
+        log_p = self.weight.take(self.token.take(edges))
+        log_p += self.total.take(after)
+        log_p -= self.total.take(node)
+        return np.minimum(log_p, 0, out=log_p)
 
     def edges_of(self, node: int) -> np.ndarray:
-        return node * self.width + np.flatnonzero(self.token[node] >= 0)
+        first = self.begin[node]
+        own = np.arange(first, min(first + self.width, len(self.token)))
+        return own[(self.node[own] == node) & (self.token[own] >= 0)]
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one sampled path from each node to the end of its word; path lengths."""
@@ -174,11 +196,12 @@ class Lattice:
         at, seed = nodes[active], seeds[active]
         while len(active):
             u = uniform(seed, len(steps)).astype(np.float32)
-            column = (self.upto[at] <= u[:, None]).sum(axis=1)
-            steps.append((active, at * self.width + column))
+            begin = self.begin.take(at)
+            column = (self.rows[begin] > u[:, None]).argmax(axis=1)
+            steps.append((active, begin + column))
             at = at + column + 1
-            going = ~self.is_end[at]
-            active, at, seed = active[going], at[going], seed[going]
+            going = np.flatnonzero(~self.is_end.take(at))
+            active, at, seed = active.take(going), at.take(going), seed.take(going)
         counts = np.zeros(len(nodes), np.int64)
         for k, (paths, _) in enumerate(steps):
             counts[paths] = k + 1
@@ -190,6 +213,6 @@ class Lattice:
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and the number of ids of each edge."""
-        token = self.token.ravel()[edges]
+        token = self.token[edges]
         sizes = self.n_ids[token]
         return self.ids_of[ragged(self.ids_at[token], sizes)], sizes

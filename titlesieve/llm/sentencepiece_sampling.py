@@ -29,8 +29,11 @@ SAMPLES = 2
 ALPHA = 1.0
 #: See Segmenter.sample.
 REACH = 90.0
-#: Bytes of text laid out at a time.
-LAYOUT_BYTES = 1 << 20
+#: Bytes of text laid out at a time: the more, the fewer words come again in the next layout.
+#: ``segment`` shares an executor with what the stages before it left there.
+LAYOUT_BYTES, SEGMENT_BYTES = 1 << 21, 1 << 19
+#: Words of text that are sampled at a time, whole rows of them.
+WALKED_WORDS = 100_000
 #: Words whose ids a worker remembers; its lattices need the memory more.
 MOST_WORDS = 100_000
 
@@ -58,6 +61,8 @@ class Segmenter:
     def __init__(self, model: bytes, alpha: float = ALPHA) -> None:
         from sentencepiece import SentencePieceProcessor
 
+        # Once an array of this size was freed, the C library keeps smaller ones for the next.
+        np.empty((32 << 20) - 8_192, np.uint8)
         self.processor = SentencePieceProcessor(model_proto=model)
         self.vocabulary = Vocabulary(self.processor, alpha)
         self.store = IdStore(self._encode, MOST_WORDS)
@@ -95,7 +100,13 @@ class Segmenter:
         inner[begins] = False
         key = start + inner[start]
         hashes = span_hash(textscan.prefix_hash(textscan._BYTES[data]), key, stop)
-        hashes, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        hashes = hashes.take(order)
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        word = np.empty(len(order), np.int64)
+        word[order] = np.cumsum(new) - 1
+        first, hashes = order[new], hashes[new]
         raw = data.tobytes()
         words = [
             raw[a:b].decode("utf-8", "replace")
@@ -131,8 +142,14 @@ class Segmenter:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """UTF-8 of each row of ids: the pieces one after the other without the first space."""
-        flat = self.piece_bytes[ragged(self.piece_at[ids], self.piece_size[ids])].tobytes()
-        ends = np.concatenate([[0], np.cumsum(self.piece_size[ids])])[bounds].tolist()
+        size = self.piece_size[ids]
+        after = np.cumsum(size)
+        total = int(after[-1]) if len(after) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        where = np.repeat((self.piece_at[ids] - after + size).astype(kind), size)
+        where += np.arange(total, dtype=kind)
+        flat = self.piece_bytes[where].tobytes()
+        ends = np.concatenate([[0], after])[bounds].tolist()
         return [flat[a:b][1:] if flat[a : a + 1] == b" " else flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def sample(
@@ -142,10 +159,22 @@ class Segmenter:
 
         Places less likely to be reached than exp(-reach) get no bound at first: it is at
         most 38 above its location, so while all chosen bounds are larger it is not needed.
-        Where one is not, the slice is done again with all bounds.
+        Where one is not, its rows are done again with all bounds.
         """
-        word, bounds = layout.word, layout.bounds
-        lattice = Lattice([MARK + w.replace(" ", MARK) for w in layout.words], self.vocabulary)
+        lattice = Lattice(layout.words, self.vocabulary)
+        out, first, bounds = [], 0, layout.bounds
+        while first < len(keys):
+            after = int(np.searchsorted(bounds, bounds[first] + WALKED_WORDS, "right")) - 1
+            after = min(max(after, first + 1), len(keys))
+            word = layout.word[bounds[first] : bounds[after]]
+            some = bounds[first : after + 1] - bounds[first]
+            out += self._sample(lattice, word, some, keys[first:after], k, reach)
+            first = after
+        return out
+
+    def _sample(
+        self, lattice: Lattice, word: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int, reach: float
+    ) -> list[list[Sample]]:
         row_seed = mix(keys.astype(np.int64).view(np.uint64))
         row = np.repeat(np.arange(len(keys)), np.diff(bounds))
         place = np.arange(len(word)) - bounds[row]
@@ -193,7 +222,7 @@ class Segmenter:
                 rests[a : a + t + 1] = -np.inf
                 searches[r].add(path, rests[a:b], bound, log_prob)
         if any(search.needs(reach) for search in searches):
-            return self.sample(layout, keys, k, np.inf)
+            return self._sample(lattice, word, bounds, keys, k, np.inf)
         return _samples(lattice, searches)
 
 
@@ -291,7 +320,8 @@ class _Search:
         node = int(lattice.node_of(own[t]))
         taken = self.taken.setdefault((path, t), [int(own[t])])
         free = lattice.edges_of(node)
-        free = free[~np.isin(free, taken)]
+        for one in taken:
+            free = free[free != one]
         share = np.exp(lattice.log_p(free))
         edge = int(free[min(np.searchsorted(share.cumsum(), u[0] * share.sum(), "right"), len(free) - 1)])
         taken.append(edge)
@@ -394,7 +424,7 @@ def _segment(docs: DataFrame, model: bytes, k: int, alpha: float, seed: int) ->
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         keys, coded, drawn = batch.column(key).to_numpy(), [], []
-        for first, after, data, offsets in text_slices(batch.column(at), LAYOUT_BYTES):
+        for first, after, data, offsets in text_slices(batch.column(at), SEGMENT_BYTES):
             layout = get().layout(*marks_as_spaces(data, offsets))
             ids, counts = get().encode(layout)
             coded.append(_lists(counts, pa.array(ids.astype(np.int32))))
