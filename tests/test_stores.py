@@ -174,6 +174,29 @@ def test_open_papers_are_judged_again_and_verdicts_stay(frame, tmp_path):
     assert rows == {i: "keep" if i % 3 == 0 else "reject" for i in range(40)} | {-7: "reject"}
 
 
+def test_small_batches_share_folders(frame, tmp_path):
+    """Folders are as many as jobs; one whose job did not commit does not count."""
+    papers, store = frame("row_id long, t string", [(i, "t") for i in IDS]), tmp_path / "store"
+    assert run_ranked_batches(papers, judge, str(store), 2, jobs=5) == 115
+    folders = sorted(store.glob("run=*/*"))
+    assert len(folders) == 5
+    (folders[1] / "_SUCCESS").unlink()
+    assert read_verdicts(papers, str(store)).count() == 230 - 2 * 23
+    assert run_ranked_batches(papers, judge, str(store), 2, jobs=5) == 23
+    rows = {r.row_id: r.nlp_decision for r in read_verdicts(papers, str(store)).collect()}
+    assert rows == {i: {0: "keep", 1: "reject"}.get(i % 3) for i in IDS}
+
+
+def test_a_store_with_a_folder_for_each_batch_is_gone_on_with(frame, tmp_path):
+    papers, store = frame("row_id long, t string", [(i, "t") for i in IDS]), str(tmp_path / "store")
+    old = with_batches(judge(papers), 10).where("batch < 7")
+    old.write.partitionBy("batch").parquet(f"{store}/run=0")
+    assert run_ranked_batches(papers, judge, store, 10) == 16
+    rows = read_verdicts(papers, store).collect()
+    assert len(rows) == 230 and all(r.nlp_decision for r in rows)
+    assert run_ranked_batches(papers, judge, store, 10) == 0
+
+
 def test_batches_have_equal_sizes(frame, spark, tmp_path):
     df = frame("row_id long, nlp_decision string", [(i, ["keep", "reject", None][k % 3]) for k, i in enumerate(IDS)])
     rows = {r.batch: (r.rows, r.decided, r.keep, r.reject) for r in ranked_progress(df, 50).collect()}

@@ -19,6 +19,12 @@ def names(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(found.getPath().getName() for found in system.globStatus(path) or ())
 
 
+def holders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that hold the files and folders that match a path pattern."""
+    path, system = _file_system(spark, pattern)
+    return sorted({str(found.getPath().getParent()) for found in system.globStatus(path) or ()})
+
+
 def publish(spark: SparkSession, folder: str, version: int) -> None:
     """Make ``version`` the current one of ``folder``, once all that it names is written.
 
