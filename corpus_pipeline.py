@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlesieve.llm import language_id, sentencepiece_sampling
-from titlesieve.llm.batches import ROWS_AT_ONCE
+from titlesieve.llm.batches import BYTES_AT_ONCE, ROWS_AT_ONCE
 from titlesieve.llm.decontamination import decontaminate
 from titlesieve.llm.minhash import drop_near_duplicates
 from titlesieve.llm.registry import ship, table
@@ -24,6 +24,7 @@ def ready(spark: SparkSession) -> None:
     """Stages share executors: rows reach Python workers in as small batches as they are used in."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """The pipeline, each stage against brute force on what it was given."""
 
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute_near, brute_removal
 from tests.llm.test_native import brute_contamination
-from titlesieve.llm.batches import ROWS_AT_ONCE
+from titlesieve.llm.batches import BYTES_AT_ONCE, ROWS_AT_ONCE, give_back, map_batches
 from titlesieve.sources.storage import materialise
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -108,3 +111,34 @@ def test_stages_take_rows_in_small_batches(spark):
         assert int(spark.conf.get(setting)) == ROWS_AT_ONCE
     finally:
         spark.conf.set(setting, before)
+
+
+def test_stages_take_few_bytes_of_text_at_a_time(spark):
+    settings = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(setting) for setting in settings]
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], ["n"])
+
+    try:
+        corpus_pipeline.ready(spark)
+        rows = spark.range(0, 600, 1, 1).selectExpr("id", "repeat('0123456789', 400) AS text")
+        seen = [r.n for r in map_batches(rows, sizes, "n long").collect()]
+    finally:
+        for setting, value in zip(settings, before):
+            spark.conf.set(setting, value)
+    assert sum(seen) == 600 and max(seen) * 4_000 <= 2 * BYTES_AT_ONCE
+
+
+@pytest.mark.skipif(not Path("/proc/self/statm").exists(), reason="memory is read from /proc")
+def test_freed_memory_is_given_back():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4_096
+
+    some = [b"x" * (4_000 + i % 2) for i in range(20_000)]
+    held = some[::200]  # what stays keeps the heap from shrinking from its end
+    full = resident()
+    del some
+    give_back()
+    assert len(held) == 100 and full - resident() > 40_000_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +12,30 @@ from pyspark.sql import types as T
 from titlesieve.functions.names import column
 
 
-#: Rows that are computed and handed on at a time.
-ROWS_AT_ONCE = 1_024
+#: Rows that are computed and handed on at a time, and bytes of them where stages share executors.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_024, 1 << 19
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow and the C library keep for later use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; a worker that waits for its next task holds no freed memory."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def add_columns(
@@ -38,7 +61,7 @@ def add_columns(
                 arrays = [batch.column(i) for i in positions] + compute(batch)
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(*map(column, df.columns)).mapInArrow(run, schema)
+    return map_batches(df.select(*map(column, df.columns)), run, schema)
 
 
 def apart(

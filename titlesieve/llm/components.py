@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titlesieve.llm.batches import map_batches
 from titlesieve.sources.storage import materialise
 
 #: Rounds after which something must be wrong: components halve in depth in each.
@@ -54,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
     stored under the checkpoint folder. Nothing but one count per round is collected.
     """
     pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    current = materialise(pairs.mapInArrow(_forests, _FOREST), "links")
+    current = materialise(pairs.transform(map_batches, _forests, _FOREST), "links")
     for _ in range(MOST_ROUNDS):
         large = _star(current, larger=True)
         # Small star: each node and its smaller neighbours all point at the smallest.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlesieve.llm.batches import add_columns
+from titlesieve.llm.batches import add_columns, map_batches
 from titlesieve.llm.textscan import LOWER, text_slices
 
 UNDETERMINED = "und"
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS) -> Languag
     counts = (
         labelled.where(drawn)
         .select("lang", "text")
-        .mapInArrow(_count, "lang string, bucket int, n long")
+        .transform(map_batches, _count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()

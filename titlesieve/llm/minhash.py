@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titlesieve.llm.batches import add_columns, apart, kept
+from titlesieve.llm.batches import add_columns, apart, kept, map_batches
 from titlesieve.llm.components import components
 from titlesieve.llm.lookup import rows_of
 from titlesieve.llm.textscan import (
@@ -223,7 +223,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").alias("first_id"), "text"), wanted.select("first_id"), "first_id"
     )
     sets = (
-        texts.mapInArrow(_shingles, "first_id long, d1 long, d2 long, shingles binary")
+        texts.transform(map_batches, _shingles, "first_id long, d1 long, d2 long, shingles binary")
         .join(wanted, ["first_id", "d1", "d2"])
         .dropDuplicates(["rep"])
         .select("rep", "shingles")
@@ -236,7 +236,7 @@ def _verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y")
-    return materialise(joined.mapInArrow(_similar, "a long, b long"), "verified")
+    return materialise(joined.transform(map_batches, _similar, "a long, b long"), "verified")
 
 
 def _equal_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,8 @@ def _near(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` with the digests d1 and d2 of each row's set."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(
-        ids.mapInArrow(
+        ids.transform(
+            map_batches,
             _sign,
             "doc_id long, n_shingles long, d1 long, d2 long, slots binary, bands array<long>",
         ),
@@ -355,7 +356,7 @@ def _near(docs: DataFrame) -> DataFrame:
 
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         with_slots = pairs.join(slots.toDF("a", "x"), "a").join(slots.toDF("b", "y"), "b")
-        near = with_slots.select("a", "b", "x", "y").mapInArrow(_equal_slots, "a long, b long")
+        near = with_slots.select("a", "b", "x", "y").transform(map_batches, _equal_slots, "a long, b long")
         return materialise(near, label)
 
     sets = _sets_of(ids, classes, members.select("rep").distinct())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titlesieve.functions.names import column
-from titlesieve.llm.batches import add_columns, apart
+from titlesieve.llm.batches import add_columns, apart, map_batches
 from titlesieve.llm.lookup import BROADCAST_IDS, rows_of
 from titlesieve.llm.textscan import (
     Words,
@@ -238,7 +238,8 @@ def _all_as_source(ids: DataFrame, spans: DataFrame, window: int) -> bool:
         "compared-places",
     )
     digests = materialise(
-        _with(ids, wanted, "places").select("doc_id", "text", "places").mapInArrow(
+        _with(ids, wanted, "places").select("doc_id", "text", "places").transform(
+            map_batches,
             _span_digests(window), "doc_id long, at int, size int, digest binary"
         ),
         "span-digests",
@@ -337,7 +338,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text"
     )
     summary = materialise(
-        ids.mapInArrow(
+        ids.transform(
+            map_batches,
             _summarise(window),
             "doc_id long, n_words long, whole_sha256 string,"
             " grams array<long>, own_grams array<long>",
@@ -382,7 +384,8 @@ def _compacted(
     found = (
         _with(ids, wanted, "grams")
         .select("doc_id", "text", "grams")
-        .mapInArrow(
+        .transform(
+            map_batches,
             _find_edges(window, exact), f"edge {kind}, check int, doc_id long, at int, size int"
         )
     )
@@ -494,7 +497,8 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     changed = (
         _with(repeats.docs, per_doc, "spans")
         .select("doc_id", "text", "spans")
-        .mapInArrow(
+        .transform(
+            map_batches,
             _digest_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"
         )
     )
