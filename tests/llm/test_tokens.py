@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from titlesieve.llm import sentencepiece_sampling as sps
 from titlesieve.llm import token_output
 from titlesieve.llm.idstore import IdStore
+from titlesieve.llm.lattice import Lattice
 from titlesieve.llm.textscan import text_slices
 from titlesieve.llm.wavelet import WaveletFile, pack
 
@@ -175,6 +176,29 @@ def test_bounds_left_out_do_not_change_samples(segmenter):
         assert [(s.ids.tolist(), s.perturbed) for s in x] == [(s.ids.tolist(), s.perturbed) for s in y]
 
 
+def test_a_word_has_the_same_numbers_beside_wider_ones(segmenter):
+    words = ["andhaheer", "Dieerstpfch", "anderntwher", "beiesch", "", " ", "日本"]
+    for word in words:
+        numbers = []
+        for beside in ([], ["ancellationToken"], ["ancellationToken" * 3, "a"]):
+            lattice = Lattice([*beside, word], segmenter.vocabulary)
+            edges = lattice.edges_of(int(lattice.first_node[-1]))
+            numbers.append((lattice.ids(edges)[0].tolist(), lattice.log_p(edges).tolist()))
+        assert numbers[0] == numbers[1] == numbers[2]
+
+
+def test_many_rows_are_sampled_like_one(segmenter):
+    texts = random_texts(5, 700)
+    for first, after, layout in layouts(segmenter, texts):
+        together = segmenter.sample(layout, np.arange(first, after), 2)
+        for i in range(first, after, 7):
+            (_, _, alone), = layouts(segmenter, [texts[i]])
+            one, = segmenter.sample(alone, np.array([i]), 2)
+            assert [(s.ids.tolist(), *s[1:]) for s in one] == [
+                (s.ids.tolist(), *s[1:]) for s in together[i - first]
+            ]
+
+
 def test_segmentations_in_spark(frame):
     texts = [None, "", "plain words here", "plain words here", "▁marks ▁", "long " * 20_000, "a"]
     docs = frame(DOCS, [(i, t, "x", "x") for i, t in enumerate(texts)] + [(None, "no id", "x", "x")])

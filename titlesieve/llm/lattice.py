@@ -7,6 +7,8 @@ piece at every place given what is left of the word, and texts are walks over th
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 from titlesieve.llm.textscan import mix, prefix_hash, ragged, span_hash
@@ -14,6 +16,8 @@ from titlesieve.llm.textscan import mix, prefix_hash, ragged, span_hash
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET_BITS = 18
+#: Rows that are not worth a search by halving.
+_FEW = 256
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
@@ -90,129 +94,159 @@ def word_hashes(words: list[str]) -> np.ndarray:
 class Lattice:
     """Edges of the lattices of ``words``, each with a mark before it, one row per node and one column per piece length.
 
-    Nodes are numbered through all words, one per character and one for the end of each.
-    Rows are as long as the rest of the word, or the longest piece; those of one length of
-    rest lie together. An edge is its place in the rows. Tokens from ``vocabulary.size``
-    on stand for spelt characters.
+    Words stand in order of falling length, so the nodes that are as far from the end of
+    their word are those of the first words, and what is added up of one distance are
+    slices of others. A node is that distance, shifted, and the place of its word; a
+    distance of 0 is the end of the word. Rows are as long as the distance, or the longest
+    piece; those of one distance lie together. An edge is its place in the rows. Tokens
+    from ``vocabulary.size`` on stand for spelt characters.
     """
 
     def __init__(self, words: list[str], vocabulary: Vocabulary) -> None:
         length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        points = _points(MARK.join(["", *words]).replace(" ", MARK))
+        order = np.argsort(-length, kind="stable")
+        self.shift = len(words).bit_length()
+        self.first_node = length << self.shift
+        self.first_node[order] |= np.arange(len(words))
+        length = length[order]
+        points = _points(MARK.join(["", *map(words.__getitem__, order.tolist())]).replace(" ", MARK))
         sums = _sums(points)
         stop = np.cumsum(length)
         word = np.repeat(np.arange(len(words)), length)
         left = stop[word] - np.arange(len(points))
-        node = np.arange(len(points)) + word
-        self.first_node = stop - length + np.arange(len(words))
-        nodes = len(points) + len(words)
         alive, found = np.arange(len(points)), []
         for size in range(1, vocabulary.longest + 1):
-            alive = alive[left[alive] >= size]
             at = vocabulary.find(span_hash(sums, alive, alive + size))
-            alive, at = alive[at >= 0], at[at >= 0]
+            known = np.flatnonzero(at >= 0)
+            alive, at = alive.take(known), at.take(known)
             if not len(alive) and size > 1:
                 break
-            found.append((alive, vocabulary.ids[at]))
-        self.width = width = len(found)
-        order = np.argsort(np.minimum(left, 65535).astype(np.uint16), kind="stable")
-        if len(left) and left.max() > 65535:
-            order = np.argsort(left, kind="stable")
-        columns = np.minimum(left[order], width)
-        ends = np.cumsum(columns)
-        begin = np.zeros(len(points), np.int64)
-        begin[order] = ends - columns
-        edges = int(ends[-1]) if len(ends) else 0
-        self.begin = np.full(nodes, edges, np.int64)
-        self.begin[node] = begin
+            found.append((alive, vocabulary.ids.take(at)))
+            alive = alive.take(np.flatnonzero(left.take(alive) > size))
+        width = len(found)
+        # Of each distance: nodes, columns, and the first edge.
+        nodes = np.bincount(length, minlength=1)[::-1].cumsum()[::-1]
+        self.columns = np.minimum(np.arange(len(nodes)), width)
+        ends = np.cumsum(nodes * self.columns)
+        self.begin = ends - nodes * self.columns
+        edges = int(ends[-1])
+        begin = self.begin.take(left) + word * self.columns.take(left)
         self.token = np.full(edges, -1, np.int32)
         for column, (at, token) in enumerate(found):
-            self.token[begin[at] + column] = token
-        spelt = np.flatnonzero(self.token[begin] < 0)
+            self.token[begin.take(at) + column] = token
+        spelt = np.flatnonzero(self.token.take(begin) < 0)
         letters, letter = np.unique(points[spelt], return_inverse=True)
         self.token[begin[spelt]] = vocabulary.size + letter
         spelling = [
             vocabulary.byte_ids[list(chr(p).encode("utf-8", "surrogatepass"))] for p in letters
         ]
-        # Ids of each token, and its log weight; no token is the last of the weights.
-        self.ids_of = np.concatenate([np.arange(vocabulary.size), *spelling]).astype(np.int64)
-        self.n_ids = np.array([1] * vocabulary.size + [len(s) for s in spelling])
-        self.ids_at = np.cumsum(self.n_ids) - self.n_ids
+        # Ids of each spelt character, and log weights; no token is the last of the weights.
+        self.size = vocabulary.size
+        self.spelt_ids = np.concatenate([np.zeros(0, np.int64), *spelling]).astype(np.int64)
+        self.n_spelt = np.array([len(s) for s in spelling], np.int64)
+        self.spelt_at = np.cumsum(self.n_spelt) - self.n_spelt
         spelt_weight = [vocabulary.byte_weight * len(s) for s in spelling]
-        self.weight = np.concatenate([vocabulary.log_weight, spelt_weight, [-np.inf]])
-        # Log of the total weight from each node to the end of its word, from the ends.
-        self.total = np.zeros(nodes)
-        # Rows are read ``width`` numbers long; each ends in a 2, so what follows is not used.
-        self.upto = np.full(edges + width, 2.0, np.float32)
-        self.node = np.zeros(edges, np.int32)
-        cuts = np.flatnonzero(np.diff(left[order], prepend=0))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-            at = node[order[a:b]]
-            reach = np.arange(1, columns[a] + 1)
-            part = slice(ends[a] - columns[a], ends[b - 1])
+        weight = np.concatenate([vocabulary.log_weight, spelt_weight, [-np.inf]])
+        self.upto = np.empty(edges, np.float32)
+        self.edge_log_p = np.empty(edges)
+        # Logs of the total weight from nodes to the end of their word, the nearest distance first.
+        totals = deque([np.zeros(len(words))], max(width, 1))
+        for n, columns, first in zip(nodes[1:].tolist(), self.columns[1:].tolist(), self.begin[1:].tolist()):
+            part = slice(first, first + n * columns)
             # In double precision: the only edge of a node must have probability 1 exactly.
-            values = self.weight.take(self.token[part]).reshape(len(at), -1)
-            values += self.total.take(at[:, None] + reach)
-            most = values.max(axis=1, keepdims=True)
-            values -= most
-            share = np.exp(values, out=values)
-            summed = share.sum(axis=1, keepdims=True)
-            self.total[at] = (most + np.log(summed))[:, 0]
-            upto = share.cumsum(axis=1)
+            values = weight.take(self.token[part].reshape(n, columns).T)
+            for value, total in zip(values, totals):
+                value += total[:n]
+            most = values.max(axis=0)
+            share = values - most
+            np.exp(share, out=share)
+            upto = share.cumsum(axis=0, out=share)
+            summed = upto[-1].copy()
+            total = most + np.log(summed)
+            totals.appendleft(total)
             upto /= summed
             # From the last piece on, nothing may fall through by rounding.
-            np.putmask(upto, upto >= upto[:, -1:], 2.0)
-            self.upto[part] = upto.ravel()
-            self.node[part] = np.repeat(at, columns[a])
-        self.rows = np.lib.stride_tricks.sliding_window_view(self.upto, max(width, 1))
-        self.is_end = np.zeros(nodes, bool)
-        self.is_end[self.first_node + length] = True
+            np.putmask(upto, upto >= 1.0, 2.0)
+            values -= total
+            self.upto[part].reshape(n, columns)[...] = upto.T
+            self.edge_log_p[part].reshape(n, columns)[...] = np.minimum(values, 0, out=values).T
+        # All columns, and the steps that find one by halving.
+        self.span = np.arange(max(width, 1))
+        self.steps = [1 << k for k in reversed(range(max(width - 1, 0).bit_length()))]
+
+    def _places(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distance, word and column of edges."""
+        left = np.searchsorted(self.begin, edges, "right") - 1
+        word, column = np.divmod(edges - self.begin.take(left), self.columns.take(left))
+        return left, word, column
 
     def node_of(self, edges: np.ndarray) -> np.ndarray:
-        return self.node.take(edges).astype(np.int64)
+        left, word, _ = self._places(edges)
+        return (left << self.shift) + word
 
     def after(self, edges: np.ndarray) -> np.ndarray:
-        node = self.node_of(edges)
-        return node + edges - self.begin.take(node) + 1
+        left, word, column = self._places(edges)
+        return ((left - column - 1) << self.shift) + word
+
+    def is_end(self, nodes: np.ndarray) -> np.ndarray:
+        return nodes >> self.shift == 0
 
     def log_p(self, edges: np.ndarray) -> np.ndarray:
         """Log-probability of each edge at its node."""
-        node = self.node_of(edges)
-        after = node + edges - self.begin.take(node) + 1
-        log_p = self.weight.take(self.token.take(edges))
-        log_p += self.total.take(after)
-        log_p -= self.total.take(node)
-        return np.minimum(log_p, 0, out=log_p)
+        return self.edge_log_p.take(edges)
 
     def edges_of(self, node: int) -> np.ndarray:
-        first = self.begin[node]
-        own = np.arange(first, min(first + self.width, len(self.token)))
-        return own[(self.node[own] == node) & (self.token[own] >= 0)]
+        left, word = node >> self.shift, node & ((1 << self.shift) - 1)
+        own = np.arange(self.columns[left]) + self.begin[left] + word * self.columns[left]
+        return own[self.token[own] >= 0]
+
+    def _first_above(self, u: np.ndarray, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The first edge of each row begin..last whose share, with those before it, is above u."""
+        if len(u) < _FEW:
+            places = np.minimum(begin[:, None] + self.span, last[:, None])
+            return begin + (self.upto.take(places) > u[:, None]).argmax(axis=1)
+        edge = begin.copy()
+        for step in self.steps:
+            probe = edge + (step - 1)
+            np.minimum(probe, last, out=probe)
+            edge += (self.upto.take(probe) <= u) * step
+        return edge
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one sampled path from each node to the end of its word; path lengths."""
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        active = np.flatnonzero(~self.is_end[nodes])
-        at, seed = nodes[active], seeds[active]
+        counts = np.zeros(len(nodes), np.int64)
+        active = np.flatnonzero(~self.is_end(nodes))
+        left, seed = nodes.take(active), seeds.take(active)
+        word = left & ((1 << self.shift) - 1)
+        left >>= self.shift
         while len(active):
             u = uniform(seed, len(steps)).astype(np.float32)
-            begin = self.begin.take(at)
-            column = (self.rows[begin] > u[:, None]).argmax(axis=1)
-            steps.append((active, begin + column))
-            at = at + column + 1
-            going = np.flatnonzero(~self.is_end.take(at))
-            active, at, seed = active.take(going), at.take(going), seed.take(going)
-        counts = np.zeros(len(nodes), np.int64)
-        for k, (paths, _) in enumerate(steps):
-            counts[paths] = k + 1
+            columns = self.columns.take(left)
+            begin = word * columns
+            begin += self.begin.take(left)
+            edge = self._first_above(u, begin, begin + columns - 1)
+            steps.append((active, edge))
+            left = left - (edge - begin) - 1
+            going = np.flatnonzero(left)
+            if len(going) < len(active):
+                counts[active] = len(steps)
+                active, word, left, seed = (x.take(going) for x in (active, word, left, seed))
         begins = np.cumsum(counts) - counts
         edges = np.zeros(int(counts.sum()), np.int64)
         for k, (paths, edge) in enumerate(steps):
-            edges[begins[paths] + k] = edge
+            edges[begins.take(paths) + k] = edge
         return edges, counts
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and the number of ids of each edge."""
-        token = self.token[edges]
-        sizes = self.n_ids[token]
-        return self.ids_of[ragged(self.ids_at[token], sizes)], sizes
+        ids = self.token.take(edges).astype(np.int64)
+        sizes = np.ones(len(ids), np.int64)
+        spelt = np.flatnonzero(ids >= self.size)
+        letter = ids[spelt] - self.size
+        n = sizes[spelt] = self.n_spelt[letter]
+        if len(spelt):
+            first = spelt + np.cumsum(n) - n - np.arange(len(spelt))
+            ids = np.repeat(ids, sizes)
+            ids[ragged(first, n)] = self.spelt_ids[ragged(self.spelt_at[letter], n)]
+        return ids, sizes

@@ -34,8 +34,8 @@ REACH = 90.0
 LAYOUT_BYTES, SEGMENT_BYTES = 1 << 21, 1 << 19
 #: Words of text that are sampled at a time, whole rows of them.
 WALKED_WORDS = 100_000
-#: Words whose ids a worker remembers; its lattices need the memory more.
-MOST_WORDS = 100_000
+#: Words whose ids a worker remembers; its lattices need the memory more. Fewer in ``segment``, as above.
+MOST_WORDS, SEGMENT_WORDS = 300_000, 100_000
 
 
 class Sample(NamedTuple):
@@ -58,18 +58,16 @@ class Layout(NamedTuple):
 class Segmenter:
     """Encodes, samples and decodes slices of texts, for one model."""
 
-    def __init__(self, model: bytes, alpha: float = ALPHA) -> None:
+    def __init__(self, model: bytes, alpha: float = ALPHA, most: int = SEGMENT_WORDS) -> None:
         from sentencepiece import SentencePieceProcessor
 
         # Once an array of this size was freed, the C library keeps smaller ones for the next.
         np.empty((32 << 20) - 8_192, np.uint8)
         self.processor = SentencePieceProcessor(model_proto=model)
         self.vocabulary = Vocabulary(self.processor, alpha)
-        self.store = IdStore(self._encode, MOST_WORDS)
+        self.store = IdStore(self._encode, most)
         pieces = [self._spelling(i) for i in range(self.vocabulary.size)]
-        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        self.pieces = pa.array(pieces, pa.large_binary())
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         mark = [self.processor.piece_to_id(MARK)]
@@ -142,14 +140,9 @@ class Segmenter:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """UTF-8 of each row of ids: the pieces one after the other without the first space."""
-        size = self.piece_size[ids]
-        after = np.cumsum(size)
-        total = int(after[-1]) if len(after) else 0
-        kind = np.int32 if total < 1 << 31 else np.int64
-        where = np.repeat((self.piece_at[ids] - after + size).astype(kind), size)
-        where += np.arange(total, dtype=kind)
-        flat = self.piece_bytes[where].tobytes()
-        ends = np.concatenate([[0], after])[bounds].tolist()
+        after, flat = self.pieces.take(pa.array(ids)).buffers()[1:]
+        flat = flat.to_pybytes() if flat is not None else b""
+        ends = np.frombuffer(after, np.int64)[bounds].tolist()
         return [flat[a:b][1:] if flat[a : a + 1] == b" " else flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def sample(
@@ -305,7 +298,7 @@ class _Search:
 
     def words_before(self, path: int, t: int) -> int:
         """Words of the text that end before token t of a path."""
-        return int(self.lattice.is_end[self.lattice.after(self.paths[path][:t])].sum())
+        return int(self.lattice.is_end(self.lattice.after(self.paths[path][:t])).sum())
 
     def split(self, row: int, u: np.ndarray):
         """(row, path, place, new edge, bound) of the set with the largest bound."""
@@ -354,13 +347,13 @@ _SAMPLE = T.StructType([
 ])
 
 
-def _segmenter(docs: DataFrame, model: bytes, alpha: float):
+def _segmenter(docs: DataFrame, model: bytes, alpha: float, most: int = SEGMENT_WORDS):
     """A function that gives each Python worker its own segmenter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = ("segmenter", zlib.crc32(model), alpha)
+    key = ("segmenter", zlib.crc32(model), alpha, most)
 
     def get() -> Segmenter:
-        return kept(key, lambda: Segmenter(shared.value, alpha))
+        return kept(key, lambda: Segmenter(shared.value, alpha, most))
 
     return get
 
@@ -467,7 +460,7 @@ def digests(
     itself, which is false for a text with a mark. The ids themselves never leave the task.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("__seed"))
-    get = _segmenter(docs, model, alpha)
+    get = _segmenter(docs, model, alpha, MOST_WORDS)
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         keys = batch.column(2).to_numpy()
